@@ -76,6 +76,12 @@ def j2_all(spark, sf):
     return hits(spark, sf, mode="all", context_before=3)
 
 
+@query("j2_concordance_shuffled", f"WITH {cte_hits()} SELECT {COLUMNS} FROM kept")
+def j2_shuffled(spark, sf):
+    # The path of a term list that is too large to broadcast.
+    return hits(spark, sf, mode="all", max_terms=0)
+
+
 @query(
     "j3_attach_scores",
     f"""WITH {cte_hits()} SELECT term, doc_id, sent_pos, token_pos,

@@ -33,23 +33,28 @@ from nounspan.operators.samples import (
     regroup_completions,
 )
 from nounspan.sources.writers import add_model_column
+from nounspan.session import write_out
 from nounspan.streaming.resume import pending_terms
 
 MODEL = "org/model-1"
 
 
 def document_samples(spark, sf):
-    """One sample record per document: its sentences, null if there is only one."""
+    """One sample record per document: its sentences, null if there is only one.
+
+    Stored first, as sample sets are.
+    """
     s = split_sentences(F.col("text"))
     chosen = documents(spark, sf).select("doc_id", s.alias("s"))
     many = F.size("s") > 1
     n = F.when(many, F.size("s")).otherwise(0)
-    return chosen.select(
+    records = chosen.select(
         F.format_string("doc %08d", "doc_id").alias("term"),
         n.alias("total_matches"),
         n.alias("total_selected"),
         F.when(many, F.col("s")).alias("selected"),
     )
+    return write_out(records, "samples")
 
 
 CTE_SAMPLES = (

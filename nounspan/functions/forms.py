@@ -24,19 +24,19 @@ def split_forms(cell: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def form_indicator(lowered: Column, forms: Column, whole_word: bool = False) -> Column:
-    """1 if any lower-cased form occurs in the lower-cased text, else 0.
+def comparable(text: Column, whole_word: bool = False) -> Column:
+    """Text or form as it is compared: lower-cased, or as a padded run of tokens."""
+    if not whole_word:
+        return F.lower(text)
+    padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+    return F.nullif(padded, F.lit("  "))
 
-    By default a form counts wherever it is a substring, so a masculine form
-    also counts inside a feminine one.  ``whole_word`` compares token runs.
+
+def form_indicator(text: Column, forms: Column) -> Column:
+    """1 if any form occurs in the text, else 0; both in comparable form.
+
+    A form counts wherever it is a substring, so a masculine form also counts
+    inside a feminine one, unless both sides are padded runs of tokens.
     """
-    if whole_word:
-        padded = F.concat(F.lit(" "), F.array_join(tokens(lowered), " "), F.lit(" "))
-        found = F.exists(
-            forms,
-            lambda f: (F.size(tokens(f)) > 0)
-            & F.contains(padded, F.concat(F.lit(" "), F.array_join(tokens(f), " "), F.lit(" "))),
-        )
-    else:
-        found = F.exists(forms, lambda f: F.contains(lowered, F.lower(f)))
+    found = F.exists(forms, lambda form: F.contains(text, form))
     return F.coalesce(found, F.lit(False)).cast("int")

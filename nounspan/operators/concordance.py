@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nounspan.functions.text import (
@@ -13,7 +13,7 @@ from nounspan.functions.text import (
     split_sentences,
     tokens,
 )
-from nounspan.session import MAX_SMALL_ROWS, small_rows, small_side
+from nounspan.session import MAX_SMALL_ROWS, small_rows, small_side, small_table
 
 # A term list up to this size is also written into the document filter.
 MAX_FILTER_TERMS = 2_000
@@ -48,13 +48,75 @@ def pick_mode(terms: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"mode {mode!r} is none of token, phrase, all")
 
 
-def sentence_table(corpus: DataFrame, *keep: str) -> DataFrame:
+def only_if_held(sentences: Column, wanted: list[str]) -> Column:
+    """The sentences of a text if it holds a wanted token, else null.
+
+    Texts without any term are not cut into sentences.  As a condition on the
+    value, not a filter, the test stays above the exchange that spreads a
+    narrow scan; a list that is too long for a literal is left to the join.
+    """
+    if len(wanted) > MAX_FILTER_TERMS:
+        return sentences
+    held = has_any_token(F.col("text"), wanted) if wanted else F.lit(False)
+    return F.when(held, sentences)
+
+
+def sentence_table(corpus: DataFrame, *keep: str, only: list[str] | None = None) -> DataFrame:
     """One row per sentence: ``doc_id, sent_pos, sentence`` and the columns to keep."""
+    parts = split_sentences(F.col("text"))
+    if only is not None:
+        parts = only_if_held(parts, only)
+    # The outer explode keeps the optimizer from splitting a text twice.
     return corpus.select(
-        "doc_id", *keep, F.posexplode_outer(split_sentences(F.col("text"))).alias("sent_pos", "sentence")
+        "doc_id", *keep, F.posexplode_outer(parts).alias("sent_pos", "sentence")
     ).filter("sentence is not null")
 
 
+def hits_by_broadcast(corpus: DataFrame, keyed: DataFrame, wanted: list[str] | None) -> DataFrame:
+    """Tokens that start a term, with the sentences around them.
+
+    The sentence array of a document travels by reference within one stage;
+    nothing is copied for tokens that are no hit.
+    """
+    sentences = split_sentences(F.col("text"))
+    if wanted is not None:
+        sentences = only_if_held(sentences, wanted)
+    # The outer explodes keep the optimizer from deriving a filter that would
+    # split every text a second time; the join drops their null rows.
+    words = (
+        corpus.select("doc_id", sentences.alias("_sents"))
+        .select("doc_id", "_sents", F.posexplode_outer("_sents").alias("sent_pos", "_sent"))
+        .select("doc_id", "_sents", "sent_pos", tokens(F.col("_sent")).alias("_words"))
+        .select(
+            "doc_id",
+            "_sents",
+            "sent_pos",
+            "_words",
+            F.posexplode_outer("_words").alias("token_pos", "_word"),
+        )
+    )
+    return words.join(keyed, F.col("_word") == F.col("_first"))
+
+
+def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The same for a term list that is too large to broadcast.
+
+    Only places and tokens are shuffled to the terms; texts join the hits
+    afterwards by document.  AQE splits frequent tokens.
+    """
+    words = sentence_table(corpus).select(
+        "doc_id", "sent_pos", tokens(F.col("sentence")).alias("_words")
+    )
+    words = words.select(
+        "doc_id", "sent_pos", F.posexplode_outer("_words").alias("token_pos", "_word")
+    )
+    found = words.join(keyed, F.col("_word") == F.col("_first"))
+    texts = corpus.select("doc_id", split_sentences(F.col("text")).alias("_sents"))
+    return found.join(texts, "doc_id").withColumn(
+        "_words", tokens(F.get("_sents", F.col("sent_pos")))
+    )
+
+
 def concordance(
     corpus: DataFrame,
     terms: DataFrame,
@@ -72,40 +134,21 @@ def concordance(
     The result is ``term, doc_id, sent_pos, token_pos, passage``; a sentence
     that holds a term twice gives two rows.
 
-    Documents stream through filter, sentences, tokens and a hash join with
-    the broadcast term list in one stage without a shuffle.  A phrase joins on
-    its first token and is then compared in full.  The sentence array travels
-    by reference and a passage is built only for a hit.
+    Up to ``max_terms`` terms are broadcast, and documents stream through
+    sentences, tokens and a hash join in one stage without a shuffle.  A phrase
+    joins on its first token and is then compared in full.  A longer term list
+    is joined by a shuffle of bare tokens.
     """
-    terms = pick_mode(terms, mode)
-    sentences = split_sentences(F.col("text"))
-    if prefilter:
-        # Only documents with some term are cut into sentences.  Written as a
-        # condition on the value, not as a filter, the test stays above the
-        # exchange that spreads a narrow scan.
-        wanted = first_tokens(terms)
-        if wanted is not None:
-            held = has_any_token(F.col("text"), wanted) if wanted else F.lit(False)
-            sentences = F.when(held, sentences)
-    keyed = small_side(
-        terms.select("term", "term_tokens", F.get("term_tokens", F.lit(0)).alias("_first")),
-        max_terms,
-    )
-    # The outer explodes keep the optimizer from deriving a filter that would
-    # split every text a second time; the join drops their null rows.
-    words = (
-        corpus.select("doc_id", sentences.alias("_sents"))
-        .select("doc_id", "_sents", F.posexplode_outer("_sents").alias("sent_pos", "_sent"))
-        .select("doc_id", "_sents", "sent_pos", tokens(F.col("_sent")).alias("_words"))
-        .select(
-            "doc_id",
-            "_sents",
-            "sent_pos",
-            "_words",
-            F.posexplode_outer("_words").alias("token_pos", "_word"),
-        )
+    keyed = pick_mode(terms, mode).select(
+        "term", "term_tokens", F.get("term_tokens", F.lit(0)).alias("_first")
     )
-    hits = words.join(keyed, F.col("_word") == F.col("_first"))
+    content = small_table(keyed, max_terms)
+    if content is None:
+        hits = hits_by_shuffle(corpus, keyed)
+    else:
+        wanted = sorted(set(content["_first"].to_pylist())) if prefilter else None
+        keyed = F.broadcast(terms.sparkSession.createDataFrame(content, keyed.schema))
+        hits = hits_by_broadcast(corpus, keyed, wanted)
     if mode != "token":
         whole = ngram_at(F.col("_words"), F.col("token_pos"), F.size("term_tokens"))
         hits = hits.filter(whole == F.col("term_tokens"))
@@ -131,10 +174,11 @@ def concordance(
 def sentences_with_terms(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """Sentences that hold the first token of some term."""
     wanted = first_tokens(terms)
-    sentences = sentence_table(with_any_term(corpus, terms))
     if wanted is not None:
-        return sentences.filter(has_any_token(F.col("sentence"), wanted)) if wanted else sentences.limit(0)
+        held = has_any_token(F.col("sentence"), wanted) if wanted else F.lit(False)
+        return sentence_table(corpus, only=wanted).filter(held)
     # Too many terms for a literal list: a semi join on tokens, which shuffles.
+    sentences = sentence_table(corpus)
     words = sentences.select(
         "doc_id", "sent_pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("_w")
     )

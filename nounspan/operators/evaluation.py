@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.functions.forms import form_columns, form_indicator
+from nounspan.functions.forms import comparable, form_columns, form_indicator
 from nounspan.functions.text import strip_article
 from nounspan.operators.lexicon import form_lists, substring_index
 from nounspan.session import small_side
 
 
 def match_lexicon(
-    seeds: DataFrame, lexicon: DataFrame, number: str = "plural", exact: bool = False
+    seeds: DataFrame,
+    lexicon: DataFrame,
+    number: str = "plural",
+    exact: bool = False,
+    prepare: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add the form lists of the first lexicon row whose noun phrase contains the seed.
 
     File order decides, as in a scan from the top.  Only the lexicon side is
     lower-cased, so a seed with a capital finds nothing.  ``exact`` compares
     the whole noun without its article, on both sides in lower case.  An
-    unknown seed keeps null lists.
+    unknown seed keeps null lists.  ``prepare`` is applied to every form once,
+    in the lexicon.
     """
     if exact:
         noun = F.regexp_replace(F.lower(strip_article(F.col("english"))), r"[; ]+\z", "")
@@ -31,7 +37,8 @@ def match_lexicon(
         index, wanted = substring_index(lexicon), F.col("seed_noun")
     index = index.select("piece", F.col("row_no").alias("lexicon_row"))
     forms = form_lists(lexicon, number).select(
-        F.col("row_no").alias("lexicon_row"), *form_columns(number)
+        F.col("row_no").alias("lexicon_row"),
+        *[F.transform(c, lambda f: prepare(f)).alias(c) if prepare else c for c in form_columns(number)],
     )
     return (
         seeds.join(small_side(index), wanted == F.col("piece"), "left")
@@ -52,13 +59,13 @@ def form_hits(
 
     Translations pass through two broadcast joins and are never shuffled.
     """
-    matched = match_lexicon(translations, lexicon, number, exact).withColumn(
-        "_lowered", F.lower("translation")
-    )
+    matched = match_lexicon(
+        translations, lexicon, number, exact, lambda form: comparable(form, whole_word)
+    ).withColumn("_text", comparable(F.col("translation"), whole_word))
     return matched.select(
         *[F.col(f"`{c}`") for c in translations.columns],
         *[
-            form_indicator(F.col("_lowered"), F.col(c), whole_word).alias(f"{c}_count")
+            form_indicator(F.col("_text"), F.col(c)).alias(f"{c}_count")
             for c in form_columns(number)
         ],
     )

@@ -50,9 +50,10 @@ def merge_samples(*shards: DataFrame) -> DataFrame:
 
 def explode_selected(samples: DataFrame, text: str = "text") -> DataFrame:
     """One row per selected passage: ``seed, pos, text``."""
+    # An outer explode: a plain one makes the optimizer evaluate the list twice.
     return samples.select(
-        F.col("term").alias("seed"), F.posexplode("selected").alias("pos", text)
-    )
+        F.col("term").alias("seed"), F.posexplode_outer("selected").alias("pos", text)
+    ).filter("pos is not null")
 
 
 def explode_pairs(samples: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def explode_pairs(samples: DataFrame) -> DataFrame:
         F.slice("translation", F.lit(1), n).alias("translation"),
     )
     return (
-        samples.filter(F.col("selected").isNotNull() & F.col("translation").isNotNull())
-        .select(F.col("term").alias("seed"), F.posexplode(pairs).alias("pos", "_p"))
+        samples.select(F.col("term").alias("seed"), F.posexplode_outer(pairs).alias("pos", "_p"))
+        .filter("pos is not null")
         .select("seed", "pos", F.col("_p.source"), F.col("_p.translation"))
     )
 

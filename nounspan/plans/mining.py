@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nounspan.operators.concordance import concordance, filter_pos, term_stats
+from nounspan.operators.inference import with_pos
 from nounspan.operators.lexicon import distinct_terms, seed_terms, term_range
 from nounspan.operators.relevance import score_passages
 from nounspan.operators.samples import merge_samples, prepare_passages
@@ -31,6 +34,8 @@ def mine(
     context_before: int = 3,
     mode: str = "token",
     pos_lexicon: DataFrame | None = None,
+    make_tagger: Callable | None = None,
+    tags: tuple[str, ...] = ("NOUN", "PROPN"),
     scorer: PipelineModel | None = None,
     distinct: bool = False,
 ) -> DataFrame:
@@ -41,7 +46,10 @@ def mine(
     """
     matches = concordance(corpus, terms, context_before=context_before, mode=mode)
     if pos_lexicon is not None:
-        matches = filter_pos(matches, pos_lexicon)
+        matches = filter_pos(matches, pos_lexicon, tags)
+    if make_tagger is not None:
+        matches = with_pos(matches, make_tagger, "passage")
+        matches = matches.filter(F.col("pos").isin(*tags)).drop("pos")
     if distinct:
         # The first occurrence stands for all equal passages of a term.
         matches = matches.groupBy("term", "passage").agg(

@@ -50,7 +50,7 @@ def style_forms(seeds: DataFrame, lexicon: DataFrame) -> dict[str, tuple]:
     rows = small_rows(firsts.filter("german_mp is not null").distinct())
     if rows is None:
         raise ValueError("too many seeds for a translator that holds them in memory")
-    return {r["_seed"]: tuple(r)[1:] for r in rows}
+    return {r["_seed"]: tuple(r.values())[1:] for r in rows}
 
 
 def translate_prompts(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +64,20 @@ def write_out(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_rows(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> list | None:
-    """Rows of a table that is meant to be small, or None if it is not.
+def small_table(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> pa.Table | None:
+    """Content of a table that is meant to be small, or None if it is not.
 
     At most ``max_rows + 1`` rows ever reach the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    weight = sum(len(str(value)) for row in rows for value in row)
-    return rows if weight <= MAX_SMALL_BYTES else None
+    content = df.limit(max_rows + 1).toArrow()
+    fits = content.num_rows <= max_rows and content.nbytes <= MAX_SMALL_BYTES
+    return content if fits else None
+
+
+def small_rows(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> list[dict] | None:
+    """Rows of a small table as dicts, or None if it is not small."""
+    content = small_table(df, max_rows)
+    return None if content is None else content.to_pylist()
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
@@ -81,10 +86,10 @@ def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     A table within the bounds is evaluated once and hinted; a larger one comes
     back unhinted, so that the join shuffles and AQE splits its skewed keys.
     """
-    rows = small_rows(df, max_rows)
-    if rows is None:
+    content = small_table(df, max_rows)
+    if content is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(content, df.schema))
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:

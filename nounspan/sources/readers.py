@@ -61,9 +61,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def corpus_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every line of a text column is a document of its own, stripped."""
-    return df.select(
-        id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")
-    ).select(id_col, "line_no", strip(F.col("line")).alias("text"))
+    lines = df.select(
+        id_col, F.posexplode_outer(F.split(text_col, "\n")).alias("line_no", "line")
+    ).filter("line is not null")
+    return lines.select(id_col, "line_no", strip(F.col("line")).alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

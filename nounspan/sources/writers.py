@@ -64,7 +64,14 @@ def write_table(
     partition_by: tuple[str, ...] = (),
     mode: str = "errorifexists",
 ) -> None:
-    """Flat table as Parquet or delimited text, one folder per system and corpus."""
+    """Flat table as Parquet or delimited text, one folder per system and corpus.
+
+    Rows of one folder are brought together first, so that tasks do not each
+    write a file into every folder; AQE splits a folder that is too large for
+    one task and merges small ones.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         writer = (
