@@ -13,7 +13,7 @@ from nounspan.functions.text import (
     split_sentences,
     tokens,
 )
-from nounspan.session import MAX_SMALL_ROWS, small_rows, small_side, small_table
+from nounspan.session import MAX_SMALL_ROWS, pinned, small_rows, small_side, small_table
 
 # A term list up to this size is also written into the document filter.
 MAX_FILTER_TERMS = 2_000
@@ -152,11 +152,10 @@ def concordance(
     if mode != "token":
         whole = ngram_at(F.col("_words"), F.col("token_pos"), F.size("term_tokens"))
         hits = hits.filter(whole == F.col("term_tokens"))
-    # Tying the passage to the matched term keeps the line filter above the
-    # join; below it, a passage would be built for every sentence.
-    passage = F.when(
-        F.col("term").isNotNull(),
-        context_window(F.col("_sents"), F.col("sent_pos"), context_before, context_after),
+    # Pinned, or conditions on the passage would move into the join, where a
+    # passage is built for every token, and more than once.
+    passage = pinned(
+        context_window(F.col("_sents"), F.col("sent_pos"), context_before, context_after)
     )
     kept = ["term", "doc_id", "sent_pos", "token_pos", passage.alias("passage")]
     if with_sentences:

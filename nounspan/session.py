@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Upper bounds for a table that is copied to every executor.  A lexicon has
@@ -97,9 +97,21 @@ def widen(df: DataFrame, key: str) -> DataFrame:
 
     A large corpus arrives in more splits than cores and passes through
     untouched; only a corpus in one or two row groups pays for a shuffle.
-    ``key`` must be close to unique.
+    ``key`` must be close to unique.  Later conditions stay above the shuffle,
+    where all cores evaluate them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    spread = df.repartition(cores, key)
+    return spread.select(*[pinned(F.col(c)).alias(c) for c in df.columns])
+
+
+def pinned(value: Column) -> Column:
+    """The value as it is, computed in this place of the plan.
+
+    The condition always holds, but the optimizer cannot know that, so it
+    neither moves later filters below this point nor repeats the expression
+    in them.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
