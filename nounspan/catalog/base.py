@@ -83,10 +83,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def documents(
+    spark: SparkSession, sf: str, *columns: str, where: Column | None = None
+) -> DataFrame:
     """Columns of the documents table, over all cores even if it is one row group."""
-    wanted = columns or ("doc_id", "text")
-    return widen(table(spark, sf, "documents").select(*wanted), "doc_id")
+    docs = table(spark, sf, "documents")
+    if where is not None:
+        docs = docs.filter(where)
+    return widen(docs.select(*(columns or ("doc_id", "text"))), "doc_id")
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:

@@ -173,9 +173,11 @@ def a3(spark, sf):
     f"WITH {CTE_SENT} SELECT doc_id, sent_pos, sentence, lang AS model FROM sent",
 )
 def set3(spark, sf):
-    docs = documents(spark, sf, "doc_id", "text", "lang")
     return union_systems(
-        {lang: sentence_table(docs.filter(F.col("lang") == lang)) for lang in LANGUAGES}
+        {
+            lang: sentence_table(documents(spark, sf, where=F.col("lang") == lang))
+            for lang in LANGUAGES
+        }
     )
 
 

@@ -51,11 +51,12 @@ from nounspan.functions.text import (
     tokens,
 )
 from nounspan.operators.annotations import valid_annotations
-from nounspan.operators.concordance import concordance
+from nounspan.operators.concordance import concordance, sentence_passages
 from nounspan.operators.inference import route_for_judging
 from nounspan.operators.lexicon import pluralise_lexicon
 from nounspan.operators.samples import has_text, limit_tokens, non_empty
 from nounspan.plans.translation import build_prompts, passage_stats
+from nounspan.session import widen
 
 
 @query(
@@ -134,16 +135,16 @@ def p11(spark, sf):
     )
 
 
-TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
-
-
-@query("p11_repair_text_titles", sql_repair(f"SELECT page_id AS k, {TITLE} AS t FROM pages"))
-def p11_titles(spark, sf):
-    # Page titles hold entities, which plain documents do not.
-    return table(spark, sf, "pages").select(
-        F.col("page_id").alias("id"),
-        repair_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("fixed"),
+@query(
+    "p11_repair_text_pages",
+    sql_repair("SELECT page_id AS k, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages"),
+)
+def p11_pages(spark, sf):
+    # Pages without their tags hold entities, which plain documents do not.
+    pages = widen(table(spark, sf, "pages").select("page_id", "html"), "page_id").select(
+        F.col("page_id").alias("id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text")
     )
+    return pages.select("id", repair_text(F.col("text")).alias("fixed"))
 
 
 def _template_sql(template_id: str) -> str:
@@ -310,6 +311,16 @@ def w1(spark, sf):
     )
 
 
+@query(
+    "w1_sentence_passages",
+    f"""WITH {CTE_SENT} SELECT doc_id, sent_pos,
+    array_to_string(list_slice(s, greatest(sent_pos - 2, 0) + 1, sent_pos + 2), ' ') AS passage
+    FROM sent""",
+)
+def w1_window(spark, sf):
+    return sentence_passages(sentences(spark, sf)).drop("sentence")
+
+
 @query(
     "a4_passage_stats",
     """SELECT count(*) AS n_passages,

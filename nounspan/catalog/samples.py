@@ -32,7 +32,7 @@ from nounspan.operators.samples import (
     prepare_passages,
     regroup_completions,
 )
-from nounspan.sources.writers import add_model_column
+from nounspan.sources.writers import add_model_column, add_model_columns
 from nounspan.session import write_out
 from nounspan.streaming.resume import pending_terms
 
@@ -141,6 +141,18 @@ def k4(spark, sf):
     return add_model_column(asked, completions(spark, sf), MODEL)
 
 
+@query(
+    "k4_add_model_columns",
+    f"""WITH {CTE_PROMPTS} SELECT id, english, answer AS "org--model-1",
+    CASE WHEN answer IS NOT NULL THEN 'DE: ' || answer END AS "model-2" FROM pr""",
+)
+def k4_many(spark, sf):
+    one = completions(spark, sf).withColumn("model", F.lit(MODEL))
+    two = one.select("id", F.concat(F.lit("DE: "), "completion").alias("completion"), F.lit("model-2").alias("model"))
+    asked = prompts(spark, sf).select("id", "english")
+    return add_model_columns(asked, one.unionByName(two), [MODEL, "model-2"])
+
+
 @query(
     "j7_regroup_completions",
     f"""WITH {CTE_SAMPLES} SELECT term, total_selected, array_to_string(selected, ' || ') AS selected,
@@ -197,12 +209,9 @@ SHARDS = ("de", "en", "es", "fr")
 )
 def set1(spark, sf):
     # One shard of word counts per language, in alphabetical order.
-    docs = documents(spark, sf, "text", "lang", "doc_id")
-
     def shard(lang):
-        words = docs.filter(F.col("lang") == lang).select(
-            F.explode(tokens(F.col("text"))).alias("term")
-        )
+        docs = documents(spark, sf, where=F.col("lang") == lang)
+        words = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
         return words.groupBy("term").agg(F.count("*").alias("total_matches")).withColumn(
             "shard", F.lit(lang)
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nounspan.functions.text import (
@@ -72,6 +72,18 @@ def sentence_table(corpus: DataFrame, *keep: str, only: list[str] | None = None)
     ).filter("sentence is not null")
 
 
+def sentence_passages(sentences: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
+    """Add the passage around each sentence of a stored sentence table.
+
+    Only for tables that no longer hold whole documents; from documents, the
+    passage is cut from the sentence array without a shuffle.
+    """
+    around = Window.partitionBy("doc_id").orderBy("sent_pos").rowsBetween(-before, after)
+    return sentences.withColumn(
+        "passage", F.array_join(F.collect_list("sentence").over(around), " ")
+    )
+
+
 def hits_by_broadcast(corpus: DataFrame, keyed: DataFrame, wanted: list[str] | None) -> DataFrame:
     """Tokens that start a term, with the sentences around them.
 

@@ -33,7 +33,8 @@ def read_csv(
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", True)
-        .option("enforceSchema", False)
+        # Column names are checked against every file, unless one is blank.
+        .option("enforceSchema", "" in names)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')

@@ -98,6 +98,19 @@ def add_model_column(prompts: DataFrame, completions: DataFrame, model_id: str)
     return prompts.join(named, "id", "left")
 
 
+def add_model_columns(
+    prompts: DataFrame, completions: DataFrame, model_ids: list[str]
+) -> DataFrame:
+    """The same for several models at once, from ``(id, model, completion)``."""
+    wide = (
+        completions.groupBy("id")
+        .pivot("model", model_ids)
+        .agg(F.first("completion", ignorenulls=True))
+        .select("id", *[F.col(f"`{m}`").alias(model_tag_text(m)) for m in model_ids])
+    )
+    return prompts.join(wide, "id", "left")
+
+
 def model_tag_text(model_id: str) -> str:
     return model_id.replace("/", "--")
 

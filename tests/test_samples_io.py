@@ -97,6 +97,14 @@ def test_pandas_csv_is_read(spark, tmp_path):
     ]
 
 
+def test_pandas_index_without_a_name(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"source": ["a", "b"], "label": [0.5, 1]}).to_csv(tmp_path / "l.csv")
+    got = R.read_labelled(spark, str(tmp_path / "l.csv")).orderBy("label").collect()
+    assert [tuple(r) for r in got] == [("a", 0.5), ("b", 1.0)]
+
+
 def test_prompts_keep_file_order(spark, tmp_path):
     (tmp_path / "p.csv").write_text("English,Note\nzeta,1\n,2\nalpha,3\n")
     got = R.read_prompts(spark, str(tmp_path / "p.csv")).orderBy("id").collect()
