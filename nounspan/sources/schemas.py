@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _strings(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 # Files carry these headers; the readers rename them.
 LEXICON_HEADERS = {
     "ID": "id",
@@ -29,7 +25,3 @@ SAMPLE_FIELDS = [
 ]
 SAMPLE_RECORD = T.StructType(SAMPLE_FIELDS)
 SAMPLES = T.StructType([T.StructField("term", T.StringType()), *SAMPLE_FIELDS])
-
-ANNOTATIONS = _strings("ID", "to_keep", "seed_noun", "source", "translation")
-TRANSLATIONS = _strings("rid", "seed_noun", "source", "translation")
-LABELLED = _strings("rid", "source", "comment", "label")
