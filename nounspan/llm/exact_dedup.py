@@ -66,23 +66,26 @@ def _heavy(slim: DataFrame) -> list:
     return [(r["digest"], max(2, min(r["n"], ceil(r["cost"] / bound)))) for r in rows]
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+) -> DataFrame:
     """Every row with ``keep_id, group_size, kept, text_sha256``.
 
-    The input columns come back in one struct ``row``, so their names cannot
-    clash.  Texts are equal when identical after deleting white space; null
+    The input columns (or those named in ``carry``) come back in one struct
+    ``row``, so their names cannot clash.  Texts are equal when identical after deleting white space; null
     counts as empty.  Of equal texts the one with the most code points in the
     original text stays, then the smallest id (no id: last).  Of repeated rows
     with that id exactly one is kept.  An empty table gives no rows.
     """
     spark = df.sparkSession
     text = text_of(text_col)
-    source = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
-        F.col(id_col).alias("id"),
-        text.alias("text"),
-    )
-    norm = normalised(F.col("text"))
+    carry = df.columns if carry is None else carry
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    # The text moves once: inside the row, or beside it if the row goes without.
+    beside = [] if text_col in carry else [text.alias("text")]
+    source = df.select(row, F.col(id_col).alias("id"), *beside)
+    moved = F.col("text") if beside else text_of(f"row.`{text_col}`")
+    norm = normalised(moved)
     slim = df.select(
         F.sha2(normalised(text), 256).alias("digest"),
         (F.octet_length(text) + ROW_COST).cast("long").alias("cost"),
@@ -98,14 +101,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             "piece",
             F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(0),
         )
-    else:
-        keyed = keyed.withColumns({"pieces": F.lit(None).cast("int"), "piece": F.lit(0).cast("long")})
     order = [F.col("n_chars").desc(), F.col("id").asc_nulls_last()]
-    near = ["lead", "digest", "piece"]
+    # A constant in the key would be folded away and the partitioning no longer recognised.
+    near = ["lead", "digest", "piece"] if heavy else ["lead", "digest"]
 
     def sorted_runs(rows: DataFrame) -> DataFrame:
         placed = rows.repartitionByRange(*near).select(
-            "*", normalised(F.col("text")).alias("norm"), F.length("text").alias("n_chars")
+            "*", norm.alias("norm"), F.length(moved).alias("n_chars")
         )
         return _marked(placed, near, order).withColumn(
             "local_size", F.count("*").over(Window.partitionBy(*near, "run"))
@@ -122,7 +124,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         )
     # The first rows of all pieces, sorted and compared across pieces.
     firsts = (
-        sorted_runs(keyed.drop("row").filter("pieces is not null"))
+        sorted_runs(keyed.filter("pieces is not null"))
         .filter("first")
         .select("id", "norm", "n_chars", "digest", "piece", F.col("run").alias("piece_run"), "local_size")
     )

@@ -34,8 +34,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.exact_dedup(docs).select(
+    docs = table(spark, sf_dir, "documents")
+    return exact_dedup.exact_dedup(docs, carry=["doc_id"]).select(
         "row.doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
 
