@@ -9,10 +9,12 @@ of all tokens, share at least ``l``.
 1. Equal sets are one node.  With every node a group of its own, a first matrix
    finds the nodes whose prefix overlaps the union of all others enough to have
    any link at all; the rest are settled.
-2. The others are grouped around leaders by minwise hashes; each group is
-   opened for its own members.  Linked members form the groups of stage 3.
-3. A matrix over these groups gives the queries that overlap the union of
-   other groups enough, and for each the groups worth opening.
+2. The others are grouped around typical leaders by minwise hashes; members
+   that link to their leader are one component with it.
+3. A matrix over these groups gives the queries that overlap other components
+   enough, and for each the groups worth opening.  Queries that reach the bound
+   by tokens of very many groups alone are bounded once more on their whole
+   sets, among themselves.
 
 Before every exchange a task reduces a token to one entry, so that a word or
 passage of a third of all documents does not gather anywhere.
@@ -37,6 +39,8 @@ PERCENT = 75
 HASHES = 8
 AGREE = 2
 PIECE = 256
+# A token in more groups than this opens none of them by itself.
+HOT_GROUPS = 32
 BUCKET_ENTRIES = 1_000_000
 # A list of documents to fetch is broadcast up to this many bytes, joined by a shuffle beyond.
 BROADCAST_BYTES = 8 * 1024 * 1024
@@ -68,11 +72,12 @@ def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     width = min(width, len(words))
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    end = len(words) - width + 1
     with np.errstate(over="ignore"):
-        total = np.full(len(words) - width + 1, width, dtype=np.uint64)
+        total = np.full(end, width, dtype=np.uint64)
         for k in range(width):
-            total = _mixed(total * _ODD[k % 5] + hashed[k : len(words) - width + 1 + k])
-    return np.unique(total)
+            total += hashed[k : end + k] * _ODD[k]
+        return np.unique(_mixed(total))
 
 
 def needed(n: int) -> int:
@@ -89,11 +94,18 @@ def least_shared(n: int) -> int:
     return -(-needed(n) // 16)
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of tokens of ``a`` in the sorted list ``b``."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < PERCENT * large:
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = overlap(a, b)
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
@@ -129,11 +141,12 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [s for s in sets if len(s)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([node_of(s) for s in sets], pa.binary()),
+                pa.array(nodes := [node_of(s) for s in sets], pa.binary()),
+                pa.array(np.array([label_of(n) for n in nodes], dtype=np.uint64).view(np.int64)),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array([minwise(s) for s in sets], pa.list_(pa.int64())),
             ],
-            ["node", "tokens", "minwise"],
+            ["node", "label", "tokens", "minwise"],
         )
 
 
@@ -262,14 +275,23 @@ def least_shared_sql(n: str):
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
-    """``node, leader``: the smallest node that shares enough minwise hashes with it."""
+    """``node, leader``: the most typical node that shares enough minwise hashes with it.
+
+    A node is typical if many others share its hashes, as the text does that a
+    group of edited copies comes from; such a leader links to most of its group.
+    """
     slim = sets.select("node", F.posexplode("minwise").alias("j", "hash"))
-    least = slim.groupBy("j", "hash").agg(F.min("node").alias("leader"), F.count("*").alias("k"))
-    met = slim.join(least.filter("k > 1").drop("k"), ["j", "hash"])
-    agreeing = met.groupBy("node", "leader").agg(F.count("*").alias("agree"))
-    best = agreeing.filter(F.col("agree") >= AGREE).groupBy("node").agg(F.min("leader").alias("leader"))
+    crowd = slim.groupBy("j", "hash").agg(F.count("*").alias("k")).filter("k > 1")
+    met = checkpointed(slim.join(crowd, ["j", "hash"]))
+    typical = met.groupBy("node").agg(F.sum("k").alias("fame"))
+    famed = checkpointed(met.join(typical, "node").select("node", "j", "hash", "fame"))
+    heads = famed.groupBy("j", "hash").agg(F.max(F.struct("fame", "node")).alias("head"))
+    agreeing = famed.join(heads, ["j", "hash"]).groupBy("node", "head").agg(F.count("*").alias("agree"))
+    best = (
+        agreeing.filter(F.col("agree") >= AGREE).groupBy("node").agg(F.max("head").alias("head"))
+    )
     return sets.select("node").join(best, "node", "left").select(
-        "node", F.coalesce("leader", "node").alias("leader")
+        "node", F.coalesce("head.node", "node").alias("leader")
     )
 
 
@@ -281,30 +303,19 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 
 def _open_own(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect the members of one piece of a group, its leader among them.
-
-    Members that the leader does not link to are compared with all members.
-    """
-    nodes = list(group["node"])
-    sets = [_tokens(t) for t in group["tokens"]]
-    lead = next((i for i, flag in enumerate(group["leads"]) if flag), 0)
-    out, loose = [], []
-    for i, tokens in enumerate(sets):
-        if i == lead:
-            continue
-        if linked(sets[lead], tokens):
-            out.append((nodes[lead], nodes[i]))
-        else:
-            loose.append(i)
-    for k, i in enumerate(loose):
-        for j in range(len(sets)):
-            if j != i and (j not in loose[:k]) and j != lead and linked(sets[i], sets[j]):
-                out.append((nodes[i], nodes[j]))
+    """Links of a group's leader to the members of one piece of the group."""
+    lead = next(i for i, flag in enumerate(group["leads"]) if flag)
+    head, tokens = group["node"].iloc[lead], _tokens(group["tokens"].iloc[lead])
+    out = [
+        (head, node)
+        for k, (node, blob) in enumerate(zip(group["node"], group["tokens"]))
+        if k != lead and linked(tokens, _tokens(blob))
+    ]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
 def _own_links(sets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Links inside groups.  A group is opened in pieces, with its leader in each."""
+    """Links of leaders.  A group is opened in pieces, with its leader in each."""
     sized = leaders.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     members = leaders.join(sized.select("leader", pieces.alias("pieces")), "leader")
@@ -318,9 +329,9 @@ def _own_links(sets: DataFrame, leaders: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"),
         F.lit(True).alias("leads"),
     )
-    wanted = placed.unionByName(heads)
+    wanted = checkpointed(placed.unionByName(heads))
     return (
-        wanted.join(sets.select("node", "tokens"), "node")
+        sets.select("node", "tokens").join(_small(wanted, wanted.count() * 64), "node")
         .groupBy("leader", "piece")
         .applyInPandas(_open_own, EDGE_SCHEMA)
     )
@@ -329,108 +340,179 @@ def _own_links(sets: DataFrame, leaders: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- matrix of groups
 
 
-def _prefix_rows(batches):
-    for batch in batches:
-        for node, group, blob in zip(*[batch.column(c).to_pylist() for c in ("node", "component", "tokens")]):
-            tokens = _tokens(blob)
-            tokens = tokens[: prefix_length(len(tokens))]
+def _rows(whole: bool):
+    """One row for each token of a set, or of its prefix."""
+
+    def run(batches):
+        for batch in batches:
+            blobs = [_tokens(t) for t in batch.column("tokens").to_pylist()]
+            lists = blobs if whole else [t[: prefix_length(len(t))] for t in blobs]
+            sizes = [len(t) for t in lists]
+            columns = [batch.column(c).to_numpy() for c in ("label", "component", "grp")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(tokens.view(np.int64)),
-                    pa.array([node] * len(tokens), pa.binary()),
-                    pa.array([group] * len(tokens), pa.binary()),
+                    pa.array(np.concatenate([np.zeros(0, "<u8"), *lists]).view(np.int64)),
+                    *[pa.array(np.repeat(c, sizes)) for c in columns],
+                    pa.array(np.repeat([len(t) for t in blobs], sizes).astype(np.int64)),
                 ],
-                ["token", "node", "component"],
+                ["token", "label", "component", "grp", "n"],
             )
 
+    return run
+
 
 def _opened(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Open a piece of a group for the queries that its token union may hold."""
+    """Open a piece of a group for the queries that its token union may hold.
+
+    Of several members of one component one link is enough.  A pair may be tried
+    from both sides: where one of the two is not a query itself, only the other asks.
+    """
     sets = [_tokens(t) for t in members["tokens"]]
     if not sets or queries.empty:
         return pd.DataFrame([], columns=["a", "b"])
     union = np.unique(np.concatenate(sets))
+    others = list(zip(members["node"], members["component"], sets))
     out = []
-    for node, blob in zip(queries["node"], queries["tokens"]):
-        tokens = _tokens(blob)
-        if int(np.isin(tokens, union, assume_unique=True).sum()) < needed(len(tokens)):
+    for node, own, blob in zip(queries["node"], queries["component"], queries["tokens"]):
+        tokens, known = _tokens(blob), {own}
+        if overlap(tokens, union) < needed(len(tokens)):
             continue
-        for other, kept in zip(members["node"], sets):
-            if linked(tokens, kept):
+        for other, component, kept in others:
+            if component not in known and linked(tokens, kept):
+                known.add(component)
                 out.append((node, other))
-                break
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _cross_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links between different groups, one for each query and group piece at most."""
-    held = sets.select("node", "tokens").join(groups, "node")
-    matrix = checkpointed(
-        held.mapInArrow(_prefix_rows, "token long, node binary, component binary")
-    )
-    # Tokens of several groups; a group counts once however many members have the token.
-    shared = (
+def _bounded(held: DataFrame, whole: bool) -> DataFrame:
+    """Tokens that queries share with other groups, for queries with enough of them.
+
+    ``token, label, component, grp, least, shared, df``; ``df`` is the number
+    of groups with the token.  A component counts once however many members
+    have the token, and is reduced to that before the shuffle.
+    """
+    matrix = held.mapInArrow(_rows(whole), "token long, label long, component long, grp long, n long")
+    spread = (
         matrix.groupBy("token")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low <> high")
         .select("token")
     )
-    crossing = checkpointed(matrix.join(shared, "token"))
-    sizes = sets.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
-    counted = crossing.groupBy("node").agg(F.count("*").alias("shared")).join(sizes, "node")
-    least = least_shared_sql("n")
-    queries = counted.filter(F.col("shared") >= least).select(
-        "node", (F.col("shared") - least + 1).alias("first")
+    crossing = checkpointed(matrix.join(spread, "token"))
+    least = F.ceil(F.col("n") * PERCENT / 100) if whole else least_shared_sql("n")
+    queries = (
+        crossing.groupBy("label")
+        .agg(F.count("*").alias("shared"), F.first(least).alias("least"))
+        .filter("shared >= least")
+    )
+    queries = checkpointed(queries)
+    open_ = crossing.drop("n").join(_small(queries, queries.count() * 24), "label")
+    df = open_.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    return open_.join(df, "token")
+
+
+def _union(open_: DataFrame) -> DataFrame:
+    """The matrix: tokens of each group, with the components that bring them there."""
+    return open_.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
     )
-    open_ = checkpointed(crossing.join(queries, "node"))
-    rare = open_.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("df"))
-    # Each query needs its rarest tokens only: any group it links to has one of them.
-    ranked = (
-        open_.join(rare, "token")
-        .groupBy("node", "component", "first")
+
+
+def _to_open(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``label, other``: queries and the groups to open; ``label`` of those left out.
+
+    A query's overlap with a group is at most its tokens that other components
+    bring to the group's union.  Tokens of very many groups are not looked up:
+    they count as overlap with every group.  Queries that reach the bound by
+    them alone are left out.
+    """
+    hot = (F.col("df") > HOT_GROUPS).cast("long")
+    asking = open_.groupBy("label").agg(F.sum(hot).alias("hot"), F.first("least").alias("least"))
+    asking = checkpointed(asking)
+    known = open_.filter(F.col("df") <= HOT_GROUPS)
+    light = known.drop("least", "grp").join(asking.filter("hot < least"), "label")
+    overlaps = (
+        light.join(_union(known), "token")
+        .filter("low <> component OR high <> component")
+        .groupBy("label", "other")
+        .agg(F.count("*").alias("both"), F.first(F.col("least") - F.col("hot")).alias("wanted"))
+    )
+    return overlaps.filter("both >= wanted").select("label", "other"), asking.filter("hot >= least").select("label")
+
+
+def _to_open_rarest(open_: DataFrame) -> DataFrame:
+    """The groups to open for queries that consist of very common tokens.
+
+    Any group with ``least`` of a query's ``shared`` tokens has one of the
+    query's ``shared - least + 1`` rarest ones.
+    """
+    first = (F.col("shared") - F.col("least") + 1).cast("int")
+    rarest = (
+        open_.groupBy("label", "component", "shared", "least")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
-        .select(
-            "node", "component", F.explode(F.slice("list", F.lit(1), F.col("first").cast("int"))).alias("t")
-        )
-        .select("node", "component", F.col("t.token").alias("token"))
+        .select("label", "component", F.explode(F.slice("list", F.lit(1), first)).alias("t"))
+        .select("label", "component", F.col("t.token").alias("token"))
     )
-    index = open_.select("token", F.col("component").alias("other")).distinct()
-    wanted = (
-        ranked.join(index, "token").filter("component <> other").select("node", "other").distinct()
+    return (
+        rarest.join(_union(open_), "token")
+        .filter("low <> component OR high <> component")
+        .select("label", "other")
+        .distinct()
     )
-    # Open a group in pieces of bounded size; only members that are queries themselves can link.
-    members = open_.select("node", "component").distinct()
-    count = members.groupBy("component").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    held = sets.select("node", "tokens")
-    inside = (
-        members.join(count, "component")
-        .select(
-            "node",
-            F.col("component").alias("other"),
-            F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"),
-        )
-        .join(held, "node")
+
+
+def _small(rows: DataFrame, size: int) -> DataFrame:
+    """Broadcast a table of a known size when that is small, else leave it to a shuffle."""
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
+def _cross_links(sets: DataFrame, groups: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Links between different components."""
+    slim = groups.join(leaders, "node").select(
+        "node", _label("component").alias("component"), _label("leader").alias("grp")
     )
-    load = wanted.groupBy("other").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("lanes"))
-    asked = (
-        wanted.join(count.withColumnRenamed("component", "other"), "other")
-        .join(load, "other")
-        .select(
-            "node",
-            "other",
-            F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int").alias("lane"),
-            F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),
-        )
-        .join(held, "node")
+    at = checkpointed(sets.select("label", "node").join(slim, "node").drop("node"))
+    held = sets.select("label", "node", "tokens").join(_small(at, at.count() * 24), "label")
+    open_ = checkpointed(_bounded(held, whole=False))
+    asking, heavy = _to_open(open_)
+    wanted = [asking]
+    # Queries that very common tokens alone bring up to the bound are index rows for
+    # the others, and are bounded among themselves by their whole sets.
+    size = heavy.count() * 8
+    if size:
+        among = checkpointed(_bounded(held.join(_small(heavy, size), "label"), whole=True))
+        again, still = _to_open(among)
+        dense = _small(still, still.count() * 8)
+        wanted += [again, _to_open_rarest(checkpointed(among.join(dense, "label", "left_semi")))]
+    found = wanted[0]
+    for more in wanted[1:]:
+        found = found.unionByName(more)
+    wanted = checkpointed(found.distinct())
+    # A group is opened in pieces of bounded size, each for a bounded number of queries.
+    members = open_.select("label", F.col("grp").alias("other")).distinct()
+    lanes = wanted.groupBy("other").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("lanes"))
+    pieces = members.groupBy("other").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    sized = checkpointed(lanes.join(pieces, "other"))
+    sized = _small(sized, sized.count() * 16)
+    part = lambda n: F.pmod(F.xxhash64("label"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = members.join(sized, "other").select(
+        "label", "other", part("pieces").alias("piece"), each("lanes").alias("lane")
     )
-    inside = inside.join(load, "other").withColumn(
-        "lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))
+    asked = wanted.join(sized, "other").select(
+        "label", "other", each("pieces").alias("piece"), part("lanes").alias("lane")
     )
     keys = ["other", "piece", "lane"]
-    # toDF gives both sides columns of their own; they come from the same tables.
-    left = inside.select(*keys, "node", "tokens").toDF(*keys, "node", "tokens")
-    right = asked.select(*keys, "node", "tokens").toDF(*keys, "node", "tokens")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_opened, EDGE_SCHEMA)
+
+    def side(rows: DataFrame) -> DataFrame:
+        rows = checkpointed(rows)
+        joined = held.join(_small(rows, rows.count() * 32), "label")
+        # toDF gives both sides columns of their own; they come from the same tables.
+        return joined.select(*keys, "node", "component", "tokens").toDF(*keys, "node", "component", "tokens")
+
+    return (
+        side(inside).groupBy(*keys).cogroup(side(asked).groupBy(*keys)).applyInPandas(_opened, EDGE_SCHEMA)
+    )
 
 
 # ---------------------------------------------------------------- the operator
@@ -460,7 +542,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     leaders = checkpointed(_leaders(sets))
     own = checkpointed(_own_links(sets, leaders))
     groups = checkpointed(_grouped(sets, own))
-    links = own.unionByName(_cross_links(sets, groups))
+    links = own.unionByName(_cross_links(sets, groups, leaders))
     merged = _grouped(sets, checkpointed(links))
     # The smallest id of each component, by way of its nodes.
     known = nodes.join(merged, "node", "left").select(
@@ -484,14 +566,15 @@ def _label(node: str):
 
 def _fetch(source: DataFrame, able: DataFrame) -> DataFrame:
     """Sets of the nodes that may link, from one document of each."""
-    wanted = able.select("key")
+    n = able.count()
     # A checked size: the list is broadcast when small, else both sides are shuffled.
-    if able.count() * 16 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    texts = source.withColumn("key", id_key("id")).join(wanted, "key", "left_semi").select("text")
-    return checkpointed(
-        texts.mapInArrow(_fetched, "node binary, tokens binary, minwise array<long>").dropDuplicates(["node"])
+    wanted = _small(able.select("key"), n * 16)
+    texts = source.withColumn("key", id_key("id")).join(wanted, "key", "left_semi")
+    sets = texts.select("text").mapInArrow(
+        _fetched, "node binary, label long, tokens binary, minwise array<long>"
     )
+    # Only where ids repeat can a node come twice.
+    return checkpointed(sets if texts.select("key").count() == n else sets.dropDuplicates(["node"]))
 
 
 def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:

@@ -303,6 +303,7 @@ def test_jaccard_components_of_hard_cases(spark, monkeypatch):
     """A large group of near copies, chains, a passage that all share, short and blank texts."""
     monkeypatch.setattr(jaccard, "PIECE", 8)
     monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(jaccard, "HOT_GROUPS", 2)
     rng = np.random.default_rng(11)
     word = lambda: "w" + str(rng.integers(0, 10**6))
     passage = [word() for _ in range(40)]
