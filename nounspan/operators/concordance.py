@@ -27,10 +27,24 @@ def first_tokens(terms: DataFrame, limit: int = MAX_FILTER_TERMS) -> list[str] |
 
 
 def with_any_term(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """Documents that hold the first token of some term."""
+    """Documents that hold the first token of some term, however many terms there are.
+
+    A list too long for a literal is joined on the distinct tokens of each
+    document; only ids, a hash of the text and tokens are shuffled for that.
+    """
     wanted = first_tokens(terms)
     if wanted is None:
-        return corpus
+        firsts = terms.select(F.get("term_tokens", F.lit(0)).alias("_w")).distinct()
+        words = corpus.select(
+            "doc_id",
+            F.xxhash64("text").alias("_text"),
+            F.explode(F.array_distinct(tokens(F.col("text")))).alias("_w"),
+        )
+        held = words.join(firsts, "_w", "left_semi").select("doc_id", "_text").distinct()
+        same = corpus.withColumn("_text", F.xxhash64("text"))
+        return same.alias("c").join(
+            held.alias("h"), F.expr("c._text = h._text AND c.doc_id <=> h.doc_id"), "left_semi"
+        ).drop("_text")
     if not wanted:
         return corpus.filter(F.lit(False))
     return corpus.filter(has_any_token(F.col("text"), wanted))
@@ -114,17 +128,21 @@ def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame) -> DataFrame:
     """The same for a term list that is too large to broadcast.
 
     Only places and tokens are shuffled to the terms; texts join the hits
-    afterwards by document.  AQE splits frequent tokens.
+    afterwards by document and a hash of the text, for several lines may share
+    a document's id.  AQE splits frequent tokens.
     """
-    words = sentence_table(corpus).select(
-        "doc_id", "sent_pos", tokens(F.col("sentence")).alias("_words")
+    keyed_texts = corpus.withColumn("_text", F.xxhash64("text"))
+    words = sentence_table(keyed_texts, "_text").select(
+        "doc_id", "_text", "sent_pos", tokens(F.col("sentence")).alias("_words")
     )
     words = words.select(
-        "doc_id", "sent_pos", F.posexplode_outer("_words").alias("token_pos", "_word")
+        "doc_id", "_text", "sent_pos", F.posexplode_outer("_words").alias("token_pos", "_word")
     )
     found = words.join(keyed, F.col("_word") == F.col("_first"))
-    texts = corpus.select("doc_id", split_sentences(F.col("text")).alias("_sents"))
-    return found.join(texts, "doc_id").withColumn(
+    texts = keyed_texts.dropDuplicates(["doc_id", "_text"]).select(
+        "doc_id", "_text", split_sentences(F.col("text")).alias("_sents")
+    )
+    return found.join(texts, ["doc_id", "_text"]).withColumn(
         "_words", tokens(F.get("_sents", F.col("sent_pos")))
     )
 

@@ -66,6 +66,8 @@ class _Caller:
     def _try(self, inputs: list) -> tuple[list | None, str | None]:
         error = None
         for attempt in range(1, self.policy.max_attempts + 1):
+            # Every attempt is a call; a full window pauses the next one, not the last.
+            self._spend(len(inputs))
             try:
                 outputs = self.model(inputs)
                 if len(outputs) != len(inputs):
@@ -81,10 +83,10 @@ class _Caller:
         quota = self.policy.quota()
         if quota is None:
             return
-        self.made += n
-        while self.made >= quota:
+        if self.made and self.made + n > quota:
             self.policy.sleep(self.policy.window)
-            self.made -= quota
+            self.made = 0
+        self.made += n
 
     def run(self, inputs: list, batch_size: int) -> Iterator[tuple[str | None, str | None]]:
         quota = self.policy.quota()
@@ -101,7 +103,6 @@ class _Caller:
                 for one in batch:
                     outputs, error = self._try([one])
                     yield (outputs[0], None) if outputs else (None, error)
-            self._spend(len(batch))
 
 
 def run_model(

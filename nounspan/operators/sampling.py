@@ -73,7 +73,7 @@ def cut_points(
     )
     in_bucket = Window.partitionBy(*keys, "_bucket", "name").orderBy(*order)
     found = (
-        slim.join(small_side(holders), [*keys, "_bucket"])
+        null_safe(slim, small_side(holders), [*keys, "_bucket"])
         .withColumn("_rn", F.row_number().over(in_bucket))
         .filter(F.col("_rn") == F.col("_at"))
     )
@@ -83,6 +83,13 @@ def cut_points(
     )
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys where null equals null."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, met).drop(*[f"_r_{k}" for k in keys])
+
+
 def draw_per_key(
     df: DataFrame, keys: list[str], value: Column, bucket: Column, ids: list[str], n: int
 ) -> DataFrame:
@@ -94,7 +101,7 @@ def draw_per_key(
             cut_points(drawn, keys, bucket, order, {"_cut": F.least(F.col("_total"), F.lit(n))})
         )
         drawn = (
-            drawn.join(cuts, keys)
+            null_safe(drawn, cuts, keys)
             .filter(F.struct(*order) <= F.col("_cut"))
             .drop("_cut")
         )
