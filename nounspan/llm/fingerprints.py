@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.llm.common import id_key, text_of
+from nounspan.llm.common import NO_ID, id_key, text_of
 from nounspan.operators.ids import with_rid
 
 SHORT_LINE = 16
@@ -23,31 +23,48 @@ PIECE_WORDS = 8
 SHORT_PIECE_WORDS = 2
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _pieces(line: Column) -> Column:
     """Hashes of the line's runs of words; short lines have finer ones."""
-    words = F.split(line, " ")
-    step = F.when(F.size(words) <= SHORT_LINE, SHORT_PIECE_WORDS).otherwise(PIECE_WORDS)
-    starts = F.sequence(F.lit(1), F.size(words), step)
-    return F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, step)))
+
+    def runs(words: Column, step: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words), step)
+        return F.transform(starts, lambda at: F.xxhash64(F.slice(words, at, step)))
+
+    def graded(words: Column) -> Column:
+        step = F.when(F.size(words) <= SHORT_LINE, SHORT_PIECE_WORDS).otherwise(PIECE_WORDS)
+        return _bound(step, lambda n: runs(words, n))
+
+    return _bound(F.split(line, " "), graded)
+
+
+def _sections(leaves: Column) -> Column:
+    """Hashes of the sections; a mark stands after each leaf that ends one."""
+    marked = F.transform(leaves, lambda leaf: F.regexp_replace(leaf, "([08])$", "$1|"))
+    parts = F.filter(F.split(F.array_join(marked, ""), "[|]"), lambda part: part != "")
+    return F.transform(parts, lambda part: F.sha2(part, 256))
 
 
 def tree(text: Column) -> Column:
     """Struct ``root, sections, leaves, pieces`` of a text; null counts as empty."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    leaves = F.transform(lines, lambda line: F.sha2(line, 256))
-    # Leaves with a mark after each that ends a section.
-    marked = F.array_join(
-        F.transform(leaves, lambda leaf: F.regexp_replace(leaf, "([08])$", "$1|")), ""
-    )
-    sections = F.transform(
-        F.filter(F.split(marked, "[|]"), lambda part: part != ""), lambda part: F.sha2(part, 256)
-    )
-    return F.struct(
-        F.sha2(F.array_join(sections, ""), 256).alias("root"),
-        sections.alias("sections"),
-        leaves.alias("leaves"),
-        F.array_distinct(F.flatten(F.transform(lines, _pieces))).alias("pieces"),
-    )
+
+    def whole(leaves: Column, sections: Column, lines: Column) -> Column:
+        return F.struct(
+            F.sha2(F.array_join(sections, ""), 256).alias("root"),
+            sections.alias("sections"),
+            leaves.alias("leaves"),
+            F.array_distinct(F.flatten(F.transform(lines, _pieces))).alias("pieces"),
+        )
+
+    def of(lines: Column) -> Column:
+        leaves = F.transform(lines, lambda line: F.sha2(line, 256))
+        return _bound(leaves, lambda l: _bound(_sections(l), lambda s: whole(l, s, lines)))
+
+    return _bound(F.split(F.coalesce(text, F.lit("")), "\n"), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -80,7 +97,10 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     same next document; of several next rows the one with the smallest start
     counts.  Texts are shuffled once by id, starts and pieces once more.
     """
-    docs = df.select(F.col(id_col).alias("id"), id_key(id_col).alias("key"), text_of(text_col).alias("text"))
+    # Both uses of the texts read the same two columns, so that one exchange serves both.
+    docs = df.select(id_key(id_col).alias("key"), text_of(text_col).alias("text"))
+    kind = df.schema[id_col].dataType
+    own_id = F.when(F.col("key") != NO_ID, F.col("key")).cast(kind)
     lengths = docs.groupBy("key").agg(F.max(F.length("text")).alias("n"))
     order = with_rid(lengths, [F.col("key")], name="at")
     total = order.count()
@@ -112,7 +132,7 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     return (
         docs.join(given, "key")
-        .select("id", "text", "next", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+        .select(own_id.alias("id"), "text", "next", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
         .select(
             "id",
             "n_chars",
