@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 400
+HELD_GRAMS = 2_000_000
 SPACE = 32
 
 _letters: np.ndarray | None = None
@@ -62,16 +63,28 @@ def ranked(grams: np.ndarray, most: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        by_lang: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            by_lang.setdefault(lang, []).append(grams_of(text or ""))
+    """Sums of at most about HELD_GRAMS n-grams at a time, and one text."""
+    by_lang: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
         for lang, found in by_lang.items():
             values, counts = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(counts)],
                 ["lang", "gram", "n"],
             )
+        by_lang.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            grams = grams_of(text or "")
+            by_lang.setdefault(lang, []).append(grams)
+            held += len(grams)
+            if held >= HELD_GRAMS:
+                yield from summed()
+                held = 0
+    yield from summed()
 
 
 def fit_profiles(
