@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ SPACES = "[\\x20\\x09-\\x0D]"
 NO_ID = -(2**63)
 
 
+def release_memory() -> None:
+    """Return to the system what a finished batch has left free.
+
+    Spark keeps Python workers for later stages, and what their allocators hold
+    back counts against the executor all that time.
+    """
+    pa.default_memory_pool().release_unused()
+    # Looked up here: this function travels to the workers by value.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

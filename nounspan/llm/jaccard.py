@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.llm.common import checkpointed, id_key
+from nounspan.llm.common import checkpointed, id_key, release_memory
 from nounspan.llm.components import components
 
 WORDS = 5
@@ -124,30 +124,37 @@ def minwise(tokens: np.ndarray) -> list[int]:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        nodes, sizes = [], []
+        for text in batch.column("text").cast(pa.binary()):
+            tokens = shingles(text.as_py())
+            nodes.append(node_of(tokens) if len(tokens) else None)
+            sizes.append(len(tokens))
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()),
-            ],
+            [batch.column("id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())],
             ["id", "node", "n"],
         )
+        release_memory()
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        sets = [s for s in sets if len(s)]
+        nodes, blobs, hashes = [], [], []
+        for text in batch.column("text").cast(pa.binary()):
+            tokens = shingles(text.as_py())
+            if len(tokens):
+                nodes.append(node_of(tokens))
+                blobs.append(tokens.tobytes())
+                hashes.append(minwise(tokens))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(nodes := [node_of(s) for s in sets], pa.binary()),
+                pa.array(nodes, pa.binary()),
                 pa.array(np.array([label_of(n) for n in nodes], dtype=np.uint64).view(np.int64)),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-                pa.array([minwise(s) for s in sets], pa.list_(pa.int64())),
+                pa.array(blobs, pa.binary()),
+                pa.array(hashes, pa.list_(pa.int64())),
             ],
             ["node", "label", "tokens", "minwise"],
         )
+        release_memory()
 
 
 # ---------------------------------------------------------------- matrix of all nodes
@@ -163,15 +170,17 @@ def _entries(buckets: int):
     def run(batches):
         for batch in batches:
             found = {}
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                tokens = shingles(text)
+            for text in batch.column("text").cast(pa.binary()):
+                tokens = shingles(text.as_py())
                 if len(tokens):
-                    found[label_of(node_of(tokens))] = tokens[: prefix_length(len(tokens))]
+                    # A copy: a view would hold the whole set.
+                    found[label_of(node_of(tokens))] = tokens[: prefix_length(len(tokens))].copy()
             if not found:
                 continue
             labels = np.fromiter(found, np.uint64, len(found))
             tokens = np.concatenate(list(found.values()))
-            owner = np.repeat(np.arange(len(labels)), [len(t) for t in found.values()])
+            owner = np.repeat(np.arange(len(labels), dtype=np.int32), [len(t) for t in found.values()])
+            found.clear()
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             first = np.concatenate(([True], tokens[1:] != tokens[:-1]))
@@ -193,6 +202,8 @@ def _entries(buckets: int):
             hit = np.flatnonzero(shared)
             rows.append((int(labels[0] % np.uint64(buckets)), (), labels[hit], shared[hit], (), (1,)))
             yield _packed(rows)
+            del tokens, owner, where, order, rows, alone, many
+            release_memory()
 
     return run
 
@@ -222,6 +233,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Tokens of each node that another node has too, in one bucket."""
+    release_memory()
     labels, counts = [], []
     for row in group[group["own"]].itertuples():
         labels.append(np.frombuffer(row.labels, "<u8"))
@@ -357,6 +369,7 @@ def _rows(whole: bool):
                 ],
                 ["token", "label", "component", "grp", "n"],
             )
+            release_memory()
 
     return run
 

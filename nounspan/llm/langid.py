@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nounspan.llm.common import release_memory
+
 PROFILE = 400
 HELD_GRAMS = 2_000_000
 SPACE = 32
@@ -75,6 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["lang", "gram", "n"],
             )
         by_lang.clear()
+        release_memory()
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -150,6 +153,7 @@ def language_of(text: Column, profiles: dict[str, np.ndarray], size: int = PROFI
                 grams = grams_of(value) if value and ranks else ()
                 rows.append(ranks.nearest(grams) if len(grams) else ("und", 0.0))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            release_memory()
 
     return nearest(text)
 
