@@ -241,7 +241,13 @@ CTE_TERMS = (
 
 
 def cte_hits(before: int = 2, after: int = 1, lines: int = 3, sizes: str = ">= 1") -> str:
-    """Occurrences of the test terms, by comparing token slices."""
+    """Occurrences of the test terms: token slices, and the stretch of the raw sentence."""
+    raw = "lower(x.s[x.sent_pos + 1])"
+    start = f"CASE WHEN regexp_matches({raw}, '^[\\p{{L}}\\p{{N}}_]') THEN 1 ELSE 2 END + 2 * x.token_pos"
+    stretch = (
+        f"array_to_string(list_slice(regexp_extract_all({raw}, '[\\p{{L}}\\p{{N}}_]+|{NON_WORD}'), "
+        f"{start}, {start} + 2 * len(t.w) - 2), '')"
+    )
     return (
         f"{CTE_SENT}, {CTE_TERMS}, "
         f"words AS (SELECT doc_id, sent_pos, s, {sql_tokens('sentence')} AS w FROM sent), "
@@ -250,7 +256,8 @@ def cte_hits(before: int = 2, after: int = 1, lines: int = 3, sizes: str = ">= 1
         f"array_to_string(list_slice(x.s, greatest(x.sent_pos - {before}, 0) + 1, "
         f"x.sent_pos + {after + 1}), ' ') AS passage "
         f"FROM word x JOIN terms t ON x.w[x.token_pos + 1] = t.w[1] WHERE len(t.w) {sizes} "
-        "AND list_slice(x.w, x.token_pos + 1, x.token_pos + len(t.w)) = t.w), "
+        "AND list_slice(x.w, x.token_pos + 1, x.token_pos + len(t.w)) = t.w "
+        f"AND (len(t.w) = 1 OR {stretch} = lower(t.term))), "
         f"kept AS (SELECT * FROM hits WHERE len(string_split(passage, chr(10))) <= {lines} "
         "AND passage <> '')"
     )

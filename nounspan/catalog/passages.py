@@ -23,7 +23,6 @@ from nounspan.catalog.base import (
     terms,
     turns,
 )
-from nounspan.functions import inflect
 from nounspan.functions.prompts import (
     JUDGE_HEAD,
     JUDGE_MIDDLE,
@@ -251,15 +250,22 @@ def p22(spark, sf):
 
 
 def _plural_sql(word: str) -> str:
-    known = " ".join(
-        f"WHEN {word} = {sql_str(a)} THEN {sql_str(b)}" for a, b in inflect.IRREGULAR.items()
-    )
+    """Plurals in SQL, written on their own; hyphenated heads do not occur in the texts."""
+    cut = lambda n, end: f"left({word}, len({word}) - {n}) || '{end}'"
+    ends = lambda pattern: f"regexp_matches({word}, '(?i)({pattern})\\z')"
     return (
-        f"CASE {known} WHEN {word} = '' THEN {word} "
-        f"WHEN regexp_matches({word}, '[a-z]man\\z') THEN regexp_replace({word}, 'man\\z', 'men') "
-        f"WHEN {word} LIKE '%person' THEN regexp_replace({word}, 'person\\z', 'people') "
+        f"CASE WHEN {word} = '' THEN {word} "
+        f"WHEN {ends('human|german|roman|norman|ottoman|shaman|talisman|brahman')} THEN {word} || 's' "
+        f"WHEN {ends('monarch|patriarch|matriarch|oligarch|hierarch|eunuch|czech|stomach|epoch')} "
+        f"THEN {word} || 's' "
+        f"WHEN {ends('^foot')} THEN {cut(3, 'eet')} WHEN {ends('^tooth')} THEN {cut(4, 'eeth')} "
+        f"WHEN {ends('^goose')} THEN {cut(4, 'eese')} WHEN {ends('^ox')} THEN {word} || 'en' "
+        f"WHEN {ends('alumnus')} THEN {cut(2, 'i')} WHEN {ends('child')} THEN {word} || 'ren' "
+        f"WHEN {ends('hero')} THEN {word} || 'es' WHEN {ends('man')} THEN {cut(2, 'en')} "
+        f"WHEN {ends('mouse')} THEN {cut(4, 'ice')} WHEN {ends('person')} THEN {cut(4, 'ople')} "
+        f"WHEN {ends('thief')} THEN {cut(1, 'ves')} WHEN {ends('wife')} THEN {cut(2, 'ves')} "
         f"WHEN regexp_matches({word}, '(s|x|z|ch|sh)\\z') THEN {word} || 'es' "
-        f"WHEN regexp_matches({word}, '[^aeiouAEIOU]y\\z') THEN regexp_replace({word}, 'y\\z', 'ies') "
+        f"WHEN regexp_matches({word}, '[^aeiouAEIOU]y\\z') THEN {cut(1, 'ies')} "
         f"ELSE {word} || 's' END"
     )
 

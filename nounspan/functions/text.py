@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # A token is a maximal run of letters, digits and underscores.  The same
 # pattern means the same thing to Java and to RE2, unlike \b and \w.
 NON_WORD = r"[^\p{L}\p{N}_]+"
+TOKEN = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"([.!?])[ \t\r\n]+"
 SENTENCE_MARK = "\u0001"
 # White space as Python's str.strip understands it.
@@ -30,6 +31,11 @@ def has_any_token(text: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(tokens(text), F.array(*[F.lit(w) for w in wanted]))
 
 
+def between_tokens(text: Column) -> Column:
+    """What stands before, between and after the tokens, in order."""
+    return F.split(F.lower(text), TOKEN)
+
+
 def split_sentences(text: Column) -> Column:
     """Sentences as an array: cut after . ! ? where white space follows."""
     return F.split(F.regexp_replace(text, SENTENCE_END, "$1" + SENTENCE_MARK), SENTENCE_MARK)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nounspan.functions.text import (
+    between_tokens,
     context_window,
     has_any_token,
     max_lines,
@@ -166,7 +167,8 @@ def concordance(
 
     Up to ``max_terms`` terms are broadcast, and documents stream through
     sentences, tokens and a hash join in one stage without a shuffle.  A phrase
-    joins on its first token and is then compared in full.  A longer term list
+    joins on its first token and is then compared in full, with what stands
+    between its tokens.  A longer term list
     is joined by a shuffle of bare tokens.
     """
     keyed = pick_mode(terms, mode).select(
@@ -181,7 +183,13 @@ def concordance(
         hits = hits_by_broadcast(corpus, keyed, wanted)
     if mode != "token":
         whole = ngram_at(F.col("_words"), F.col("token_pos"), F.size("term_tokens"))
-        hits = hits.filter(whole == F.col("term_tokens"))
+        # As written: the same tokens, and the same characters between them.
+        gaps = F.size("term_tokens") - 1
+        found = F.slice(
+            between_tokens(F.get("_sents", F.col("sent_pos"))), F.col("token_pos") + 2, gaps
+        )
+        as_written = (gaps == 0) | (found == F.slice(between_tokens(F.col("term")), F.lit(2), gaps))
+        hits = hits.filter((whole == F.col("term_tokens")) & as_written)
     # Pinned, or conditions on the passage would move into the join, where a
     # passage is built for every token, and more than once.
     passage = pinned(

@@ -135,3 +135,20 @@ def test_pluralise_lexicon(spark):
     df = spark.createDataFrame([("team leader",)], "noun string")
     assert pluralise_lexicon(df, "noun").first()["plural"] == "team leaders"
     assert df.select(F.col("noun")).count() == 1
+
+
+def test_phrases_as_written(spark):
+    docs = [
+        (1, "The team, leaders and staff."),
+        (2, "The team (leaders) met."),
+        (3, "Team leaders, the team, leaders and team leaders."),
+        (4, "team  leaders and steam leaders"),
+        (5, "(team leaders"),
+    ]
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    wanted = spark.createDataFrame([("team leaders",)], "term string").withColumn(
+        "term_tokens", F.split("term", " ")
+    )
+    for most in (10, 0):
+        found = C.concordance(corpus, wanted, mode="phrase", max_terms=most)
+        assert [r[1:4] for r in rows(found)] == [(3, 0, 0), (3, 0, 6), (5, 0, 0)]

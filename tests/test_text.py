@@ -93,6 +93,21 @@ def test_pluralise(spark):
         "salesperson": "salespeople",
         "boy": "boys",
         "fireman": "firemen",
+        "human": "humans",
+        "German": "Germans",
+        "Woman": "Women",
+        "monarch": "monarchs",
+        "coach": "coaches",
+        "midwife": "midwives",
+        "grandchild": "grandchildren",
+        "stepchild": "stepchildren",
+        "mother-in-law": "mothers-in-law",
+        "passer-by": "passers-by",
+        "man-at-arms": "men-at-arms",
+        "co-worker": "co-workers",
+        "Person": "People",
+        "fox": "foxes",
+        "ox": "oxen",
         "": "",
     }
     assert values(spark, list(rows), pluralise) == list(rows.values())
