@@ -150,10 +150,18 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def longest_words(text: Column) -> Column:
+    """The distinct words of a whole text, longest first, equally long ones by code point."""
+    pair = lambda t: F.struct((-F.length(t)).alias("size"), t.alias("word"))
+    return F.sort_array(F.transform(F.array_distinct(tokens(text)), pair))
+
+
 def derived_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """A lexicon as large as the documents table: nouns and forms from its words."""
-    docs = documents(spark, sf, "doc_id", "text", "n_chars")
-    w = [F.coalesce(F.get(tokens(F.col("text")), F.lit(i)), F.lit("")).alias(f"w{i}") for i in (0, 1, 2)]
+    """A lexicon as large as the documents table: nouns and forms from the longest words of its texts."""
+    docs = documents(spark, sf, "doc_id", "text", "n_chars").select(
+        "doc_id", "n_chars", longest_words(F.col("text")).alias("_longest")
+    )
+    w = [F.coalesce(F.get(F.col("_longest"), F.lit(i))["word"], F.lit("")).alias(f"w{i}") for i in (0, 1, 2)]
     n = F.col("n_chars")
     phrase = F.when(n % 3 == 0, F.concat_ws(" ", "w0", "w1")).otherwise(F.col("w0"))
     tail = F.when(n % 7 == 0, ";").otherwise("")
@@ -278,7 +286,9 @@ CTE_TURNS = (
     "AND a.role = 'assistant' WHERE u.role = 'user')"
 )
 CTE_DERIVED = (
-    f"dw AS (SELECT doc_id, n_chars AS n, {sql_tokens('text')} AS w FROM documents), "
+    "dw AS (SELECT doc_id, n_chars AS n, list_transform(list_sort(list_transform(list_distinct("
+    f"{sql_tokens('text')}), lambda t: {{'size': -length(t), 'word': t}})), lambda p: p.word) AS w "
+    "FROM documents), "
     "d3 AS (SELECT doc_id, n, coalesce(w[1], '') AS w0, coalesce(w[2], '') AS w1, "
     "coalesce(w[3], '') AS w2 FROM dw), "
     "dlex AS (SELECT doc_id AS row_no, 'The ' || CASE WHEN n % 3 = 0 THEN w0 || ' ' || w1 ELSE w0 END "

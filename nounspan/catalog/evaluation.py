@@ -12,6 +12,7 @@ from nounspan.catalog.base import (
     documents,
     derived_lexicon,
     lexicon,
+    longest_words,
     query,
     sql_forms,
     sql_tokens,
@@ -19,7 +20,6 @@ from nounspan.catalog.base import (
     translations,
 )
 from nounspan.functions.forms import form_columns
-from nounspan.functions.text import tokens
 from nounspan.operators.annotations import common_annotations
 from nounspan.operators.concordance import sentence_table
 from nounspan.operators.evaluation import (
@@ -32,7 +32,6 @@ from nounspan.operators.evaluation import (
 )
 
 FORMS = form_columns("plural")
-LANGUAGES = ("de", "en", "es", "fr")
 
 # First lexicon row per seed, by a scan in file order.
 CTE_FIRST = (
@@ -85,8 +84,8 @@ def j4(spark, sf):
 )
 def j4_large(spark, sf):
     # A lexicon as large as the documents table takes the shuffled join.
-    first = F.coalesce(F.get(tokens(F.col("text")), F.lit(0)), F.lit(""))
-    seeds = documents(spark, sf).select("doc_id", first.alias("seed_noun"))
+    longest = F.get(longest_words(F.col("text")), F.lit(0))["word"]
+    seeds = documents(spark, sf).select("doc_id", F.coalesce(longest, F.lit("")).alias("seed_noun"))
     matched = match_lexicon(seeds, derived_lexicon(spark, sf))
     return matched.select("doc_id", "seed_noun", "lexicon_row")
 
@@ -173,10 +172,12 @@ def a3(spark, sf):
     f"WITH {CTE_SENT} SELECT doc_id, sent_pos, sentence, lang AS model FROM sent",
 )
 def set3(spark, sf):
+    # A system for every language that occurs; their number does not grow with the table.
+    names = [r["lang"] for r in table(spark, sf, "documents").select("lang").distinct().collect()]
     return union_systems(
         {
-            lang: sentence_table(documents(spark, sf, where=F.col("lang") == lang))
-            for lang in LANGUAGES
+            lang: sentence_table(documents(spark, sf, where=F.col("lang").eqNullSafe(lang)))
+            for lang in names
         }
     )
 

@@ -56,13 +56,14 @@ def s2(spark, sf):
 
 @query(
     "s2_read_lines",
-    f"""WITH l AS (SELECT {sql_strip('unnest(string_split(text, chr(10)))')} AS text FROM documents)
-    SELECT text, count(*) AS n FROM l GROUP BY text""",
+    f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(s))) AS line_no, {sql_strip('unnest(s)')} AS text FROM s)
+    SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id, text FROM l""",
 )
 def s2_files(spark, sf):
     path = scratch_path(spark, "lines")
-    documents(spark, sf).select("text").write.text(path)
-    return readers.read_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+    documents(spark, sf).orderBy("doc_id").select("text").write.text(path)
+    return readers.read_lines(spark, path)
 
 
 @query("s3_corpus_documents", "SELECT doc_id, text FROM documents")
@@ -73,10 +74,10 @@ def s3(spark, sf):
 @query(
     "s4_load_corpus",
     """SELECT 'wikipedia' AS corpus, doc_id, -1 AS line_no, length(text)::INTEGER AS n FROM documents
-    UNION ALL SELECT 'europarl', page_id, unnest(range(len(string_split(html, chr(10)))))::INTEGER,
-    length("""
+    UNION ALL SELECT 'europarl', row_number() OVER (ORDER BY page_id, line_no) - 1, line_no, n
+    FROM (SELECT page_id, unnest(range(len(string_split(html, chr(10)))))::INTEGER AS line_no, length("""
     + sql_strip("unnest(string_split(html, chr(10)))")
-    + ")::INTEGER FROM pages",
+    + ")::INTEGER AS n FROM pages)",
 )
 def s4(spark, sf):
     docs = readers.load_corpus(spark, "wikipedia", f"{sf}/documents.parquet")

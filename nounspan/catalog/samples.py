@@ -27,7 +27,7 @@ from nounspan.operators.samples import (
     explode_selected,
     flatten_translations,
     funnel,
-    merge_samples,
+    merge_sharded,
     non_empty_seeds,
     prepare_passages,
     regroup_completions,
@@ -197,9 +197,6 @@ def j9(spark, sf):
     return pending_terms(words, done.distinct())
 
 
-SHARDS = ("de", "en", "es", "fr")
-
-
 @query(
     "set1_merge_samples",
     f"""WITH tk AS (SELECT lang, unnest({sql_tokens('text')}) AS term FROM documents),
@@ -208,15 +205,11 @@ SHARDS = ("de", "en", "es", "fr")
     FROM ct GROUP BY term""",
 )
 def set1(spark, sf):
-    # One shard of word counts per language, in alphabetical order.
-    def shard(lang):
-        docs = documents(spark, sf, where=F.col("lang") == lang)
-        words = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-        return words.groupBy("term").agg(F.count("*").alias("total_matches")).withColumn(
-            "shard", F.lit(lang)
-        )
-
-    return merge_samples(*[shard(lang) for lang in SHARDS])
+    # One shard of word counts per language, in alphabetical order, from one scan.
+    docs = documents(spark, sf, "lang", "text", "doc_id")
+    words = docs.select(F.col("lang").alias("shard"), F.explode(tokens(F.col("text"))).alias("term"))
+    counts = words.groupBy("shard", "term").agg(F.count("*").alias("total_matches"))
+    return merge_sharded(counts, "shard")
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nounspan.functions.forms import comparable, form_columns, form_indicator
 from nounspan.functions.text import strip_article
 from nounspan.operators.lexicon import form_lists, substring_index
-from nounspan.session import small_side
+from nounspan.session import hinted, small_side
 
 
 def match_lexicon(
@@ -28,6 +28,9 @@ def match_lexicon(
     the whole noun without its article, on both sides in lower case.  An
     unknown seed keeps null lists.  ``prepare`` is applied to every form once,
     in the lexicon.
+
+    An index that is too large to broadcast meets the distinct seeds, and only
+    the rows that they hit go back to the seeds.
     """
     if exact:
         noun = F.regexp_replace(F.lower(strip_article(F.col("english"))), r"[; ]+\z", "")
@@ -40,8 +43,11 @@ def match_lexicon(
         F.col("row_no").alias("lexicon_row"),
         *[F.transform(c, lambda f: prepare(f)).alias(c) if prepare else c for c in form_columns(number)],
     )
+    at = hinted(index)
+    if at is None:
+        at = small_side(index.join(seeds.select(wanted.alias("piece")).distinct(), "piece"))
     return (
-        seeds.join(small_side(index), wanted == F.col("piece"), "left")
+        seeds.join(at, wanted == F.col("piece"), "left")
         .drop("piece")
         .join(small_side(forms), "lexicon_row", "left")
         .select(*[F.col(f"`{c}`") for c in seeds.columns], "lexicon_row", *form_columns(number))
@@ -98,5 +104,5 @@ def union_systems(systems: dict[str, DataFrame]) -> DataFrame:
     """Translations of several systems in one table with a ``model`` column."""
     if not systems:
         raise ValueError("no systems to unite")
-    parts = [df.withColumn("model", F.lit(model)) for model, df in systems.items()]
+    parts = [df.withColumn("model", F.lit(model).cast("string")) for model, df in systems.items()]
     return reduce(DataFrame.unionByName, parts)

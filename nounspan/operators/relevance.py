@@ -45,9 +45,13 @@ def mse(df: DataFrame, label: str = "label", prediction: str = "prediction") ->
 
 
 def exclude_seen(df: DataFrame, seen: DataFrame, text: str = "sentence") -> DataFrame:
-    """Drop sentences that occur in an exclusion set, compared as whole strings."""
-    known = seen.select(F.col("source").alias("_seen")).filter("_seen is not null").distinct()
-    return df.join(small_side(known), F.col(text) == F.col("_seen"), "left_anti")
+    """Drop sentences that occur in an exclusion set, compared by a digest of the whole string.
+
+    Only digests of a fixed length are fetched, broadcast or shuffled for the set.
+    """
+    digest = lambda c: F.sha2(F.col(c), 256)
+    known = seen.select(digest("source").alias("_seen")).filter("_seen is not null").distinct()
+    return df.join(small_side(known), digest(text) == F.col("_seen"), "left_anti")
 
 
 def attach_scores(matches: DataFrame, score: Column) -> DataFrame:
@@ -97,6 +101,15 @@ def fit_relevance(
     return PipelineModel([*text_model.stages, best[1]]), errors
 
 
+def save_relevance(model: PipelineModel, path: str) -> None:
+    """Store a fitted model in a folder that every executor can reach."""
+    model.write().overwrite().save(path)
+
+
+def load_relevance(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score_passages(df: DataFrame, model: PipelineModel, text: str = "source") -> DataFrame:
     """Add ``score`` by the fitted model; negative predictions are raised to zero."""
     scored = model.transform(df.withColumn("source", F.coalesce(F.col(text), F.lit(""))))

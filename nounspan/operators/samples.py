@@ -39,12 +39,16 @@ def merge_samples(*shards: DataFrame) -> DataFrame:
         raise ValueError("no shards to merge")
     columns = shards[0].columns
     numbered = [s.select(*columns, F.lit(i).alias("_shard")) for i, s in enumerate(shards)]
-    record = F.struct(*[c for c in columns if c != "term"])
+    return merge_sharded(reduce(DataFrame.unionByName, numbered), "_shard").drop("_shard")
+
+
+def merge_sharded(samples: DataFrame, shard: str) -> DataFrame:
+    """The same for shards in one table, read once: the record of the greatest ``shard``."""
+    record = F.struct(*[c for c in samples.columns if c != "term"])
     return (
-        reduce(DataFrame.unionByName, numbered)
-        .groupBy("term")
-        .agg(F.max_by(record, "_shard").alias("_r"))
-        .select(*[F.col("term") if c == "term" else F.col(f"_r.{c}") for c in columns])
+        samples.groupBy("term")
+        .agg(F.max_by(record, shard).alias("_r"))
+        .select(*[F.col("term") if c == "term" else F.col(f"_r.{c}") for c in samples.columns])
     )
 
 

@@ -80,16 +80,22 @@ def small_rows(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> list[dict] | No
     return None if content is None else content.to_pylist()
 
 
+def hinted(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame | None:
+    """The table, evaluated once and hinted for broadcast, or None if it is not small."""
+    content = small_table(df, max_rows)
+    if content is None:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(content, df.schema))
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     """Join side with a broadcast hint when its size is proven to be small.
 
-    A table within the bounds is evaluated once and hinted; a larger one comes
-    back unhinted, so that the join shuffles and AQE splits its skewed keys.
+    A larger table comes back unhinted, so that the join shuffles and AQE
+    splits its skewed keys.
     """
-    content = small_table(df, max_rows)
-    if content is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(content, df.schema))
+    side = hinted(df, max_rows)
+    return df if side is None else side
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:

@@ -69,10 +69,12 @@ def corpus_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Line corpus from text files: file name, place in the file, stripped line."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("doc_id"), strip(F.col("value")).alias("text")
-    )
+    """Line corpus from text files: a dense number by file and place in the file, stripped line.
+
+    The numbers are the same however the files are split into tasks.
+    """
+    lines = in_file_order(spark.read.text(path), "doc_id")
+    return lines.select("doc_id", strip(F.col("value")).alias("text"))
 
 
 def corpus_documents(
@@ -87,13 +89,19 @@ def corpus_documents(
 def load_corpus(
     spark: SparkSession, name: str, path: str, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
-    """Corpus by name.  A line corpus may be stored as text files or as a table."""
+    """Corpus by name.  A line corpus may be stored as text files or as a table.
+
+    Every line is a document with a dense number of its own; lines of a table
+    keep the row they come from as ``source_id, line_no``.
+    """
     if name not in CORPORA:
-        raise ValueError(f"Dataset {name} unrecognized")
+        raise ValueError(f"no corpus is called {name!r}; there are {', '.join(sorted(CORPORA))}")
     if CORPORA[name] == "documents":
         return corpus_documents(spark, path, text_col, id_col)
     if path.rstrip("/").endswith(".parquet"):
-        return corpus_lines(corpus_documents(spark, path, text_col, id_col))
+        lines = corpus_lines(corpus_documents(spark, path, text_col, id_col))
+        lines = lines.withColumnRenamed("doc_id", "source_id")
+        return with_rid(lines, ["source_id", "line_no", "text"], "doc_id")
     return read_lines(spark, path)
 
 
@@ -139,13 +147,19 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def in_file_order(df: DataFrame, name: str) -> DataFrame:
-    """Dense number from 0 by file name and place in the file."""
+    """Dense number from 0 by file path and place in the file.
+
+    A task reads a block in order, so its running number orders the rows of a
+    block, and the start of the block orders the blocks of a file.
+    """
     placed = df.select(
         "*",
-        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    return with_rid(placed, ["_file", "_at"], name).drop("_file", "_at")
+    order = ["_file", "_block", "_at"]
+    return with_rid(placed, order, name).drop(*order)
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

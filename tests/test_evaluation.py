@@ -120,3 +120,17 @@ def test_common_annotations(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id long, label string")
     b = spark.createDataFrame([(1, "z"), (2, "z"), (3, None)], "id long, label string")
     assert [tuple(r) for r in common_annotations(a, b).collect()] == [(1, "x")]
+
+
+def test_large_index_finds_the_same_rows(spark, monkeypatch):
+    lexicon = spark.createDataFrame(
+        [(0, "The bakers", "Die Bäcker", "Die Bäckerinnen", "", "")],
+        "row_no long, english string, german_mp string, german_fp string, gender_neutral string, gender_inclusive string",
+    )
+    seeds = spark.createDataFrame([("bakers",), ("bakers",), ("Bakers",), (None,), ("",)], "seed_noun string")
+    both = []
+    for side in (E.hinted, lambda index: None):
+        monkeypatch.setattr(E, "hinted", side)
+        rows = E.match_lexicon(seeds, lexicon).select("seed_noun", "lexicon_row").collect()
+        both.append(sorted(map(repr, rows)))
+    assert both[0] == both[1] and len(both[0]) == 5

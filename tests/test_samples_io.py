@@ -120,6 +120,30 @@ def test_corpora(spark, tmp_path):
         R.load_corpus(spark, "other", "x")
 
 
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {i}\n" for i in range(500)))
+    setting = "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(setting), []
+    try:
+        for size in ("1k", "64m"):
+            spark.conf.set(setting, size)
+            seen.append(sorted(map(tuple, R.read_lines(spark, str(tmp_path)).collect())))
+    finally:
+        spark.conf.set(setting, before)
+    wanted = [f"a {i}" for i in range(500)] + [f"b {i}" for i in range(500)]
+    assert seen[0] == seen[1] == list(enumerate(wanted))
+
+
+def test_lines_of_a_table_are_documents_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    rows = [(7, "the cat.\nthe cat."), (3, "a dog"), (None, "x"), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    lines = R.load_corpus(spark, "europarl", path).orderBy("doc_id")
+    got = [(r["doc_id"], r["source_id"], r["line_no"], r["text"]) for r in lines.collect()]
+    assert got == [(0, None, 0, "x"), (1, 3, 0, "a dog"), (2, 7, 0, "the cat."), (3, 7, 1, "the cat.")]
+
+
 def test_tags(spark):
     df = spark.createDataFrame(
         [("/d/form.plural_europarl.csv", "org/m"), ("wiki/x", "m"), ("d/.csv", "a/b/c")], "p string, m string"
