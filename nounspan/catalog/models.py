@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from nounspan.catalog.base import (
@@ -17,7 +19,7 @@ from nounspan.catalog.evaluation import CTE_FORM_HITS
 from nounspan.catalog.evaluation import hits as form_rows
 from nounspan.catalog.passages import CTE_JUDGE, JUDGE_SQL, judge_input
 from nounspan.catalog.samples import CTE_PROMPTS, CTE_SAMPLES, document_samples, prompts
-from nounspan.operators.concordance import concordance
+from nounspan.operators.concordance import concordance, own_sentence
 from nounspan.operators.inference import (
     CallPolicy,
     indicator_judge,
@@ -99,43 +101,61 @@ def e4(spark, sf):
     return judged.select("id", "prompt", "response")
 
 
-def _suffix_tagger():
-    return lambda records: ["NOUN" if r["token"].endswith("nes") else "X" for r in records]
+def _neighbour_tagger():
+    # A test double: what stands before the token in its sentence decides.
+    def tag(record):
+        words = re.findall(r"\w+", record["text"].lower())
+        before = words[record["place"] - 1] if record["place"] else None
+        return "PROPN" if before is None else "NOUN" if len(before) <= 5 else "X"
+
+    return lambda records: [tag(r) for r in records]
 
 
 @query(
     "u4_with_pos",
-    f"""WITH {cte_hits(sizes='= 1')} SELECT term, doc_id, sent_pos, token_pos,
-    CASE WHEN term LIKE '%nes' THEN 'NOUN' ELSE 'X' END AS pos FROM kept""",
+    f"""WITH {cte_hits(sizes='= 1')} SELECT k.term, k.doc_id, k.sent_pos, k.token_pos,
+    CASE WHEN k.token_pos = 0 THEN 'PROPN' WHEN length(x.w[k.token_pos]) <= 5 THEN 'NOUN'
+    ELSE 'X' END AS pos FROM kept k JOIN words x ON x.doc_id = k.doc_id AND x.sent_pos = k.sent_pos""",
 )
 def u4(spark, sf):
-    found = concordance(documents(spark, sf), terms(spark))
-    return with_pos(found, _suffix_tagger, "passage").drop("passage")
+    found = concordance(documents(spark, sf), terms(spark), context_before=2, with_sentences=True)
+    found = found.select("term", "doc_id", "sent_pos", "token_pos", own_sentence(2).alias("sentence"))
+    return with_pos(found, _neighbour_tagger, "sentence", place="token_pos").drop("sentence")
 
 
 def _no_wait(seconds):
     """Stands in for time.sleep where a query should not pause."""
 
 
-def _refusing():
-    def run(texts):
-        if any("###" in t for t in texts):
-            raise RuntimeError("refused")
-        return ["DE: " + t for t in texts]
+def _fussy():
+    # A test double: refuses long prompts, and middling ones when it first sees them.
+    met = set()
+
+    def run(records):
+        for r in records:
+            size, new = len(r["english"]), r["id"] not in met
+            met.add(r["id"])
+            if size > 200 or (size > 100 and new):
+                raise RuntimeError("refused")
+        return ["DE: " + r["english"] for r in records]
 
     return run
 
 
 @query(
     "u5_call_policy_retry",
-    f"""WITH {CTE_PROMPTS} SELECT id, CASE WHEN contains(english, '###') THEN NULL
-    ELSE {sql_strip("'DE: ' || english")} END AS translation,
-    CASE WHEN contains(english, '###') THEN 'RuntimeError: refused' END AS error FROM pr""",
+    f"""WITH {CTE_PROMPTS} SELECT id, CASE WHEN length(english) <= 200
+    THEN {sql_strip("'DE: ' || english")} END AS translation,
+    CASE WHEN length(english) > 200 THEN 'RuntimeError: refused' END AS error,
+    CASE WHEN length(english) > 200 THEN 3 WHEN length(english) > 100 THEN 2
+    WHEN english IS NOT NULL THEN 1 END::INTEGER AS attempts FROM pr""",
 )
 def u5(spark, sf):
-    policy = CallPolicy(max_attempts=2, sleep=_no_wait)
-    done = translate(prompts(spark, sf), "english", _refusing, "echo", policy=policy)
-    return done.select("id", "translation", "error")
+    policy = CallPolicy(max_attempts=3, sleep=_no_wait)
+    done = translate(
+        prompts(spark, sf), "english", _fussy, "echo", 1, policy, extra=("id",), report=True
+    )
+    return done.select("id", "translation", "error", "attempts")
 
 
 def _echo():
@@ -144,12 +164,16 @@ def _echo():
 
 @query(
     "u6_call_policy_rate",
-    f"WITH {CTE_PROMPTS} SELECT id, {sql_strip('english')} AS translation FROM pr",
+    f"""WITH {CTE_PROMPTS}, n AS (SELECT count(*) AS n FROM pr WHERE english IS NOT NULL),
+    w AS (SELECT n, unnest(range(((n + 59) // 60)::BIGINT)) AS k FROM n)
+    SELECT k::INTEGER AS pauses, least(60, n - 60 * k)::BIGINT AS calls FROM w""",
 )
 def u6(spark, sf):
-    policy = CallPolicy(calls=60, parallelism=4, sleep=_no_wait)
-    done = translate(prompts(spark, sf), "english", _echo, "echo", policy=policy)
-    return done.select("id", "translation")
+    # One caller and a quota of 60: every window but the last holds 60 calls.
+    policy = CallPolicy(calls=60, sleep=_no_wait)
+    asked = prompts(spark, sf).filter("english IS NOT NULL")
+    done = translate(asked, "english", _echo, "echo", 20, policy, report=True)
+    return done.groupBy("pauses").agg(F.count("*").alias("calls"))
 
 
 def _marked():

@@ -208,6 +208,11 @@ def concordance(
     )
 
 
+def own_sentence(context_before: int) -> Column:
+    """The sentence of a match, of the ``sentences`` that ``concordance`` cut for it."""
+    return F.get("sentences", F.least(F.col("sent_pos"), F.lit(context_before)))
+
+
 def sentences_with_terms(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """Sentences that hold the first token of some term."""
     wanted = first_tokens(terms)

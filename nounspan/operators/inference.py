@@ -27,6 +27,7 @@ from nounspan.functions.prompts import (
 from nounspan.functions.text import clean_completion
 
 Batch = Callable[[list], list]
+REPORT = ("attempts", "pauses")
 
 
 @dataclass(frozen=True)
@@ -58,13 +59,16 @@ class CallPolicy:
 
 
 class _Caller:
-    """Applies a policy to a batch function inside one task."""
+    """Applies a policy to a batch function inside one task.
+
+    ``pauses`` counts the full windows that the task has waited for.
+    """
 
     def __init__(self, model: Batch, policy: CallPolicy):
-        self.model, self.policy, self.made = model, policy, 0
+        self.model, self.policy, self.made, self.pauses = model, policy, 0, 0
 
-    def _try(self, inputs: list) -> tuple[list | None, str | None]:
-        error = None
+    def _try(self, inputs: list) -> tuple[list | None, str | None, int]:
+        error, attempt = None, 0
         for attempt in range(1, self.policy.max_attempts + 1):
             # Every attempt is a call; a full window pauses the next one, not the last.
             self._spend(len(inputs))
@@ -72,12 +76,12 @@ class _Caller:
                 outputs = self.model(inputs)
                 if len(outputs) != len(inputs):
                     raise ValueError("the model returned a list of another length")
-                return outputs, None
+                return outputs, None, attempt
             except Exception as exc:  # noqa: BLE001 - any model failure is a row error
                 error = f"{type(exc).__name__}: {exc}"
                 if attempt < self.policy.max_attempts:
                     self.policy.sleep(self.policy.pause(attempt))
-        return None, error
+        return None, error, attempt
 
     def _spend(self, n: int) -> None:
         quota = self.policy.quota()
@@ -85,30 +89,33 @@ class _Caller:
             return
         if self.made and self.made + n > quota:
             self.policy.sleep(self.policy.window)
-            self.made = 0
+            self.made, self.pauses = 0, self.pauses + 1
         self.made += n
 
-    def run(self, inputs: list, batch_size: int) -> Iterator[tuple[str | None, str | None]]:
+    def run(
+        self, inputs: list, batch_size: int
+    ) -> Iterator[tuple[str | None, str | None, int, int]]:
+        """Per input: output, error, attempts it was part of, pauses of the task so far."""
         quota = self.policy.quota()
         step = min(batch_size, quota) if quota else batch_size
         for at in range(0, len(inputs), step):
             batch = inputs[at : at + step]
-            outputs, error = self._try(batch)
+            outputs, error, tried = self._try(batch)
             if outputs is not None:
-                yield from ((o, None) for o in outputs)
+                yield from ((o, None, tried, self.pauses) for o in outputs)
             elif len(batch) == 1:
-                yield None, error
+                yield None, error, tried, self.pauses
             else:
                 # One bad input must not fail its neighbours.
                 for one in batch:
-                    outputs, error = self._try([one])
-                    yield (outputs[0], None) if outputs else (None, error)
+                    outputs, error, again = self._try([one])
+                    yield outputs[0] if outputs else None, error, tried + again, self.pauses
 
 
 def run_model(
     make_model: Callable[[], Batch], batch_size: int = 16, policy: CallPolicy | None = None
 ) -> Callable[..., Column]:
-    """Column function ``inputs -> struct<completion, error>``.
+    """Column function ``inputs -> struct<completion, error, attempts, pauses>``.
 
     ``make_model`` is called once per task and returns a function from a list
     of inputs to a list of outputs of the same length.  An input is a text, or
@@ -116,6 +123,7 @@ def run_model(
     sent.  A row that fails after all attempts carries its error.
     """
     rules = policy or CallPolicy()
+    fields = ["completion", "error", *REPORT]
 
     def task(columns):
         caller = _Caller(make_model(), rules)
@@ -126,11 +134,11 @@ def run_model(
             else:
                 sent = part.notna()
                 inputs = part[sent].tolist()
-            out = pd.DataFrame({"completion": None, "error": None}, index=part.index, dtype=object)
+            out = pd.DataFrame({f: None for f in fields}, index=part.index, dtype=object)
             done = list(caller.run(inputs, batch_size))
             if done:
-                out.loc[sent, ["completion", "error"]] = pd.DataFrame(
-                    done, columns=["completion", "error"], index=part.index[sent], dtype=object
+                out.loc[sent, fields] = pd.DataFrame(
+                    done, columns=fields, index=part.index[sent], dtype=object
                 )
             yield out
 
@@ -140,7 +148,7 @@ def run_model(
     def on_records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from task(parts)
 
-    returns = "completion string, error string"
+    returns = "completion string, error string, attempts int, pauses int"
 
     def apply(*columns: Column, names: tuple[str, ...] = ()) -> Column:
         # Nondeterministic, so that the optimizer never calls a model twice.
@@ -165,8 +173,12 @@ def translate(
     batch_size: int = 16,
     policy: CallPolicy | None = None,
     extra: tuple[str, ...] = (),
+    report: bool = False,
 ) -> DataFrame:
-    """Add ``model, translation, error``.  ``extra`` columns go along to the translator."""
+    """Add ``model, translation, error``.  ``extra`` columns go along to the translator.
+
+    ``report`` adds the ``attempts`` made for a row and the ``pauses`` its task had made.
+    """
     columns = [column, *extra]
     model = run_model(make_translator, batch_size, policy)
     names = tuple(columns) if extra else ()
@@ -176,6 +188,7 @@ def translate(
         F.lit(model_id).alias("model"),
         clean_completion(F.col("_out.completion")).alias("translation"),
         F.col("_out.error").alias("error"),
+        *[F.col(f"_out.{c}").alias(c) for c in REPORT if report],
     )
 
 
@@ -231,8 +244,16 @@ def judge(
     policy: CallPolicy | None = None,
     extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add ``prompt, response, error``; only rows to keep reach the judge."""
-    routed = limit_tasks(route_for_judging(df), policy)
+    """Add ``prompt, response, error``; only rows to keep reach the judge.
+
+    Under a rate, the few tasks that may call get these rows and no others.
+    """
+    routed, others = route_for_judging(df), None
+    if policy and policy.calls:
+        others = routed.filter(~to_judge()).withColumns(
+            {"response": F.lit(NOT_JUDGED), "error": F.lit(None).cast("string")}
+        )
+        routed = limit_tasks(routed.filter(to_judge()), policy)
     sent = F.when(to_judge(), F.col("prompt"))
     model = run_model(make_judge, batch_size, policy)
     if extra:
@@ -240,7 +261,7 @@ def judge(
         out = model(sent, *map(F.col, extra), names=names)
     else:
         out = model(sent)
-    return routed.withColumn("_out", out).select(
+    judged = routed.withColumn("_out", out).select(
         *[F.col(f"`{c}`") for c in df.columns],
         "prompt",
         F.when(to_judge(), F.col("_out.completion"))
@@ -248,6 +269,7 @@ def judge(
         .alias("response"),
         F.col("_out.error").alias("error"),
     )
+    return judged if others is None else judged.unionByName(others)
 
 
 def indicator_judge() -> Callable[[], Batch]:
@@ -272,14 +294,21 @@ def indicator_judge() -> Callable[[], Batch]:
 
 
 def with_pos(
-    matches: DataFrame, make_tagger: Callable[[], Batch], text: str, token: str = "term"
+    matches: DataFrame,
+    make_tagger: Callable[[], Batch],
+    text: str,
+    token: str = "term",
+    place: str | None = None,
 ) -> DataFrame:
     """Add ``pos`` by a plugged-in tagger, which sees token and text of each match.
 
-    The tagger is loaded once per task and tags a whole batch at a time.
+    With ``place``, the column of the token's position in the text, it can tell
+    two occurrences apart.  The tagger is loaded once per task and tags a whole
+    batch at a time.
     """
     model = run_model(make_tagger, batch_size=1_000)
-    out = model(F.col(token), F.col(text), names=("token", "text"))
+    named = {"token": token, "text": text} | ({"place": place} if place else {})
+    out = model(*map(F.col, named.values()), names=tuple(named))
     return matches.withColumn("_out", out).select(
         *[F.col(f"`{c}`") for c in matches.columns], F.col("_out.completion").alias("pos")
     )

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nounspan.operators.concordance import concordance, filter_pos, term_stats
+from nounspan.operators.concordance import concordance, filter_pos, own_sentence, term_stats
 from nounspan.operators.inference import with_pos
 from nounspan.operators.lexicon import distinct_terms, seed_terms, term_range
 from nounspan.operators.relevance import score_passages
@@ -44,12 +44,16 @@ def mine(
     One pass over the corpus finds the matches of every term.  They are stored
     once, because both the counts and the sample are drawn from them.
     """
-    matches = concordance(corpus, terms, context_before=context_before, mode=mode)
+    matches = concordance(
+        corpus, terms, context_before=context_before, mode=mode, with_sentences=make_tagger is not None
+    )
     if pos_lexicon is not None:
         matches = filter_pos(matches, pos_lexicon, tags)
     if make_tagger is not None:
-        matches = with_pos(matches, make_tagger, "passage")
-        matches = matches.filter(F.col("pos").isin(*tags)).drop("pos")
+        # A token is tagged where it stands in its sentence.
+        matches = matches.withColumn("_sentence", own_sentence(context_before))
+        matches = with_pos(matches.drop("sentences"), make_tagger, "_sentence", place="token_pos")
+        matches = matches.filter(F.col("pos").isin(*tags)).drop("pos", "_sentence")
     if distinct:
         # The first occurrence stands for all equal passages of a term.
         matches = matches.groupBy("term", "passage").agg(

@@ -60,7 +60,7 @@ def test_retries_wait_and_then_succeed():
         return texts
 
     caller = _Caller(flaky, CallPolicy(sleep=waits.append))
-    assert list(caller.run(["a"], 16)) == [("a", None)]
+    assert list(caller.run(["a"], 16)) == [("a", None, 3, 0)]
     assert len(calls) == 3 and len(waits) == 2 and all(1 <= w <= 60 for w in waits)
 
 
@@ -72,7 +72,7 @@ def test_three_attempts_then_error():
         raise OSError("down")
 
     caller = _Caller(broken, CallPolicy(sleep=no_wait))
-    assert list(caller.run(["a"], 16)) == [(None, "OSError: down")] and len(calls) == 3
+    assert list(caller.run(["a"], 16)) == [(None, "OSError: down", 3, 0)] and len(calls) == 3
 
 
 def test_outputs_of_another_length_are_an_error():
@@ -85,7 +85,8 @@ def test_quota_is_divided_between_tasks():
     waits = []
     policy = CallPolicy(calls=60, window=65, parallelism=4, sleep=waits.append)
     assert policy.tasks() == 4 and policy.quota() == 15
-    list(_Caller(lambda t: t, policy).run(["x"] * 31, 1))
+    done = list(_Caller(lambda t: t, policy).run(["x"] * 31, 1))
+    assert [r[3] for r in done] == [0] * 15 + [1] * 15 + [2]
     assert waits == [65, 65]
     assert CallPolicy(calls=3, parallelism=10).tasks() == 3
     assert CallPolicy(parallelism=10).quota() is None
@@ -144,6 +145,15 @@ def test_tagger_sees_token_and_text(spark):
     assert with_pos(df, make, "passage").first()["pos"] == "a|3"
 
 
+def test_rows_not_judged_stay_out_of_the_calling_tasks(spark):
+    rows = [(i, "a", "b", i == 3) for i in range(9)] + [(9, "a", "b", None)]
+    df = spark.createDataFrame(rows, "id long, seed_noun string, translation string, to_keep boolean")
+    make = lambda: lambda texts: ["yes"] * len(texts)
+    policy = CallPolicy(calls=1, sleep=no_wait)
+    got = [judge(df, make, policy=p).orderBy("id").collect() for p in (None, policy)]
+    assert got[0] == got[1] and [r["response"] for r in got[0]].count("yes") == 1
+
+
 def test_models_run_once_per_row(spark, tmp_path):
     def make():
         def run(texts):
