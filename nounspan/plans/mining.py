@@ -77,15 +77,19 @@ def run_mining(
     output_path: str,
     slice_of_terms: tuple[int, int] | None = None,
     remove_article: bool = True,
+    commits: int = 1,
     **options,
 ) -> None:
-    """Mine a stored corpus; a second run only adds terms that are still missing."""
+    """Mine a stored corpus; a second run only adds terms that are still missing.
+
+    The terms are stored in ``commits`` portions, each with a pass over the corpus.
+    """
     lexicon = read_lexicon(spark, lexicon_path)
     if slice_of_terms:
         lexicon = term_range(lexicon, *slice_of_terms)
     terms = distinct_terms(seed_terms(lexicon, remove_article))
     corpus = load_corpus(spark, corpus_name, corpus_path)
-    append_pending(terms, output_path, lambda todo: mine(corpus, todo, **options))
+    append_pending(terms, output_path, lambda todo: mine(corpus, todo, **options), commits)
 
 
 def run_preparation(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def pending_terms(terms: DataFrame, done: DataFrame) -> DataFrame:
@@ -24,9 +25,20 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_pending(
-    terms: DataFrame, path: str, make_records: Callable[[DataFrame], DataFrame]
+    terms: DataFrame,
+    path: str,
+    make_records: Callable[[DataFrame], DataFrame],
+    slices: int = 1,
 ) -> None:
-    """Compute records for pending terms and append them in one atomic job."""
+    """Compute records for pending terms and append them, a slice of the terms after the other.
+
+    Every slice is a job of its own that reads the corpus once; a failure
+    leaves the slices before it in the output, and the next run starts there.
+    Whether one slice is stored in full or not at all depends on the committer
+    of the store.
+    """
     done = stored(terms.sparkSession, path)
     todo = terms if done is None else pending_terms(terms, done)
-    make_records(todo).write.mode("append").parquet(path)
+    for k in range(slices):
+        mine = todo if slices == 1 else todo.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
+        make_records(mine).write.mode("append").parquet(path)

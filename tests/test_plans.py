@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from nounspan.catalog.base import lexicon, terms
@@ -8,6 +9,7 @@ from nounspan.plans import evaluation, mining, translation
 from nounspan.session import scratch_dir, small_rows, small_side, widen
 from nounspan.sources.readers import read_csv, read_samples
 from nounspan.sources.writers import export_samples, write_table
+from nounspan.streaming.resume import append_pending
 
 LEXICON = (
     "ID,German_MP,German_FP,Gender-Neutral,Gender-Inclusive,English\n"
@@ -124,3 +126,21 @@ def test_narrow_scans_are_spread(spark):
 
 def test_scratch_needs_a_shared_folder(spark):
     assert scratch_dir(spark)
+
+
+def test_failed_slice_keeps_the_slices_before(spark, tmp_path):
+    terms = spark.createDataFrame([(f"t{i}",) for i in range(20)], "term string")
+    path, made = str(tmp_path / "out"), []
+
+    def records(todo):
+        made.append(todo)
+        if len(made) == 2:
+            raise RuntimeError("stopped")
+        return todo
+
+    with pytest.raises(RuntimeError):
+        append_pending(terms, path, records, slices=3)
+    kept = spark.read.parquet(path).count()
+    assert 0 < kept < 20
+    append_pending(terms, path, lambda todo: todo, slices=3)
+    assert sorted(r["term"] for r in spark.read.parquet(path).collect()) == sorted(f"t{i}" for i in range(20))
