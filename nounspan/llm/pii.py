@@ -1,11 +1,11 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities: e-mail and network addresses, cards,
-phone numbers.  Words near an entity may give it away.  How much a word reveals is
-measured on the whole corpus: the pointwise mutual information of word and
+phone numbers.  Words of a document may give its entities away.  How much a word
+reveals is measured on the whole corpus: the pointwise mutual information of word and
 entity over the information that the entity carries, 1 for a word that stands
-only in documents with that entity.  Words that disclose too much are removed;
-those that disclose a good part are generalised.
+only in documents with that entity.  Words that disclose too much are removed in
+all documents; those that disclose a good part are generalised.
 """
 
 from __future__ import annotations
@@ -15,18 +15,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nounspan.llm.common import checkpointed
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 80
 LEAST_DOCS = 2
 GENERALISE_AT = 0.85
 REMOVE_AT = 0.95
 # Words counted before a task hands its sums on; a bound of its memory.
 HELD_WORDS = 400_000
+# A list of up to so many bytes goes to the tasks whole; a longer one is joined.
+LISTED_BYTES = 8_000_000
+COMMON_WORDS = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,162 +93,201 @@ def entity_of(kind: str, found: str) -> str:
     return f"{kind}:{found.lower() if kind in ('email', 'ip') else _digits(found)}"
 
 
-def near_words(text: str, spans: list[tuple[str, int, int]]) -> dict[str, set[str]]:
-    """Entity -> words around its places, without those of any entity."""
-    inside = sorted((a, b) for _, a, b in spans)
-    found: dict[str, set[str]] = {}
-    for kind, start, end in spans:
-        words = found.setdefault(entity_of(kind, text[start:end]), set())
-        low, high = max(0, start - WINDOW), min(len(text), end + WINDOW)
-        for m in _WORD.finditer(text, low, high):
-            a, b = m.span()
-            # Words cut by the window's edge are not whole words.
-            if (a == low and low and text[low - 1].isalpha()) or (b == high and high < len(text) and text[high].isalpha()):
-                continue
-            if not any(s < b and a < e for s, e in inside):
-                words.add(m[0].lower())
-    return found
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words of the text that touch no entity, in their order."""
+    borders: list[list[int]] = []
+    for start, end in sorted((a, b) for _, a, b in spans):
+        if borders and start < borders[-1][1]:
+            borders[-1][1] = max(borders[-1][1], end)
+        else:
+            borders.append([start, end])
+    at = 0
+    for m in _WORD.finditer(text):
+        while at < len(borders) and borders[at][1] <= m.start():
+            at += 1
+        if at == len(borders) or m.end() <= borders[at][0]:
+            yield m
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEAR = pa.list_(
-    pa.struct([("entity", pa.string()), ("term", pa.string()), ("at", pa.list_(pa.int64()))])
-)
-FOUND_SCHEMA = (
-    "spans array<struct<kind:string,start:long,end:long>>, "
-    "near array<struct<entity:string,term:string,at:array<long>>>"
-)
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    if not spans:
+        return set(map(str.lower, set(_WORD.findall(text))))
+    return {m[0].lower() for m in outside(text, spans)}
 
 
-def _found(kind):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+def entities_of(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    return {entity_of(kind, text[a:b]) for kind, a, b in spans}
 
-        for batch in batches:
-            spans_of, near_of = [], []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text) if text else []
-                spans_of.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-                near_of.append(_near(text, spans) if spans else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key").cast(to_arrow_type(kind)),
-                    batch.column("row"),
-                    pa.array(spans_of, pa.list_(_SPAN)),
-                    pa.array(near_of, _NEAR),
-                ],
-                ["key", "row", "spans", "near"],
-            )
 
-    return run
+COUNTED = "entity string, term string, docs long"
 
 
-def _near(text: str, spans) -> list[dict]:
-    near = near_words(text, spans)
-    wanted = set().union(*near.values())
-    places: dict[str, list[int]] = {}
-    for m in _WORD.finditer(text):
-        term = m[0].lower()
-        if term in wanted and not any(a < m.end() and m.start() < b for _, a, b in spans):
-            places.setdefault(term, []).append(m.start())
-    return [
-        {"entity": entity, "term": term, "at": places.get(term, [])}
-        for entity, words in near.items()
-        for term in sorted(words)
-    ]
-
-
-def _word_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents each word stands, summed inside the task."""
-    seen: Counter = Counter()
+def _sums(seen: Counter) -> pa.RecordBatch:
+    """What a task has counted so far by entity and term; the counter starts anew."""
+    keys, docs = list(seen), list(seen.values())
+    seen.clear()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(docs, pa.int64())],
+        ["entity", "term", "docs"],
+    )
 
-    def handed_on():
-        terms = list(seen)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([seen[t] for t in terms], pa.int64())], ["term", "docs"]
-        )
-        seen.clear()
-        return out
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each entity, of each word, and in all (both null)."""
+    seen: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            if text:
-                seen.update(set(_WORD.findall(text.lower())))
+            spans = base_spans(text) if text else []
+            seen[None, None] += 1
+            seen.update((entity, None) for entity in entities_of(text, spans))
+            seen.update((None, term) for term in terms_of(text or "", spans))
             if len(seen) > HELD_WORDS:
-                yield handed_on()
-    yield handed_on()
+                yield _sums(seen)
+    yield _sums(seen)
+
+
+def _together(only: frozenset | None, common: frozenset):
+    """Documents of each pair of an entity and a word, wherever in them the two stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text) if text else []
+                entities = entities_of(text, spans)
+                if only is not None:
+                    entities &= only
+                terms = terms_of(text, spans) - common if entities else ()
+                for entity in entities:
+                    seen.update((entity, term) for term in terms)
+                    if len(seen) > HELD_WORDS:
+                        yield _sums(seen)
+        yield _sums(seen)
+
+    return run
+
 
+def _listed(df: DataFrame, name: str) -> list | None:
+    """The rows of a list that is small by its counted size, else None."""
+    size = df.agg(F.sum(F.octet_length(name) + 64)).first()[0] or 0
+    return df.collect() if size <= LISTED_BYTES else None
 
-def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``entity, term, strength`` of the terms that disclose enough.
 
-    ``found`` has ``near`` for each row, ``texts`` all texts.  A pair counts if
-    it occurs in LEAST_DOCS documents or more: one document is no evidence.
+def disclosing_terms(texts: DataFrame) -> DataFrame:
+    """``term, strength`` of the terms that disclose an entity enough.
+
+    A pair counts if it occurs in LEAST_DOCS documents or more: one document is
+    no evidence.  Both may stand anywhere in them.  A term that discloses
+    several entities has the largest strength.
     """
-    total = max(1, texts.count())
-    pairs = found.select(F.explode("near").alias("p")).select("p.entity", "p.term")
-    together = (
-        pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_DOCS)
+    counted = texts.mapInArrow(_each, COUNTED).groupBy("entity", "term").agg(F.sum("docs").alias("docs"))
+    counted = checkpointed(
+        counted.filter((F.col("docs") >= LEAST_DOCS) | (F.col("entity").isNull() & F.col("term").isNull()))
     )
-    entities = (
-        found.filter(F.size("near") > 0)
-        .select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("with_entity"))
+    first = counted.filter("entity IS NULL AND term IS NULL").first()
+    total = float(first["docs"] if first else 1)
+    entities = counted.filter("entity IS NOT NULL").select("entity", F.col("docs").alias("with_entity"))
+    words = counted.filter("term IS NOT NULL").select("term", F.col("docs").alias("with_term"))
+
+    # No pair is stronger than if all documents of the entity held the term.
+    def most(with_entity: Column) -> Column:
+        return F.pow(with_entity, GENERALISE_AT) * (total ** (1 - GENERALISE_AT)) * (1 + 1e-9)
+
+    bound = entities.agg(most(F.max("with_entity"))).first()[0] or 0.0
+    repeated = _listed(entities, "entity")
+    # The commonest words beyond the bound need not be paired; the join drops the others.
+    common = words.filter((F.col("with_term") > bound) & (F.octet_length("term") <= 64)).orderBy(
+        F.desc("with_term"), "term"
     )
-    words = (
-        texts.mapInArrow(_word_documents, "term string, docs long")
-        .groupBy("term")
-        .agg(F.sum("docs").alias("with_term"))
+    run = _together(
+        None if repeated is None else frozenset(r["entity"] for r in repeated),
+        frozenset(r["term"] for r in common.limit(COMMON_WORDS).collect()),
     )
-    information = F.ln(F.lit(float(total)) / F.col("with_entity"))
+    together = texts.mapInArrow(run, COUNTED).groupBy("entity", "term").agg(F.sum("docs").alias("both"))
+    information = F.ln(F.lit(total) / F.col("with_entity"))
     mutual = F.ln(
-        F.col("both") * F.lit(float(total)) / (F.col("with_term").cast("double") * F.col("with_entity"))
+        F.col("both") * F.lit(total) / (F.col("with_term").cast("double") * F.col("with_entity"))
     )
     strength = F.when(information > 0, mutual / information).otherwise(0.0)
-    return (
-        together.join(entities, "entity")
-        .join(words, "term")
-        .select("entity", "term", strength.alias("strength"))
+    return checkpointed(
+        together.filter(F.col("both") >= LEAST_DOCS)
+        .join(words.filter(F.col("with_term") <= bound), "term")
+        .join(entities, "entity")
+        .select("term", strength.alias("strength"))
         .filter(F.col("strength") >= GENERALISE_AT)
+        .groupBy("term")
+        .agg(F.max("strength").alias("strength"))
     )
 
 
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strength", pa.float64())])
+_PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+MARKED = (
+    "row long, spans array<struct<kind:string,start:long,end:long,strength:double>>, "
+    "words array<struct<term:string,start:long,end:long>>"
+)
+
+
+def _marked(kind, strength: dict[str, float] | None):
+    """Spans of each text; without a list of the terms also the places of all its words."""
+
+    def marked(text: str) -> tuple[list[tuple], list[tuple]]:
+        spans = base_spans(text)
+        out, words = [(*s, 1.0) for s in spans], []
+        if strength is None:
+            words = [(m[0].lower(), *m.span()) for m in outside(text, spans)]
+        elif not strength.keys().isdisjoint(terms_of(text, spans)):
+            places = ((m, strength.get(m[0].lower())) for m in outside(text, spans))
+            out += [("term", *m.span(), s) for m, s in places if s is not None]
+        return out, words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            found = [marked(text) if text else ([], []) for text in batch.column("text").to_pylist()]
+            names = [f.name for f in _SPAN], [f.name for f in _PLACE]
+            spans, words = ([[dict(zip(names[i], x)) for x in f[i]] for f in found] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").cast(to_arrow_type(kind)),
+                    batch.column("row"),
+                    pa.array(spans, pa.list_(_SPAN)),
+                    pa.array(words, pa.list_(_PLACE)),
+                ],
+                ["key", "row", "spans", "words"],
+            )
+
+    return run
+
+
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, spans`` for every row: the protected entities, then disclosing words.
 
     Spans are structs ``kind, start, end, strength`` in code points, the end
-    exclusive; kind ``term`` marks a word in a document with the entity that it
-    discloses.  A document without an entity has no spans.  Null text counts
-    as empty; repeated rows are documents like others.  No rows, no result.
+    exclusive; kind ``term`` marks a word that discloses an entity, at all its
+    places in all documents, also in those that do not hold the entity.  Null
+    text counts as empty; repeated rows are documents like others.  No rows,
+    no result.
     """
     spark_type = df.schema[id_col].dataType
     rows = df.select(
         F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
     )
-    found = checkpointed(
-        rows.mapInArrow(_found(spark_type), f"key {spark_type.simpleString()}, row long, {FOUND_SCHEMA}")
-    )
-    terms = disclosing_terms(found, df.select(F.col(text_col).alias("text")))
+    schema = f"key {spark_type.simpleString()}, {MARKED}"
+    terms = disclosing_terms(df.select(F.col(text_col).alias("text")))
+    listed = _listed(terms, "term")
+    if listed is not None:
+        strength = {r["term"]: r["strength"] for r in listed}
+        return rows.mapInArrow(_marked(spark_type, strength), schema).select(F.col("key").alias(id_col), "spans")
+    # A long list meets the words by a shuffle.
+    marked = checkpointed(rows.mapInArrow(_marked(spark_type, None), schema))
     flagged = (
-        found.select("row", F.explode("near").alias("p"))
-        .select("row", "p.entity", "p.term", "p.at")
-        .join(terms, ["entity", "term"])
-        .groupBy("row", "term")
-        .agg(F.max("strength").alias("strength"), F.first("at").alias("at"))
-        .select("row", "strength", F.length("term").cast("long").alias("n"), F.explode("at").alias("start"))
+        marked.select("row", F.explode("words").alias("w"))
+        .select("row", "w.*")
+        .join(terms, "term")
         .groupBy("row")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"), "strength"))
-            ).alias("terms")
-        )
-    )
-    base = F.transform(
-        "spans",
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("strength")
-        ),
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
     )
     more = F.transform(
         "terms",
@@ -254,13 +295,12 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strength"].alias("strength")
         ),
     )
-    # Rows without entities need no match; they pass the join as they are.
     return (
-        found.select("key", "row", "spans")
+        marked.select("key", "row", "spans")
         .join(flagged, "row", "left")
         .select(
             F.col("key").alias(id_col),
-            F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, more)).alias("spans"),
+            F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", more)).alias("spans"),
         )
     )
 

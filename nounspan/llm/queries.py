@@ -77,12 +77,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"] != "term")
+    empty = F.size(base) == 0
     return found.select(
         "doc_id",
         *[n(kind) for kind in pii.KINDS],
         n("term"),
         F.sha2(shown(base), 256).alias("base_sha256"),
-        shown(F.col("spans")).alias("spans"),
+        # Disclosing words of documents without an entity of their own stand apart.
+        F.when(empty, F.lit("")).otherwise(shown(F.col("spans"))).alias("spans"),
+        F.when(empty, shown(F.col("spans"))).otherwise(F.lit("")).alias("elsewhere"),
     )
 
 

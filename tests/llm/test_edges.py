@@ -1,5 +1,7 @@
 """Nulls, blank and repeated rows, empty tables and clashing column names."""
 
+import re
+
 import pytest
 
 pytest.importorskip("nounspan.llm")
@@ -49,3 +51,18 @@ def test_stages_return_the_columns_of_documents(spark, stage):
     out = stage(df)
     assert out.columns == df.columns and set(map(tuple, out.collect())) <= set(ROWS)
     assert stage(df.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize("listed", [8_000_000, -1])
+def test_a_disclosing_word_is_found_far_from_its_entity_and_without_it(spark, monkeypatch, listed):
+    monkeypatch.setattr(pii, "LISTED_BYTES", listed)
+    gap = "common words " * 20
+    rows = [(i, f"joe@ex.org {gap}{'Zanzibar zanzibar' if i else gap}") for i in range(10)]
+    rows += [(10, f"Zanzibar {gap}"), (11, None)] + [(i, gap) for i in range(12, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(df).collect()}
+    assert len(found) == 200
+    for i, text in rows:
+        places = [s["start"] for s in found[i] if s["kind"] == "term"]
+        assert places == [m.start() for m in re.finditer("(?i)zanzibar", text or "")]
+    assert "anzibar" not in "".join(r["sanitised"] or "" for r in pii.sanitise(df).collect())
