@@ -6,8 +6,11 @@ paragraph moves no border but its own.  A section's hash covers its leaves and
 the root covers the sections.  Equal texts have equal roots; where roots
 differ, differing sections and then differing leaves locate the edits.
 
-Below a leaf lie the hashes of its pieces, a few words each, which grade how
-much of two documents agrees.
+The hashes of a text's pieces grade how much of two documents agrees.  Even
+pieces are all runs of a few code points, at one width for every text, so an edit
+changes only the pieces that touch it.  Word pieces, a few words each below a
+leaf, are those that the SQL of the registered query has; they switch their width
+by the length of the line.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from nounspan.operators.ids import with_rid
 SHORT_LINE = 16
 PIECE_WORDS = 8
 SHORT_PIECE_WORDS = 2
+EVEN_POINTS = 8
 
 
 def _bound(value: Column, use) -> Column:
@@ -42,6 +46,16 @@ def _pieces(line: Column) -> Column:
     return _bound(F.split(line, " "), graded)
 
 
+def _even_pieces(text: Column) -> Column:
+    """Hashes of all runs of code points; a text shorter than one is a single piece."""
+
+    def runs(points: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(points) - (EVEN_POINTS - 1), F.lit(1)))
+        return F.transform(starts, lambda at: F.xxhash64(F.slice(points, at, EVEN_POINTS)))
+
+    return F.array_distinct(_bound(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), runs))
+
+
 def _sections(leaves: Column) -> Column:
     """Hashes of the sections; a mark stands after each leaf that ends one."""
     marked = F.transform(leaves, lambda leaf: F.regexp_replace(leaf, "([08])$", "$1|"))
@@ -49,22 +63,26 @@ def _sections(leaves: Column) -> Column:
     return F.transform(parts, lambda part: F.sha2(part, 256))
 
 
-def tree(text: Column) -> Column:
-    """Struct ``root, sections, leaves, pieces`` of a text; null counts as empty."""
+def tree(text: Column, even: bool = True) -> Column:
+    """Struct ``root, sections, leaves, pieces`` of a text; null counts as empty.
+
+    ``even`` takes pieces of one width; without it they are word pieces.
+    """
+    given = F.coalesce(text, F.lit(""))
 
     def whole(leaves: Column, sections: Column, lines: Column) -> Column:
         return F.struct(
             F.sha2(F.array_join(sections, ""), 256).alias("root"),
             sections.alias("sections"),
             leaves.alias("leaves"),
-            F.array_distinct(F.flatten(F.transform(lines, _pieces))).alias("pieces"),
+            (_even_pieces(given) if even else F.array_distinct(F.flatten(F.transform(lines, _pieces)))).alias("pieces"),
         )
 
     def of(lines: Column) -> Column:
         leaves = F.transform(lines, lambda line: F.sha2(line, 256))
         return _bound(leaves, lambda l: _bound(_sections(l), lambda s: whole(l, s, lines)))
 
-    return _bound(F.split(F.coalesce(text, F.lit("")), "\n"), of)
+    return _bound(F.split(given, "\n"), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,7 +106,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(id_col, tree(F.col(text_col)).alias("tree"))
 
 
-def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compared(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", even: bool = True
+) -> DataFrame:
     """Each text's fingerprint against those of an edited text and of the next document.
 
     The edited text has the last quarter of the code points replaced by as many
@@ -116,7 +136,7 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .select(
             F.col("taker").alias("key"),
             F.struct(
-                F.left("text", F.col("want")).alias("start"), tree(F.col("text")).alias("tree")
+                F.left("text", F.col("want")).alias("start"), tree(F.col("text"), even).alias("tree")
             ).alias("next"),
         )
         .select(
@@ -137,8 +157,8 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             "id",
             "n_chars",
             F.sha2("edited", 256).alias("edited_sha256"),
-            tree(F.col("text")).alias("own"),
-            tree(F.col("edited")).alias("new"),
+            tree(F.col("text"), even).alias("own"),
+            tree(F.col("edited"), even).alias("new"),
             "next",
         )
         .select(

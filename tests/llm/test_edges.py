@@ -66,3 +66,22 @@ def test_a_disclosing_word_is_found_far_from_its_entity_and_without_it(spark, mo
         places = [s["start"] for s in found[i] if s["kind"] == "term"]
         assert places == [m.start() for m in re.finditer("(?i)zanzibar", text or "")]
     assert "anzibar" not in "".join(r["sanitised"] or "" for r in pii.sanitise(df).collect())
+
+
+LINE = " ".join(f"word{i}" for i in range(16))
+
+
+@pytest.mark.parametrize(
+    "a, b, least, most",
+    [
+        (LINE, LINE + " more", 0.9, 0.99),
+        (LINE.replace(" ", "\t"), LINE.replace(" ", "\t").replace("word8", "other"), 0.6, 0.95),
+        ("".join(map(chr, range(0x4E00, 0x4E64))), "".join(map(chr, [*range(0x4E00, 0x4E4B), *range(0x5000, 0x5019)])), 0.7, 0.8),
+        ("abc", "abd", 0.0, 0.0),
+        ("", None, 1.0, 1.0),
+    ],
+)
+def test_likeness_follows_the_unchanged_share(spark, a, b, least, most):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    got = df.select(fingerprints.likeness(fingerprints.tree(df["a"]), fingerprints.tree(df["b"]))).first()[0]
+    assert least <= got <= most
