@@ -130,10 +130,20 @@ class Packer:
         self.cut, self.least_cut, self.sequence = cut, least_cut, first
         self.pool: list[Item] = []
         self.held = 0
+        # Empty examples share sequences of their own.
+        self.empty_sequence, self.empty_seats = first, 0
         self.out: list[tuple] = []
 
     def add(self, item: Item) -> None:
-        tokens, _, loss = self.limits
+        tokens, segments, loss = self.limits
+        if not item.total:
+            # Written at once: it needs a seat and no room, so it need not wait in the pool.
+            if not self.empty_seats:
+                self.empty_sequence, self.empty_seats = self.sequence, segments
+                self.sequence += 1
+            self.empty_seats -= 1
+            self.out.append((item.key, 0, 0, zlib.crc32(item.ids), 0, 0, self.empty_sequence, 0))
+            return
         if self.cut:
             # Whole sequences first; the rest joins the pool.
             while item.length() > tokens or item.loss_of(item.length()) > loss:
@@ -283,7 +293,7 @@ def pack_examples(
     ``ids`` is an array of token ids, ``bears_loss`` a flag for each (null: all
     bear loss).  An example beyond a limit by itself gets no sequence: its
     ``sequence_id`` and ``offset`` are null.  A null or empty example has one
-    piece of length 0.
+    piece of length 0, in a sequence with others of its task.
     """
 
     def example_of():

@@ -1,6 +1,7 @@
 """Nulls, blank and repeated rows, empty tables and clashing column names."""
 
 import re
+from collections import Counter
 
 import pytest
 
@@ -85,3 +86,13 @@ def test_likeness_follows_the_unchanged_share(spark, a, b, least, most):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     got = df.select(fingerprints.likeness(fingerprints.tree(df["a"]), fingerprints.tree(df["b"]))).first()[0]
     assert least <= got <= most
+
+
+@pytest.mark.parametrize("full", [0, 3])
+def test_every_empty_example_has_a_piece(spark, full):
+    rows = [(i, [] if i % 2 else None, None) for i in range(50)] + [(50 + i, [7] * 10, None) for i in range(full)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>, bears_loss array<boolean>").coalesce(1)
+    got = packing.pack_examples(df, max_tokens=10, max_segments=4, max_loss=10, pool_items=8).collect()
+    assert sorted(r["id"] for r in got) == [r[0] for r in rows]
+    assert max(Counter(r["sequence_id"] for r in got).values()) <= 4
+    assert all(r["length"] == 0 and r["offset"] == 0 for r in got if r["id"] < 50)
