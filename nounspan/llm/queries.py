@@ -91,11 +91,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sharding.described(table(spark, sf_dir, "documents"))
-    return sharding.shuffle_into_shards(docs, SHARDS).select(
-        "row.doc_id",
-        "row.size",
-        "row.text_crc32",
+    shards = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return sharding.described(shards).select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         F.col("shard").cast("int").alias("shard"),
         "slot",

@@ -110,10 +110,12 @@ def shuffle_into_shards(
 
 
 def described(df: DataFrame) -> DataFrame:
-    """Size and checksum of each document; the text itself need not move."""
-    text = text_of("text")
+    """Size and checksum of each document that stands in its shard, from the text that arrived."""
+    text = text_of("row.text")
     return df.select(
-        "doc_id",
+        "row.doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        "shard",
+        "slot",
     )

@@ -1,6 +1,7 @@
 """Nulls, blank and repeated rows, empty tables and clashing column names."""
 
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 pytest.importorskip("nounspan.llm")
 
 from nounspan.llm import exact_dedup, fingerprints, jaccard, langid, licenses, mixing, packing, pii, sharding  # noqa: E402
-from nounspan.llm.queries import default_vocabulary  # noqa: E402
+from nounspan.llm.queries import QUERIES, default_vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept int, row int, key int, piece int, label int"
 ROWS = [
@@ -96,3 +97,18 @@ def test_every_empty_example_has_a_piece(spark, full):
     assert sorted(r["id"] for r in got) == [r[0] for r in rows]
     assert max(Counter(r["sequence_id"] for r in got).values()) <= 4
     assert all(r["length"] == 0 and r["offset"] == 0 for r in got if r["id"] < 50)
+
+
+def test_shards_receive_whole_documents(spark, sf, monkeypatch):
+    arrived = []
+    deal = sharding.shuffle_into_shards
+
+    def seen(df, *more):
+        arrived.append(deal(df, *more))
+        return arrived[-1]
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", seen)
+    rows = QUERIES["op8_sharding"](spark, sf).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in arrived[0].select("row.doc_id", "row.text").collect()}
+    assert len(rows) == len(texts)
+    assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
