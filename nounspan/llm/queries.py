@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nounspan.llm import (
     exact_dedup,
     fingerprints,
+    infill,
     jaccard,
     langid,
     licenses,
@@ -114,6 +115,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return examples.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,6 +141,7 @@ QUERIES = {
         op8_sharding,
         op9_language,
         op10_jaccard,
+        op12_infill,
     )
 }
 
@@ -200,4 +215,27 @@ OP4 = (
     "CASE WHEN best <> page_id THEN best END AS refers_to FROM g"
 )
 
-ORACLES = {"op1_fingerprints": OP1, "op2_exact_dedup": OP2, "op4_warc": OP4}
+
+def _sql_units(first: str, last: str) -> str:
+    return f"array_to_string(list_slice(u, {first}, {last}), '')"
+
+
+OP12 = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS s FROM documents), "
+    "e AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, "
+    + ", ".join(f"('0x' || substr(s, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    + " FROM d), "
+    "f AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, "
+    "greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b, "
+    "CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' "
+    "WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e), "
+    f"g AS (SELECT *, {_sql_units('1', 'a')} AS p, {_sql_units('a + 1', 'b')} AS m, "
+    f"{_sql_units('b + 1', 'n')} AS x FROM f) "
+    "SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, "
+    "CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars, "
+    "sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m "
+    "ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, "
+    "sha256(t) AS restored_sha256 FROM g"
+)
+
+ORACLES = {"op12_infill": OP12, "op1_fingerprints": OP1, "op2_exact_dedup": OP2, "op4_warc": OP4}
