@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nounspan.session import scratch_path
+
 # The white space that the contracts of this package name.
 SPACES = "[\\x20\\x09-\\x0D]"
 NO_ID = -(2**63)
@@ -48,6 +50,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """A folder of written intermediate tables in the shared scratch folder.
+
+    ``close``, or the end of a ``with`` block, deletes them: only what has been
+    written on from them may be read after that.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, scratch_path(spark, label)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        self.close()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,8 @@ from nounspan.llm import (
     mixing,
     packing,
     pii,
+    prefix_trie,
+    repeats,
     sharding,
     warc,
 )
@@ -115,6 +117,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     return examples.select(
@@ -128,6 +134,16 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -141,7 +157,9 @@ QUERIES = {
         op8_sharding,
         op9_language,
         op10_jaccard,
+        op11_prefix_trie,
         op12_infill,
+        op13_repeats,
     )
 }
 
@@ -216,6 +234,38 @@ OP4 = (
 )
 
 
+# CRC-32 bit by bit, over the decimal digits of the id.
+_SQL_CRC = (
+    "xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: unicode(s[i])::BIGINT), "
+    "lambda c, b: list_reduce(range(8), lambda k, i: xor(k // 2, 3988292384 * (k % 2)), xor(c, b)), "
+    "4294967295::BIGINT), 4294967295)"
+)
+
+OP11 = (
+    "WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations "
+    "WHERE conv_id IS NOT NULL), "
+    "u AS (SELECT c, turn, sha256(length(r) || ':' || r || ':' || x) AS h, length(x) AS n FROM t), "
+    "g AS (SELECT c, c::VARCHAR AS s, list(h ORDER BY turn NULLS FIRST, h) AS hs, "
+    "list(n ORDER BY turn NULLS FIRST, h) AS ns FROM u GROUP BY c), "
+    f"k AS (SELECT *, {_SQL_CRC} % 6 AS k FROM g), "
+    "b AS (SELECT a.c, list_concat(list_slice(coalesce(l.hs, []), 1, a.k), list_slice(a.hs, a.k + 1, len(a.hs))) AS hs, "
+    "list_concat(list_slice(coalesce(l.ns, []), 1, a.k), list_slice(a.ns, a.k + 1, len(a.ns))) AS ns "
+    "FROM k AS a LEFT JOIN g AS l ON l.c = a.c - a.c % 100), "
+    "p AS (SELECT c, hs, ns, unnest(range(0, len(hs) + 1)) AS d FROM b), "
+    "q AS (SELECT c, d, CASE WHEN d > 0 THEN array_to_string(list_slice(hs, 1, d), '') ELSE '' END AS key, "
+    "CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS chars, len(hs) = d AS ended FROM p), "
+    "v AS (SELECT key, d, min(c) AS conv_id, count(*) AS n, max(chars) AS chars, "
+    "sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends FROM q GROUP BY key, d), "
+    "w AS (SELECT left(key, 64 * (d - 1)) AS key, count(*) AS kids FROM v WHERE d > 0 GROUP BY 1), "
+    "a AS (SELECT v.*, coalesce(kids, 0) AS kids FROM v LEFT JOIN w USING (key)), "
+    "z AS (SELECT left(key, 64 * j) AS key, sum((n - 1) * chars) AS saved, count(*) FILTER (kids = 0) AS leaves "
+    "FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM a) GROUP BY 1) "
+    "SELECT a.conv_id, a.d AS depth, m.conv_id AS parent_conv_id, a.n AS n_convs, a.kids AS n_children, "
+    "leaves AS n_leaves, saved::BIGINT AS saved_tokens, a.ends AS ends_sha256 "
+    "FROM a JOIN z USING (key) LEFT JOIN v AS m ON m.key = left(a.key, 64 * (a.d - 1)) AND a.d > 0"
+)
+
+
 def _sql_units(first: str, last: str) -> str:
     return f"array_to_string(list_slice(u, {first}, {last}), '')"
 
@@ -238,4 +288,20 @@ OP12 = (
     "sha256(t) AS restored_sha256 FROM g"
 )
 
-ORACLES = {"op12_infill": OP12, "op1_fingerprints": OP1, "op2_exact_dedup": OP2, "op4_warc": OP4}
+OP13 = (
+    "WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x, (strlen(coalesce(text, '')))::BIGINT AS n FROM documents), "
+    "w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS k FROM "
+    "(SELECT doc_id, x, unnest(range(n - 399)) AS p FROM d WHERE n >= 400)), "
+    "r AS (SELECT doc_id, p FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) AS g ON w.k = g.k), "
+    "i AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 400 AS gap FROM r), "
+    "j AS (SELECT doc_id, p, count(*) FILTER (gap) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i), "
+    "s AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM j GROUP BY doc_id, run), "
+    "t AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM s), "
+    "k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, "
+    "string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head "
+    "FROM t JOIN d USING (doc_id) GROUP BY doc_id) "
+    "SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, "
+    "sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"
+)
+
+ORACLES = {"op11_prefix_trie": OP11, "op13_repeats": OP13, "op12_infill": OP12, "op1_fingerprints": OP1, "op2_exact_dedup": OP2, "op4_warc": OP4}
