@@ -107,6 +107,16 @@ def terms(spark: SparkSession) -> DataFrame:
     return distinct_terms(seed_terms(lexicon(spark)))
 
 
+# Letters of the words that make the long term list.
+LONG_WORD = 8
+
+
+def long_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """A term list beyond every literal: all words of the conversations with so many letters or more."""
+    words = table(spark, sf, "conversations").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    return words.filter(F.length("term") >= LONG_WORD).select("term", F.array("term").alias("term_tokens"))
+
+
 def seed_of(number: Column) -> Column:
     """Seed assigned to a row by its number."""
     return F.element_at(F.array(*[F.lit(s) for s in SEEDS]), (number % len(SEEDS) + 1).cast("int"))
@@ -150,36 +160,38 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def longest_words(text: Column) -> Column:
-    """The distinct words of a whole text, longest first, equally long ones by code point."""
-    pair = lambda t: F.struct((-F.length(t)).alias("size"), t.alias("word"))
-    return F.sort_array(F.transform(F.array_distinct(tokens(text)), pair))
+def row_number_of(*parts: Column) -> Column:
+    """Row number in a file whose rows stand in the order of a hash: 60 bits, so no two are equal."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def derived_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    """A lexicon as large as the documents table: nouns and forms from the longest words of its texts."""
-    docs = documents(spark, sf, "doc_id", "text", "n_chars").select(
-        "doc_id", "n_chars", longest_words(F.col("text")).alias("_longest")
-    )
-    w = [F.coalesce(F.get(F.col("_longest"), F.lit(i))["word"], F.lit("")).alias(f"w{i}") for i in (0, 1, 2)]
-    n = F.col("n_chars")
-    phrase = F.when(n % 3 == 0, F.concat_ws(" ", "w0", "w1")).otherwise(F.col("w0"))
-    tail = F.when(n % 7 == 0, ";").otherwise("")
+def derived_lexicon(spark: SparkSession, sf: str, source: str = "documents") -> DataFrame:
+    """A lexicon of all words of all whole texts of a table, one row for each language that has the word.
+
+    Some rows are phrases, some end with a semicolon, and a form may be blank.
+    """
+    texts = table(spark, sf, source)
+    if source == "documents":
+        texts = widen(texts.select("doc_id", "text", "lang"), "doc_id")
+    lang = F.col("lang") if "lang" in texts.columns else F.lit("")
+    words = texts.select(
+        lang.alias("lang"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("w0")
+    ).distinct()
+    n = F.length("w0")
+    less = lambda k: F.substring(F.col("w0"), F.lit(k + 1), n)
+    phrase = F.when(n % 3 == 0, F.concat_ws(" ", F.col("w0"), less(1))).otherwise(F.col("w0"))
     neutral = (
         F.when(n % 5 == 0, F.lit(None).cast("string"))
-        .when(
-            n % 5 == 1,
-            F.concat(F.lit("Die "), "w1", F.lit("enden;  die "), "w2", F.lit("kräfte;")),
-        )
-        .otherwise(F.concat(F.lit("Die "), "w1", F.lit("enden")))
+        .when(n % 5 == 1, F.concat(F.lit("Die "), less(1), F.lit("enden;  die "), less(2), F.lit("kräfte;")))
+        .otherwise(F.concat(F.lit("Die "), less(1), F.lit("enden")))
     )
-    return docs.select("doc_id", "n_chars", *w).select(
-        F.col("doc_id").alias("row_no"),
-        F.concat(F.lit("The "), phrase, tail).alias("english"),
-        F.concat(F.lit("Die "), "w1", F.lit("er")).alias("german_mp"),
-        F.concat(F.lit("Die "), "w1", F.lit("erinnen")).alias("german_fp"),
+    return words.select(
+        row_number_of(F.col("lang"), F.col("w0")).alias("row_no"),
+        F.concat(F.lit("The "), phrase, F.when(n % 7 == 0, ";").otherwise("")).alias("english"),
+        F.concat(F.lit("Die "), less(1), F.lit("er")).alias("german_mp"),
+        F.concat(F.lit("Die "), less(1), F.lit("erinnen")).alias("german_fp"),
         neutral.alias("gender_neutral"),
-        F.concat(F.lit("die "), "w1", F.lit("er*innen")).alias("gender_inclusive"),
+        F.concat(F.lit("die "), less(1), F.lit("er*innen")).alias("gender_inclusive"),
     )
 
 
@@ -248,7 +260,15 @@ CTE_TERMS = (
 )
 
 
-def cte_hits(before: int = 2, after: int = 1, lines: int = 3, sizes: str = ">= 1") -> str:
+CTE_LONG_TERMS = (
+    f"bw AS (SELECT DISTINCT unnest({sql_tokens('text')}) AS term FROM conversations), "
+    f"terms AS (SELECT term, [term] AS w FROM bw WHERE length(term) >= {LONG_WORD})"
+)
+
+
+def cte_hits(
+    before: int = 2, after: int = 1, lines: int = 3, sizes: str = ">= 1", terms: str = CTE_TERMS
+) -> str:
     """Occurrences of the test terms: token slices, and the stretch of the raw sentence."""
     raw = "lower(x.s[x.sent_pos + 1])"
     start = f"CASE WHEN regexp_matches({raw}, '^[\\p{{L}}\\p{{N}}_]') THEN 1 ELSE 2 END + 2 * x.token_pos"
@@ -257,7 +277,7 @@ def cte_hits(before: int = 2, after: int = 1, lines: int = 3, sizes: str = ">= 1
         f"{start}, {start} + 2 * len(t.w) - 2), '')"
     )
     return (
-        f"{CTE_SENT}, {CTE_TERMS}, "
+        f"{CTE_SENT}, {terms}, "
         f"words AS (SELECT doc_id, sent_pos, s, {sql_tokens('sentence')} AS w FROM sent), "
         "word AS (SELECT doc_id, sent_pos, s, w, unnest(range(len(w)))::INTEGER AS token_pos FROM words), "
         "hits AS (SELECT t.term, x.doc_id, x.sent_pos, x.token_pos, "
@@ -285,15 +305,20 @@ CTE_TURNS = (
     "LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
     "AND a.role = 'assistant' WHERE u.role = 'user')"
 )
-CTE_DERIVED = (
-    "dw AS (SELECT doc_id, n_chars AS n, list_transform(list_sort(list_transform(list_distinct("
-    f"{sql_tokens('text')}), lambda t: {{'size': -length(t), 'word': t}})), lambda p: p.word) AS w "
-    "FROM documents), "
-    "d3 AS (SELECT doc_id, n, coalesce(w[1], '') AS w0, coalesce(w[2], '') AS w1, "
-    "coalesce(w[3], '') AS w2 FROM dw), "
-    "dlex AS (SELECT doc_id AS row_no, 'The ' || CASE WHEN n % 3 = 0 THEN w0 || ' ' || w1 ELSE w0 END "
-    "|| CASE WHEN n % 7 = 0 THEN ';' ELSE '' END AS english, 'Die ' || w1 || 'er' AS german_mp, "
-    "'Die ' || w1 || 'erinnen' AS german_fp, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 THEN "
-    "'Die ' || w1 || 'enden;  die ' || w2 || 'kräfte;' ELSE 'Die ' || w1 || 'enden' END AS gender_neutral, "
-    "'die ' || w1 || 'er*innen' AS gender_inclusive FROM d3)"
-)
+
+
+def cte_derived(source: str = "documents", lang: str = "lang") -> str:
+    """``dlex``, the lexicon of all words of a table."""
+    return (
+        f"dw AS (SELECT DISTINCT {lang} AS lang, unnest({sql_tokens('text')}) AS w FROM {source}), "
+        "dn AS (SELECT *, length(w) AS n, substr(w, 2) AS w1, substr(w, 3) AS w2 FROM dw), "
+        "dlex AS (SELECT ('0x' || substr(md5(concat_ws('|', lang, w)), 1, 15))::BIGINT AS row_no, "
+        "'The ' || CASE WHEN n % 3 = 0 THEN w || ' ' || w1 ELSE w END "
+        "|| CASE WHEN n % 7 = 0 THEN ';' ELSE '' END AS english, 'Die ' || w1 || 'er' AS german_mp, "
+        "'Die ' || w1 || 'erinnen' AS german_fp, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 THEN "
+        "'Die ' || w1 || 'enden;  die ' || w2 || 'kräfte;' ELSE 'Die ' || w1 || 'enden' END AS gender_neutral, "
+        "'die ' || w1 || 'er*innen' AS gender_inclusive FROM dn)"
+    )
+
+
+CTE_DERIVED = cte_derived()

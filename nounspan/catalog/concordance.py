@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nounspan.catalog.base import (
+    CTE_LONG_TERMS,
     CTE_SENT,
     CTE_TERMS,
     POS_ROWS,
     _values,
     cte_hits,
     documents,
+    long_terms,
     query,
+    sql_sentences,
+    sql_strip,
     sql_tokens,
     terms,
 )
@@ -23,6 +27,7 @@ from nounspan.operators.concordance import (
     with_any_term,
 )
 from nounspan.operators.relevance import attach_scores
+from nounspan.sources.readers import corpus_lines
 
 COLUMNS = "term, doc_id, sent_pos, token_pos, passage"
 
@@ -50,6 +55,40 @@ def p5(spark, sf):
     return sentences_with_terms(documents(spark, sf), terms(spark))
 
 
+@query(
+    "p4_with_any_term_large",
+    f"""WITH {CTE_LONG_TERMS}, dw AS (SELECT doc_id, n_chars, unnest({sql_tokens('text')}) AS w FROM documents)
+    SELECT DISTINCT doc_id, n_chars FROM dw WHERE w IN (SELECT term FROM terms)""",
+)
+def p4_large(spark, sf):
+    docs = documents(spark, sf, "doc_id", "text", "n_chars")
+    return with_any_term(docs, long_terms(spark, sf)).select("doc_id", "n_chars")
+
+
+@query(
+    "p5_sentences_with_terms_large",
+    f"""WITH {CTE_LONG_TERMS}, l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no,
+    {sql_strip('unnest(string_split(text, chr(10)))')} AS line FROM documents),
+    s AS (SELECT doc_id, line_no, {sql_sentences('line')} AS s FROM l),
+    x AS (SELECT doc_id, line_no, unnest(range(len(s)))::INTEGER AS sent_pos, unnest(s) AS sentence FROM s),
+    w AS (SELECT doc_id, line_no, sent_pos, unnest({sql_tokens('sentence')}) AS w FROM x),
+    h AS (SELECT DISTINCT doc_id, line_no, sent_pos FROM w WHERE w IN (SELECT term FROM terms))
+    SELECT doc_id, sent_pos, sentence FROM x JOIN h USING (doc_id, line_no, sent_pos)""",
+)
+def p5_large(spark, sf):
+    # A line is a document, so several share an id.
+    lines = corpus_lines(documents(spark, sf)).select("doc_id", "text")
+    return sentences_with_terms(lines, long_terms(spark, sf))
+
+
+@query(
+    "j1_concordance_large",
+    f"WITH {cte_hits(before=1, after=0, terms=CTE_LONG_TERMS)} SELECT {COLUMNS} FROM kept",
+)
+def j1_large(spark, sf):
+    return concordance(documents(spark, sf), long_terms(spark, sf), 1, 0, max_terms=2_000)
+
+
 @query(
     "p6_filter_pos",
     f"""WITH {cte_hits(sizes='= 1')}, tag AS (SELECT * FROM (VALUES {_values(POS_ROWS)}) AS v(token, pos))

@@ -12,7 +12,6 @@ from nounspan.catalog.base import (
     documents,
     derived_lexicon,
     lexicon,
-    longest_words,
     query,
     sql_forms,
     sql_tokens,
@@ -20,6 +19,7 @@ from nounspan.catalog.base import (
     translations,
 )
 from nounspan.functions.forms import form_columns
+from nounspan.functions.text import tokens
 from nounspan.operators.annotations import common_annotations
 from nounspan.operators.concordance import sentence_table
 from nounspan.operators.evaluation import (
@@ -76,17 +76,17 @@ def j4(spark, sf):
 
 @query(
     "j4_match_lexicon_large",
-    f"""WITH {CTE_DERIVED}, seeds AS (SELECT doc_id, w0 AS seed_noun FROM d3),
-    fm AS (SELECT s.seed_noun, min(l.row_no) AS row_no FROM (SELECT DISTINCT seed_noun FROM seeds) s
-    JOIN dlex l ON contains(lower(l.english), s.seed_noun) GROUP BY 1)
-    SELECT s.doc_id, s.seed_noun, fm.row_no AS lexicon_row FROM seeds s
-    LEFT JOIN fm ON fm.seed_noun = s.seed_noun""",
+    f"""WITH {CTE_DERIVED}, seeds AS (SELECT doc_id, unnest(list_distinct({sql_tokens('text')})) AS seed_noun
+    FROM documents), ph AS (SELECT lower(english) AS p, min(row_no) AS row_no FROM dlex GROUP BY 1),
+    st AS (SELECT row_no, p, unnest(range(1, length(p) + 1)) AS a FROM ph),
+    pc AS (SELECT row_no, p, a, unnest(range(1, length(p) - a + 2)) AS n FROM st),
+    fm AS (SELECT substr(p, a, n) AS seed_noun, min(row_no) AS row_no FROM pc GROUP BY 1)
+    SELECT s.doc_id, s.seed_noun, fm.row_no AS lexicon_row FROM seeds s LEFT JOIN fm USING (seed_noun)""",
 )
 def j4_large(spark, sf):
-    # A lexicon as large as the documents table takes the shuffled join.
-    longest = F.get(longest_words(F.col("text")), F.lit(0))["word"]
-    seeds = documents(spark, sf).select("doc_id", F.coalesce(longest, F.lit("")).alias("seed_noun"))
-    matched = match_lexicon(seeds, derived_lexicon(spark, sf))
+    # Every word of every text is a seed, and the lexicon holds every word: the suffix lookup.
+    words = F.explode(F.array_distinct(tokens(F.col("text")))).alias("seed_noun")
+    matched = match_lexicon(documents(spark, sf).select("doc_id", words), derived_lexicon(spark, sf))
     return matched.select("doc_id", "seed_noun", "lexicon_row")
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nounspan.catalog.base import CTE_DERIVED, derived_lexicon, query, sql_forms
+from nounspan.catalog.base import CTE_DERIVED, cte_derived, derived_lexicon, query, sql_forms
 from nounspan.functions.forms import form_columns, split_forms
 from nounspan.operators.lexicon import (
+    SUFFIX_KEY,
+    distinct_phrases,
     distinct_terms,
     form_lists,
     long_forms,
     seed_terms,
     substring_index,
+    suffix_table,
     term_range,
 )
 
@@ -70,10 +73,21 @@ def set2(spark, sf):
 
 @query(
     "j4_substring_index",
-    f"""WITH {CTE_DERIVED}, ph AS (SELECT row_no, lower(english) AS p FROM dlex),
+    f"""WITH {cte_derived('benchmark', "''")}, ph AS (SELECT row_no, lower(english) AS p FROM dlex),
     st AS (SELECT row_no, p, unnest(range(1, len(p) + 1)) AS a FROM ph),
     pc AS (SELECT row_no, p, a, unnest(range(0, len(p) - a + 2)) AS n FROM st)
     SELECT substr(p, a, n) AS piece, min(row_no) AS row_no FROM pc GROUP BY 1""",
 )
 def j4_index(spark, sf):
-    return substring_index(derived_lexicon(spark, sf))
+    # All substrings are kept for small lexicons only: here the words of the benchmark.
+    return substring_index(derived_lexicon(spark, sf, "benchmark"))
+
+
+@query(
+    "j4_suffix_table",
+    f"""WITH {CTE_DERIVED}, ph AS (SELECT lower(english) AS p, min(row_no) AS row_no FROM dlex GROUP BY 1),
+    st AS (SELECT row_no, p, unnest(range(1, length(p) + 1))::INTEGER AS "at" FROM ph)
+    SELECT row_no, "at", substr(p, "at", {SUFFIX_KEY}) AS key FROM st""",
+)
+def j4_suffixes(spark, sf):
+    return suffix_table(distinct_phrases(derived_lexicon(spark, sf)))

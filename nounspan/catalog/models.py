@@ -7,10 +7,12 @@ import re
 from pyspark.sql import functions as F
 
 from nounspan.catalog.base import (
+    CTE_SENT,
     cte_hits,
     documents,
     lexicon,
     query,
+    sentences,
     sql_forms,
     sql_strip,
     terms,
@@ -19,27 +21,24 @@ from nounspan.catalog.evaluation import CTE_FORM_HITS
 from nounspan.catalog.evaluation import hits as form_rows
 from nounspan.catalog.passages import CTE_JUDGE, JUDGE_SQL, judge_input
 from nounspan.catalog.samples import CTE_PROMPTS, CTE_SAMPLES, document_samples, prompts
+from nounspan.functions.prompts import NOT_JUDGED
+from nounspan.functions.text import clean_completion
+from nounspan.operators.calls import ask_once, logged_answers
 from nounspan.operators.concordance import concordance, own_sentence
+from nounspan.operators.evaluation import STYLES, translate_by_lexicon, verdict_by_forms
 from nounspan.operators.inference import (
     CallPolicy,
-    indicator_judge,
     judge,
-    lexicon_translator,
+    to_judge,
     translate,
     with_pos,
 )
-from nounspan.plans.translation import style_forms, translate_prompts, translate_samples
-
-STYLE_COLUMNS = {
-    "MP": "german_mp",
-    "FP": "german_fp",
-    "GN": "gender_neutral",
-    "GI": "gender_inclusive",
-}
+from nounspan.plans.translation import translate_prompts, translate_samples
+from nounspan.session import scratch_path
 
 
 def _translated(style: str) -> str:
-    first = {s: f"{sql_forms('l.' + c)}[1]" for s, c in STYLE_COLUMNS.items()}
+    first = {s: f"{sql_forms('l.' + c)}[1]" for s, c in STYLES.items()}
     return (
         f"WITH {cte_hits()}, seeds AS (SELECT DISTINCT term FROM kept), "
         "fm AS (SELECT s.term, min(l.row_no) AS row_no FROM seeds s JOIN lex l "
@@ -57,9 +56,7 @@ def translated(spark, sf, style):
     rows = found.select(
         F.col("term").alias("seed"), F.col("passage").alias("text"), "doc_id", "sent_pos", "token_pos"
     )
-    forms = style_forms(terms(spark).select(F.col("term").alias("seed_noun")), lexicon(spark))
-    make = lexicon_translator(style, forms)
-    done = translate(rows, "text", make, f"lexicon/{style}", extra=("seed",))
+    done = translate_by_lexicon(rows, "text", "seed", lexicon(spark), style)
     return done.select("seed", "doc_id", "sent_pos", "token_pos", "model", "translation")
 
 
@@ -82,9 +79,8 @@ def u1_neutral(spark, sf):
 )
 def u2(spark, sf):
     rows = form_rows(spark, sf).withColumn("to_keep", F.col("corpus") == "de")
-    counts = ("gender_inclusive_count", "german_fp_count", "gender_neutral_count", "german_mp_count")
-    judged = judge(rows, indicator_judge(), batch_size=1000, extra=counts)
-    return judged.select("doc_id", "sent_pos", "response")
+    response = F.when(to_judge(), verdict_by_forms()).otherwise(F.lit(NOT_JUDGED))
+    return rows.select("doc_id", "sent_pos", response.alias("response"))
 
 
 def _prompt_length():
@@ -158,22 +154,59 @@ def u5(spark, sf):
     return done.select("id", "translation", "error", "attempts")
 
 
+def _marked_once():
+    return lambda texts: ["DE: " + t for t in texts]
+
+
+@query(
+    "u5_call_log",
+    f"""WITH {CTE_SENT}, n AS (SELECT sentence, count(*) AS rows_served FROM sent GROUP BY sentence)
+    SELECT doc_id, sent_pos, {sql_strip("'DE: ' || sentence")} AS translation, 1::BIGINT AS calls,
+    rows_served FROM sent JOIN n USING (sentence)""",
+)
+def u5_log(spark, sf):
+    # Every sentence is a prompt; equal ones share one call, and the second run makes none.
+    asked = sentences(spark, sf)
+    log = scratch_path(spark, "call-log")
+    ask_once(asked, ["sentence"], _marked_once, "echo", log, batch_size=64)
+    done = ask_once(asked, ["sentence"], _marked_once, "echo", log, batch_size=64)
+    served = logged_answers(spark, log).join(
+        done.groupBy("completion").agg(F.count("*").alias("rows_served")), "completion"
+    )
+    calls = served.groupBy("completion", "rows_served").agg(F.sum("attempts").alias("calls"))
+    return done.join(calls, "completion").select(
+        "doc_id", "sent_pos", clean_completion(F.col("completion")).alias("translation"), "calls", "rows_served"
+    )
+
+
 def _echo():
     return lambda texts: list(texts)
 
 
+# Tasks that share a quota of 60 calls, 15 each.
+CALLERS = 4
+
+
 @query(
     "u6_call_policy_rate",
-    f"""WITH {CTE_PROMPTS}, n AS (SELECT count(*) AS n FROM pr WHERE english IS NOT NULL),
-    w AS (SELECT n, unnest(range(((n + 59) // 60)::BIGINT)) AS k FROM n)
-    SELECT k::INTEGER AS pauses, least(60, n - 60 * k)::BIGINT AS calls FROM w""",
+    f"""WITH {CTE_PROMPTS}, k AS (SELECT * FROM pr WHERE english IS NOT NULL)
+    SELECT count(*) AS calls, 0::BIGINT AS over_quota, 0::BIGINT AS gaps FROM k""",
 )
 def u6(spark, sf):
-    # One caller and a quota of 60: every window but the last holds 60 calls.
-    policy = CallPolicy(calls=60, sleep=_no_wait)
+    # No task makes more than its share between two pauses, and it pauses only when that is spent.
+    policy = CallPolicy(calls=60, parallelism=CALLERS, sleep=_no_wait)
     asked = prompts(spark, sf).filter("english IS NOT NULL")
-    done = translate(asked, "english", _echo, "echo", 20, policy, report=True)
-    return done.groupBy("pauses").agg(F.count("*").alias("calls"))
+    done = translate(asked, "english", _echo, "echo", 5, policy, report=True)
+    windows = done.groupBy(F.spark_partition_id().alias("task"), "pauses").agg(F.count("*").alias("calls"))
+    tasks = windows.groupBy("task").agg(
+        F.sum("calls").alias("calls"),
+        F.count_if(F.col("calls") > 60 // CALLERS).alias("over"),
+        # Windows that are not full, the last one of the task apart.
+        (F.ceil(F.sum("calls") / (60 // CALLERS)) - F.count("*")).alias("gap"),
+    )
+    return tasks.agg(
+        F.sum("calls").alias("calls"), F.sum("over").alias("over_quota"), F.sum(F.abs("gap")).alias("gaps")
+    )
 
 
 def _marked():

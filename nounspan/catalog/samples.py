@@ -33,8 +33,9 @@ from nounspan.operators.samples import (
     regroup_completions,
 )
 from nounspan.sources.writers import add_model_column, add_model_columns
-from nounspan.session import write_out
-from nounspan.streaming.resume import pending_terms
+from nounspan.session import scratch_path, write_out
+from nounspan.streaming.portions import PortionTable
+from nounspan.streaming.resume import append_pending, pending_terms, stored
 
 MODEL = "org/model-1"
 
@@ -197,6 +198,39 @@ def j9(spark, sf):
     return pending_terms(words, done.distinct())
 
 
+@query(
+    "j9_append_pending",
+    f"""WITH tk AS (SELECT lang, unnest({sql_tokens('text')}) AS term FROM documents)
+    SELECT term, count(*) AS total_matches FROM tk GROUP BY term""",
+)
+def j9_append(spark, sf):
+    # The first run stores the words of the benchmark in two portions, the second the words that are missing.
+    words = documents(spark, sf).select(F.explode(tokens(F.col("text"))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("total_matches"))
+    listed = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    path = scratch_path(spark, "mined-terms")
+    append_pending(listed, path, lambda todo: counts.join(todo, "term", "left_semi"), slices=2)
+    append_pending(counts.select("term"), path, lambda todo: counts.join(todo, "term", "left_semi"))
+    return stored(spark, path)
+
+
+@query(
+    "k2_atomic_portions",
+    f"""SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS n_lines,
+    coalesce(len({sql_tokens('text')}), 0)::INTEGER AS n_tokens FROM documents""",
+)
+def k2_portions(spark, sf):
+    # Four portions, written one after the other; the reader opens what the manifests name.
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf).select(
+        "doc_id", line_count(text).alias("n_lines"), F.size(tokens(text)).alias("n_tokens")
+    )
+    grown = PortionTable(spark, scratch_path(spark, "portions"))
+    for k in range(4):
+        grown.write(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k), f"part-{k}")
+    return grown.read()
+
+
 @query(
     "set1_merge_samples",
     f"""WITH tk AS (SELECT lang, unnest({sql_tokens('text')}) AS term FROM documents),

@@ -17,19 +17,21 @@ from nounspan.catalog.base import (
     terms,
 )
 from nounspan.catalog.concordance import hits
+from nounspan.operators.bottom_k import KeySample
 from nounspan.operators.concordance import sentence_table, term_stats
 from nounspan.operators.ids import with_rid
 from nounspan.operators.sampling import (
     nest_samples,
+    null_safe,
     preview,
     rank_passages,
     sample_per_key,
     stratified_split,
     weighted_sample_per_key,
 )
-from nounspan.plans.mining import ROW_ID, mine
+from nounspan.plans.mining import ROW_ID, merge_mined, mine, mine_part
 from nounspan.plans.relevance import make_splits
-from nounspan.session import write_out
+from nounspan.session import scratch_path, write_out
 
 SENT_ID = ["doc_id", "sent_pos"]
 
@@ -88,6 +90,40 @@ def w3_large(spark, sf):
     return weighted(spark, sf, 1200)
 
 
+def merged_parts(spark, rows, n, seed, weight=None):
+    """Draw from three parts of a table on their own, store each sample, and merge what was stored."""
+    stored = []
+    for part in range(3):
+        mine = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part)
+        path = scratch_path(spark, "key-sample")
+        KeySample.draw(mine, "source", n, seed, SENT_ID, weight).write(path)
+        stored.append(KeySample.read(spark, path))
+    whole = KeySample.merge(stored)
+    return null_safe(whole.ranked(), whole.totals, ["source"])
+
+
+def _with_total(sql: str, column: str) -> str:
+    """The same sample, with the number of rows that each key has."""
+    total = "count(*) OVER (PARTITION BY source) AS total"
+    return sql.replace(f"AS {column} FROM sent", f"AS {column}, {total} FROM sent", 1).replace(
+        ", rank FROM r", ", rank, total FROM r", 1
+    )
+
+
+@query("set1_merge_bottom_k", _with_total(_uniform(5), "rank"))
+def set1_merge(spark, sf):
+    # The merged samples of the parts are the sample of the whole.
+    merged = merged_parts(spark, by_source(spark, sf), 5, 42)
+    return merged.select("source", *SENT_ID, "sentence", "rank", "total")
+
+
+@query("w3_merge_bottom_k", _with_total(_weighted(5), "weight"))
+def w3_merge(spark, sf):
+    rows = by_source(spark, sf).withColumn("weight", F.greatest(F.length("sentence") - 40, F.lit(0)))
+    merged = merged_parts(spark, rows, 5, 7, "weight")
+    return merged.select("source", *SENT_ID, "weight", "rank", "total")
+
+
 @query(
     "w4_with_rid",
     f"""WITH {CTE_SENT} SELECT row_number() OVER (ORDER BY source, doc_id, sent_pos) - 1 AS rid,
@@ -185,6 +221,17 @@ def a7(spark, sf):
     return flat_nested(nest_samples(term_stats(wanted, found, 5), drawn))
 
 
+@query("e1_mine_parts", f"WITH {_sampled(3, 3)} {NESTED}")
+def e1_parts(spark, sf):
+    # Each part of the corpus is mined on its own; the stored samples become the records of the whole.
+    docs, parts = documents(spark, sf), []
+    for part in range(2):
+        path = scratch_path(spark, "mined-part")
+        mine_part(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part), terms(spark), mode="all").write(path)
+        parts.append(KeySample.read(spark, path))
+    return flat_nested(merge_mined(terms(spark), parts))
+
+
 @query("e1_mine", f"WITH {_sampled(3, 3)} {NESTED}")
 def e1(spark, sf):
     return flat_nested(mine(documents(spark, sf), terms(spark), mode="all"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nounspan.functions.bloom import BloomFilter
 from nounspan.functions.text import (
     between_tokens,
     context_window,
@@ -27,25 +28,44 @@ def first_tokens(terms: DataFrame, limit: int = MAX_FILTER_TERMS) -> list[str] |
     return None if rows is None else sorted(r["t"] for r in rows)
 
 
+def first_token_filter(terms: DataFrame) -> BloomFilter:
+    """Bounded filter for a term list of any length: most tokens of a corpus start no term."""
+    return BloomFilter(terms.select(F.get("term_tokens", F.lit(0)).alias("t")).filter("t IS NOT NULL"), ["t"])
+
+
+def with_text_key(corpus: DataFrame) -> DataFrame:
+    """Add ``_text``, a hash: several lines may share a document's id, and an id may be null."""
+    return corpus.withColumn("_text", F.xxhash64("text"))
+
+
+def same_place(*columns: str) -> Column:
+    """Rows ``l`` and ``r`` of one text, and of equal places in it; a null id equals a null id."""
+    met = F.expr("l._text = r._text AND l.doc_id <=> r.doc_id")
+    for c in columns:
+        met = met & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    return met
+
+
+def places_of_first_tokens(words: DataFrame, terms: DataFrame, *place: str) -> DataFrame:
+    """Distinct places whose token ``_w`` starts a term; few others reach the shuffle."""
+    firsts = terms.select(F.get("term_tokens", F.lit(0)).alias("_w")).distinct()
+    near = words.filter(first_token_filter(terms).may_hold("_w"))
+    return near.join(firsts, "_w", "left_semi").select("doc_id", "_text", *place).distinct()
+
+
 def with_any_term(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """Documents that hold the first token of some term, however many terms there are.
 
     A list too long for a literal is joined on the distinct tokens of each
-    document; only ids, a hash of the text and tokens are shuffled for that.
+    document that pass a Bloom filter; only ids, a hash of the text and such
+    tokens are shuffled for that.
     """
     wanted = first_tokens(terms)
     if wanted is None:
-        firsts = terms.select(F.get("term_tokens", F.lit(0)).alias("_w")).distinct()
-        words = corpus.select(
-            "doc_id",
-            F.xxhash64("text").alias("_text"),
-            F.explode(F.array_distinct(tokens(F.col("text")))).alias("_w"),
-        )
-        held = words.join(firsts, "_w", "left_semi").select("doc_id", "_text").distinct()
-        same = corpus.withColumn("_text", F.xxhash64("text"))
-        return same.alias("c").join(
-            held.alias("h"), F.expr("c._text = h._text AND c.doc_id <=> h.doc_id"), "left_semi"
-        ).drop("_text")
+        keyed = with_text_key(corpus)
+        words = keyed.select("doc_id", "_text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("_w"))
+        held = places_of_first_tokens(words, terms)
+        return keyed.alias("l").join(held.alias("r"), same_place(), "left_semi").drop("_text")
     if not wanted:
         return corpus.filter(F.lit(False))
     return corpus.filter(has_any_token(F.col("text"), wanted))
@@ -128,24 +148,23 @@ def hits_by_broadcast(corpus: DataFrame, keyed: DataFrame, wanted: list[str] | N
 def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame) -> DataFrame:
     """The same for a term list that is too large to broadcast.
 
-    Only places and tokens are shuffled to the terms; texts join the hits
-    afterwards by document and a hash of the text, for several lines may share
-    a document's id.  AQE splits frequent tokens.
+    Only places and tokens are shuffled to the terms, and only those tokens
+    that a Bloom filter of the first tokens lets through; texts join the hits
+    afterwards by document and a hash of the text.  AQE splits frequent tokens.
     """
-    keyed_texts = corpus.withColumn("_text", F.xxhash64("text"))
+    keyed_texts = with_text_key(corpus)
     words = sentence_table(keyed_texts, "_text").select(
         "doc_id", "_text", "sent_pos", tokens(F.col("sentence")).alias("_words")
     )
     words = words.select(
         "doc_id", "_text", "sent_pos", F.posexplode_outer("_words").alias("token_pos", "_word")
-    )
+    ).filter(first_token_filter(keyed).may_hold("_word"))
     found = words.join(keyed, F.col("_word") == F.col("_first"))
     texts = keyed_texts.dropDuplicates(["doc_id", "_text"]).select(
         "doc_id", "_text", split_sentences(F.col("text")).alias("_sents")
     )
-    return found.join(texts, ["doc_id", "_text"]).withColumn(
-        "_words", tokens(F.get("_sents", F.col("sent_pos")))
-    )
+    met = found.alias("l").join(texts.alias("r"), same_place())
+    return met.select("l.*", "r._sents").withColumn("_words", tokens(F.get("_sents", F.col("sent_pos"))))
 
 
 def concordance(
@@ -219,14 +238,14 @@ def sentences_with_terms(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     if wanted is not None:
         held = has_any_token(F.col("sentence"), wanted) if wanted else F.lit(False)
         return sentence_table(corpus, only=wanted).filter(held)
-    # Too many terms for a literal list: a semi join on tokens, which shuffles.
-    sentences = sentence_table(corpus)
+    # Too many terms for a literal list: a semi join on the tokens that pass a Bloom filter.
+    sentences = sentence_table(with_text_key(corpus), "_text")
     words = sentences.select(
-        "doc_id", "sent_pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("_w")
+        "doc_id", "_text", "sent_pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("_w")
     )
-    firsts = terms.select(F.get("term_tokens", F.lit(0)).alias("_w")).distinct()
-    held = words.join(firsts, "_w", "left_semi").select("doc_id", "sent_pos").distinct()
-    return sentences.join(held, ["doc_id", "sent_pos"], "left_semi")
+    held = places_of_first_tokens(words, terms, "sent_pos")
+    met = sentences.alias("l").join(held.alias("r"), same_place("sent_pos"), "left_semi")
+    return met.select("doc_id", "sent_pos", "sentence")
 
 
 def filter_pos(

@@ -9,9 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nounspan.functions.forms import comparable, form_columns, form_indicator
-from nounspan.functions.text import strip_article
-from nounspan.operators.lexicon import form_lists, substring_index
-from nounspan.session import hinted, small_side
+from nounspan.functions.prompts import FEMININE, INCLUSIVE, MASCULINE, NEUTRAL, NONE
+from nounspan.functions.text import clean_completion, strip_article
+from nounspan.operators.lexicon import distinct_phrases, first_rows, form_lists, substring_index
+from nounspan.session import MAX_SMALL_ROWS, hinted, small_side, write_out
+
+
+def few_pieces(lexicon: DataFrame, limit: int = MAX_SMALL_ROWS) -> bool:
+    """Whether all substrings of all noun phrases are fewer than ``limit``."""
+    size = F.length("english").cast("double")
+    pieces = lexicon.agg(F.sum(size * (size + 1) / 2 + 1)).first()[0]
+    return (pieces or 0) <= limit
 
 
 def match_lexicon(
@@ -29,23 +37,28 @@ def match_lexicon(
     unknown seed keeps null lists.  ``prepare`` is applied to every form once,
     in the lexicon.
 
-    An index that is too large to broadcast meets the distinct seeds, and only
-    the rows that they hit go back to the seeds.
+    Of a small lexicon all substrings are broadcast, so that the seeds never
+    move.  In a larger one the distinct seeds are looked up by its suffixes,
+    and only the rows that they hit go back to the seeds.
     """
+    wanted = F.lower("seed_noun") if exact else F.col("seed_noun")
     if exact:
         noun = F.regexp_replace(F.lower(strip_article(F.col("english"))), r"[; ]+\z", "")
         index = lexicon.groupBy(noun.alias("piece")).agg(F.min("row_no").alias("row_no"))
-        wanted = F.lower("seed_noun")
+        at = hinted(index)
+        if at is None:
+            at = small_side(index.join(seeds.select(wanted.alias("piece")).distinct(), "piece"))
+    elif few_pieces(lexicon):
+        at = small_side(substring_index(lexicon))
     else:
-        index, wanted = substring_index(lexicon), F.col("seed_noun")
-    index = index.select("piece", F.col("row_no").alias("lexicon_row"))
+        phrases = write_out(distinct_phrases(lexicon), "phrases")
+        pieces = seeds.select(wanted.alias("piece")).filter("piece IS NOT NULL").distinct()
+        at = small_side(first_rows(write_out(pieces, "pieces"), phrases))
+    at = at.withColumnRenamed("row_no", "lexicon_row")
     forms = form_lists(lexicon, number).select(
         F.col("row_no").alias("lexicon_row"),
         *[F.transform(c, lambda f: prepare(f)).alias(c) if prepare else c for c in form_columns(number)],
     )
-    at = hinted(index)
-    if at is None:
-        at = small_side(index.join(seeds.select(wanted.alias("piece")).distinct(), "piece"))
     return (
         seeds.join(at, wanted == F.col("piece"), "left")
         .drop("piece")
@@ -77,6 +90,57 @@ def form_hits(
     )
 
 
+# The styles of a translation by the lexicon.
+STYLES = {
+    "MP": "german_mp",
+    "FP": "german_fp",
+    "GN": "gender_neutral",
+    "GI": "gender_inclusive",
+}
+
+
+def translate_by_lexicon(df: DataFrame, column: str, seed: str, lexicon: DataFrame, style: str) -> DataFrame:
+    """Add ``model, translation``: the text in lower case, with the seed's form of a style in its place.
+
+    A translator without a model, as a baseline to compare systems with.  The
+    form is the first one of the lexicon row that the seed finds; a blank one
+    falls back to the masculine form, and an unknown seed leaves the text as it is.
+    """
+    masculine, styled = STYLES["MP"], STYLES[style]
+    seeds = df.select(F.lower(seed).alias("seed_noun")).distinct()
+    forms = match_lexicon(seeds, lexicon).select(
+        F.col("seed_noun").alias("_seed"),
+        F.lower(F.coalesce(F.get(styled, F.lit(0)), F.get(masculine, F.lit(0)))).alias("_form"),
+    )
+    text = F.lower(column)
+    # A replacement by an empty search string would change nothing, but is not defined.
+    told = F.when(
+        F.col("_form").isNotNull() & (F.lower(seed) != ""), F.replace(text, F.lower(seed), F.col("_form"))
+    ).otherwise(text)
+    return df.join(small_side(forms), F.lower(seed) == F.col("_seed"), "left").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.lit(f"lexicon/{style}").alias("model"),
+        clean_completion(told).alias("translation"),
+    )
+
+
+def verdict_by_forms() -> Column:
+    """The verdict that follows from the four indicators: the first form type found.
+
+    Inclusive comes before feminine, then neutral, then masculine.
+    """
+    found = (
+        ("gender_inclusive", INCLUSIVE),
+        ("german_fp", FEMININE),
+        ("gender_neutral", NEUTRAL),
+        ("german_mp", MASCULINE),
+    )
+    verdict = F.lit(NONE)
+    for column, word in reversed(found):
+        verdict = F.when(F.col(f"{column}_count") == 1, F.lit(word)).otherwise(verdict)
+    return verdict
+
+
 def form_totals(hits: DataFrame, number: str = "plural") -> DataFrame:
     """Sum of every indicator over all rows."""
     return hits.agg(*[F.sum(f"{c}_count").alias(f"{c}_total") for c in form_columns(number)])

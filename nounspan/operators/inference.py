@@ -15,15 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.functions.prompts import (
-    FEMININE,
-    INCLUSIVE,
-    MASCULINE,
-    NEUTRAL,
-    NONE,
-    NOT_JUDGED,
-    build_prompt,
-)
+from nounspan.functions.prompts import NOT_JUDGED, build_prompt
 from nounspan.functions.text import clean_completion
 
 Batch = Callable[[list], list]
@@ -192,38 +184,6 @@ def translate(
     )
 
 
-# Order in which style forms are tried.
-STYLES = {
-    "MP": "german_mp",
-    "FP": "german_fp",
-    "GN": "gender_neutral",
-    "GI": "gender_inclusive",
-}
-
-
-def lexicon_translator(style: str, forms: dict[str, tuple[str | None, ...]]) -> Callable[[], Batch]:
-    """Offline stand-in for a translator: writes the form of a style in place of the seed.
-
-    ``forms`` maps a seed to its first masculine, feminine, neutral and
-    inclusive form; a blank form falls back to the masculine one.
-    """
-    at = list(STYLES).index(style)
-
-    def make() -> Batch:
-        def run(records: list) -> list:
-            out = []
-            for r in records:
-                known = forms.get(r["seed"])
-                form = (known[at] or known[0]) if known else None
-                text = r["text"].lower()
-                out.append(text.replace(r["seed"].lower(), form.lower()) if form else text)
-            return out
-
-        return run
-
-    return make
-
-
 def to_judge() -> Column:
     """The keep flag, with null as false."""
     return F.coalesce(F.col("to_keep"), F.lit(False))
@@ -272,27 +232,6 @@ def judge(
     return judged if others is None else judged.unionByName(others)
 
 
-def indicator_judge() -> Callable[[], Batch]:
-    """Offline stand-in for a judge: names the first form type found.
-
-    Records carry the four indicators; inclusive comes before feminine, then
-    neutral, then masculine.
-    """
-    order = (
-        ("gender_inclusive_count", INCLUSIVE),
-        ("german_fp_count", FEMININE),
-        ("gender_neutral_count", NEUTRAL),
-        ("german_mp_count", MASCULINE),
-    )
-
-    def make() -> Batch:
-        return lambda records: [
-            next((word for column, word in order if r[column]), NONE) for r in records
-        ]
-
-    return make
-
-
 def with_pos(
     matches: DataFrame,
     make_tagger: Callable[[], Batch],

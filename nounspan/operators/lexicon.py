@@ -9,6 +9,10 @@ from nounspan.functions.forms import form_columns, split_forms
 from nounspan.functions.inflect import pluralise
 from nounspan.functions.text import strip_article, tokens
 from nounspan.operators.ids import with_rid
+from nounspan.session import write_out
+
+# Characters by which a suffix is found; longer seeds are checked in the phrase.
+SUFFIX_KEY = 6
 
 
 def seed_terms(lexicon: DataFrame, remove_article: bool = True) -> DataFrame:
@@ -69,6 +73,73 @@ def substring_index(lexicon: DataFrame) -> DataFrame:
     )
 
 
+def distinct_phrases(lexicon: DataFrame) -> DataFrame:
+    """``phrase, row_no``: every lower-cased noun phrase with its first row; null ones drop out."""
+    phrase = F.lower("english")
+    return lexicon.groupBy(phrase.alias("phrase")).agg(F.min("row_no").alias("row_no")).filter("phrase IS NOT NULL")
+
+
+def suffix_table(phrases: DataFrame, key_length: int = SUFFIX_KEY) -> DataFrame:
+    """``row_no, at, key``: one row per suffix of each phrase, with its first characters.
+
+    As many rows as the phrases have characters, each of bounded size: the
+    suffix itself stands in the phrase, from ``at`` (1 for the whole) on.
+    """
+    starts = F.sequence(F.lit(1), F.length("phrase"))
+    return (
+        phrases.filter("phrase <> ''")
+        .select("row_no", "phrase", F.explode(starts).alias("at"))
+        .select("row_no", "at", F.substring("phrase", F.col("at"), F.lit(key_length)).alias("key"))
+    )
+
+
+def first_rows(pieces: DataFrame, phrases: DataFrame, key_length: int = SUFFIX_KEY) -> DataFrame:
+    """``piece, row_no``: first row whose phrase contains the piece; others drop out.
+
+    ``pieces`` are distinct.  A piece shorter than the key is a prefix of keys.
+    A longer one is looked up by the rarest of its own keys, wherever in the
+    piece that stands, and compared with the phrase there; a piece with a key
+    that no suffix has is in no phrase and goes before that.
+    """
+    suffixes = write_out(suffix_table(phrases, key_length), "suffixes")
+    size = F.length("piece")
+    lengths = F.sequence(F.lit(1), F.least(F.length("key"), F.lit(key_length - 1)))
+    prefixes = (
+        suffixes.select("row_no", "key", F.explode(lengths).alias("_n"))
+        .groupBy(F.substring("key", F.lit(1), F.col("_n")).alias("piece"))
+        .agg(F.min("row_no").alias("row_no"))
+    )
+    # The empty piece is in every phrase.
+    everywhere = phrases.agg(F.min("row_no").alias("row_no")).select(F.lit("").alias("piece"), "row_no")
+    short = pieces.filter(size < key_length).join(
+        prefixes.unionByName(everywhere.filter("row_no IS NOT NULL")), "piece"
+    )
+
+    counts = write_out(suffixes.filter(F.length("key") == key_length).groupBy("key").count(), "suffix-keys")
+    starts = F.sequence(F.lit(1), size - key_length + 1)
+    keys = (
+        pieces.filter(size >= key_length)
+        .select("piece", F.explode(starts).alias("_from"))
+        .select("piece", "_from", F.substring("piece", F.col("_from"), F.lit(key_length)).alias("key"))
+    )
+    rarest = (
+        keys.join(counts, "key", "left")
+        .groupBy("piece")
+        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "_from", "key")).alias("r"))
+        .filter("r.n > 0")
+        .select("piece", "r._from", "r.key")
+    )
+    begins = F.col("at") - F.col("_from") + 1
+    found = (
+        rarest.join(suffixes, "key")
+        .select("piece", "row_no", begins.alias("_at"))
+        .filter("_at >= 1")
+        .join(phrases, "row_no")
+        .filter(F.substring("phrase", F.col("_at"), size) == F.col("piece"))
+    )
+    return short.unionByName(found.groupBy("piece").agg(F.min("row_no").alias("row_no")))
+
+
 def pluralise_lexicon(df: DataFrame, column: str, name: str = "plural") -> DataFrame:
     """Add the plural of a noun or of the last word of a phrase."""
     return df.select("*", pluralise(F.col(column)).alias(name))

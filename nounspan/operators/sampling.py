@@ -6,19 +6,29 @@ for every number of partitions and survives a re-run task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nounspan.functions.hashing import race_time, row_hash
-from nounspan.session import small_side
+from nounspan.session import small_side, write_out
 
 # Up to this rank Spark cuts each task's rows to the best n per key before the
 # shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 TASK_CUT_LIMIT = 1_000
-# Hash prefix length for histograms: 16^4 buckets per key.
+# Hash digits that each level of a histogram adds: 16^4 buckets in a bucket.
 PREFIX = 4
-# Buckets per unit of the logarithm of an arrival time.
+HASH_DIGITS = 32
+# Buckets per unit of the logarithm of an arrival time; each level splits them by a power of two.
 LOG_STEPS = 4_096
+LOG_SPLIT = 65_536
+LOG_LEVELS = 3
+# Rows among which a rank is looked for by sorting.
+BUCKET_ROWS = 4_096
+
+# A coarse value that never decreases along an order, at a level; null beyond the last one.
+Buckets = Callable[[int], Column | None]
 
 
 def top_per_key(
@@ -42,43 +52,85 @@ def top_per_key(
     )
 
 
-def cut_points(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], ranks: dict
-) -> DataFrame:
-    """Per key, the rows that stand at given ranks of an order.
+def hash_buckets(digest: str) -> Buckets:
+    """Prefixes of a hash in hex digits."""
+    return lambda level: (
+        F.substring(digest, 1, PREFIX * (level + 1)) if PREFIX * level < HASH_DIGITS else None
+    )
 
-    ``bucket`` is a coarse value that never decreases along ``order``.  A
-    histogram of it, partially aggregated, tells which bucket holds each rank;
-    only the rows of those buckets are ranked.  ``ranks`` maps names to
-    columns over ``_total``, the number of rows of the key.  The result has
-    one row per key: ``keys``, and per name a struct of the ``order`` columns.
+
+def log_buckets(value: str) -> Buckets:
+    """Steps of the logarithm of a positive number.
+
+    Scaling by a power of two is exact, so every step lies in one of the level before.
     """
-    slim = df.select(*keys, *order, bucket.alias("_bucket"))
-    running = Window.partitionBy(*keys).orderBy("_bucket")
-    whole = Window.partitionBy(*keys)
-    histogram = (
-        slim.groupBy(*keys, "_bucket")
-        .count()
-        .withColumn("_upto", F.sum("count").over(running))
-        .withColumn("_total", F.sum("count").over(whole))
+    return lambda level: (
+        F.floor(F.ln(value) * LOG_STEPS * float(LOG_SPLIT) ** level) if level < LOG_LEVELS else None
     )
+
+
+def holding_buckets(
+    df: DataFrame, keys: list[str], buckets: Buckets, ranks: dict, most: int | None = None
+) -> tuple[DataFrame, int]:
+    """Per key and name, the bucket that holds a rank, refined until it has few rows.
+
+    Returns ``keys, name, _bucket, _at`` (rank in the bucket) and ``_n`` (its
+    rows), and the level of the buckets.  Every level is a histogram, combined
+    before the shuffle, of the rows in the buckets of the level before.  Only
+    rows of equal values are never parted.
+    """
+    most = BUCKET_ROWS if most is None else most
+    named = [*keys, "name"]
+
+    def holding(histogram: DataFrame, parts: list[str]) -> DataFrame:
+        upto = F.sum("count").over(Window.partitionBy(*parts).orderBy("_bucket"))
+        return (
+            histogram.withColumn("_upto", upto)
+            .filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("count")))
+            .select(*named, "_bucket", (F.col("rank") - F.col("_upto") + F.col("count")).alias("_at"), F.col("count").alias("_n"))
+        )
+
     wanted = F.array(
         *[F.struct(F.lit(k).alias("name"), c.cast("bigint").alias("rank")) for k, c in ranks.items()]
     )
-    holders = (
-        histogram.select("*", F.explode(wanted).alias("_w"))
-        .select("*", "_w.name", "_w.rank")
-        .filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("count")))
-        .select(*keys, "_bucket", "name", (F.col("rank") - F.col("_upto") + F.col("count")).alias("_at"))
+    whole = (
+        df.groupBy(*keys, buckets(0).alias("_bucket"))
+        .count()
+        .withColumn("_total", F.sum("count").over(Window.partitionBy(*keys)))
+        .select("*", F.explode(wanted).alias("_w"))
+        .select(*keys, "_bucket", "count", "_w.*")
     )
+    level, found = 0, write_out(holding(whole, named), "buckets")
+    while buckets(level + 1) is not None and (found.agg(F.max("_n")).first()[0] or 0) > most:
+        inside = null_safe(
+            df.withColumn("_bucket", buckets(level)), small_side(found.drop("_n")), [*keys, "_bucket"]
+        )
+        split = inside.groupBy(*named, F.col("_at").alias("rank"), buckets(level + 1).alias("_bucket")).count()
+        level, found = level + 1, write_out(holding(split, named), "buckets")
+    return found, level
+
+
+def cut_points(
+    df: DataFrame, keys: list[str], buckets: Buckets, order: list[str], ranks: dict
+) -> DataFrame:
+    """Per key, the rows that stand at given ranks of an order.
+
+    ``df`` is a stored table, which is read once for each level of the search.
+    Only the rows of the buckets that hold a rank are sorted, some thousands
+    for each key and rank, however many rows the key has.  ``ranks`` maps names
+    to columns over ``_total``, the number of rows of the key.  The result has
+    one row per key: ``keys``, and per name a struct of the ``order`` columns.
+    """
+    slim = df.select(*keys, *order)
+    found, level = holding_buckets(slim, keys, buckets, ranks)
     in_bucket = Window.partitionBy(*keys, "_bucket", "name").orderBy(*order)
-    found = (
-        null_safe(slim, small_side(holders), [*keys, "_bucket"])
+    rows = (
+        null_safe(slim.withColumn("_bucket", buckets(level)), small_side(found.drop("_n")), [*keys, "_bucket"])
         .withColumn("_rn", F.row_number().over(in_bucket))
         .filter(F.col("_rn") == F.col("_at"))
     )
     # One row per key and name, so max is that row.
-    return found.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == k, F.struct(*order))).alias(k) for k in ranks]
     )
 
@@ -91,14 +143,18 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def draw_per_key(
-    df: DataFrame, keys: list[str], value: Column, bucket: Column, ids: list[str], n: int
+    df: DataFrame, keys: list[str], value: Column, buckets: Buckets, ids: list[str], n: int
 ) -> DataFrame:
-    """The ``n`` rows with the smallest ``value`` per key, ranked from 1."""
+    """The ``n`` rows with the smallest ``value`` per key, ranked from 1.
+
+    For a large ``n`` the rows are stored once with their values.
+    """
     drawn = df.withColumn("_value", value)
     if n > TASK_CUT_LIMIT:
+        drawn = write_out(drawn, "drawn")
         order = ["_value", *ids]
         cuts = small_side(
-            cut_points(drawn, keys, bucket, order, {"_cut": F.least(F.col("_total"), F.lit(n))})
+            cut_points(drawn, keys, buckets, order, {"_cut": F.least(F.col("_total"), F.lit(n))})
         )
         drawn = (
             null_safe(drawn, cuts, keys)
@@ -118,8 +174,7 @@ def sample_per_key(
     ``ids`` must identify a row within its key.
     """
     digest = row_hash(seed, F.col(key), *map(F.col, ids))
-    bucket = F.substring("_value", 1, PREFIX)
-    return draw_per_key(df, [key], digest, bucket, ids, n)
+    return draw_per_key(df, [key], digest, hash_buckets("_value"), ids, n)
 
 
 def weighted_sample_per_key(
@@ -131,8 +186,7 @@ def weighted_sample_per_key(
     """
     positive = df.filter((F.col(weight) > 0) & ~F.isnan(F.col(weight).cast("double")))
     time = race_time(row_hash(seed, F.col(key), *map(F.col, ids)), F.col(weight))
-    bucket = F.floor(F.ln("_value") * LOG_STEPS)
-    return draw_per_key(positive, [key], time, bucket, ids, n)
+    return draw_per_key(positive, [key], time, log_buckets("_value"), ids, n)
 
 
 def stratified_split(
@@ -145,20 +199,21 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: per label, a share for test and a share of the rest for validation.
 
-    Sizes are exact.  No label is gathered in one task: the two cut points per
-    label come from a histogram, and the rows are then only compared with them.
+    Sizes are exact.  The rows are stored once with their hashes.  No label is
+    gathered in one task: the two cut points per label come from histograms,
+    and the rows are then only compared with them.
     """
     total = F.col("_total")
     n_test = F.round(F.lit(test) * total)
     n_val = F.round(F.lit(val) * (total - n_test))
-    hashed = df.filter(F.col(label).isNotNull()).withColumn(
-        "_hash", row_hash(seed, *map(F.col, ids))
+    hashed = write_out(
+        df.filter(F.col(label).isNotNull()).withColumn("_hash", row_hash(seed, *map(F.col, ids))), "hashed"
     )
     order = ["_hash", *ids]
     cuts = cut_points(
         hashed,
         [label],
-        F.substring("_hash", 1, PREFIX),
+        hash_buckets("_hash"),
         order,
         {"_test": n_test, "_val": n_test + n_val},
     )

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nounspan.operators.bottom_k import KeySample
 from nounspan.operators.concordance import concordance, filter_pos, own_sentence, term_stats
 from nounspan.operators.inference import with_pos
 from nounspan.operators.lexicon import distinct_terms, seed_terms, term_range
@@ -26,11 +27,9 @@ from nounspan.streaming.resume import append_pending
 ROW_ID = ["doc_id", "sent_pos", "token_pos"]
 
 
-def mine(
+def find_matches(
     corpus: DataFrame,
     terms: DataFrame,
-    n_samples: int = 3,
-    seed: int = 42,
     context_before: int = 3,
     mode: str = "token",
     pos_lexicon: DataFrame | None = None,
@@ -39,11 +38,7 @@ def mine(
     scorer: PipelineModel | None = None,
     distinct: bool = False,
 ) -> DataFrame:
-    """Sample records ``term, total_matches, total_selected, selected`` for all terms.
-
-    One pass over the corpus finds the matches of every term.  They are stored
-    once, because both the counts and the sample are drawn from them.
-    """
+    """Matches of all terms in one pass, of the wanted parts of speech, with scores if there is a scorer."""
     matches = concordance(
         corpus, terms, context_before=context_before, mode=mode, with_sentences=make_tagger is not None
     )
@@ -59,9 +54,18 @@ def mine(
         matches = matches.groupBy("term", "passage").agg(
             F.min(F.struct(*ROW_ID)).alias("_at")
         ).select("term", "_at.*", "passage")
-    if scorer is not None:
-        matches = score_passages(matches, scorer, "passage")
-    matches = write_out(matches, "matches")
+    return matches if scorer is None else score_passages(matches, scorer, "passage")
+
+
+def mine(
+    corpus: DataFrame, terms: DataFrame, n_samples: int = 3, seed: int = 42, scorer: PipelineModel | None = None, **options
+) -> DataFrame:
+    """Sample records ``term, total_matches, total_selected, selected`` for all terms.
+
+    The matches are stored once, because both the counts and the sample are
+    drawn from them.  ``options`` are those of ``find_matches``.
+    """
+    matches = write_out(find_matches(corpus, terms, scorer=scorer, **options), "matches")
     if scorer is None:
         chosen = sample_per_key(matches, "term", n_samples, seed, ROW_ID)
     else:
@@ -69,6 +73,29 @@ def mine(
     return nest_samples(term_stats(terms, matches, n_samples), chosen)
 
 
+def mine_part(
+    corpus: DataFrame, terms: DataFrame, n_samples: int = 3, seed: int = 42, scorer: PipelineModel | None = None, **options
+) -> KeySample:
+    """The mergeable sample of a part of a corpus, to be stored and merged with others.
+
+    Passages that are to count once (``distinct``) do so within a part.
+    """
+    matches = find_matches(corpus, terms, scorer=scorer, **options)
+    return KeySample.draw(matches, "term", n_samples, seed, ROW_ID, None if scorer is None else "score")
+
+
+def merge_mined(terms: DataFrame, parts: list[KeySample], n_samples: int | None = None) -> DataFrame:
+    """The sample records that mining all parts at once would have given."""
+    whole = KeySample.merge(parts, n_samples)
+    found = F.coalesce(F.col("total"), F.lit(0))
+    stats = terms.select("term").join(whole.totals, "term", "left").select(
+        "term",
+        found.cast("int").alias("total_matches"),
+        F.least(found, F.lit(whole.n)).cast("int").alias("total_selected"),
+    )
+    return nest_samples(stats, whole.ranked())
+
+
 def run_mining(
     spark: SparkSession,
     lexicon_path: str,

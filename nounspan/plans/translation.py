@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.functions.forms import form_columns
 from nounspan.functions.prompts import fill_template, wants_chat
-from nounspan.functions.text import as_chat, token_count
-from nounspan.operators.evaluation import match_lexicon
+from nounspan.functions.text import as_chat, clean_completion, token_count
+from nounspan.operators.calls import ask_once
 from nounspan.operators.inference import CallPolicy, translate
 from nounspan.operators.samples import explode_selected, has_text, regroup_completions
-from nounspan.session import small_rows, write_out
+from nounspan.session import write_out
 from nounspan.sources.writers import add_model_column
 
 
@@ -38,19 +37,23 @@ def as_model_input(df: DataFrame, model_id: str, column: str = "prompt") -> Data
     return df.withColumn(column, F.to_json(as_chat(F.col(column))))
 
 
-def style_forms(seeds: DataFrame, lexicon: DataFrame) -> dict[str, tuple]:
-    """First form of each style per seed, for the offline translator.
-
-    The seeds come from the lexicon, so this small table may go to the driver.
-    """
-    firsts = match_lexicon(
-        seeds.select(F.col("seed_noun").alias("_seed"), F.lower("seed_noun").alias("seed_noun")),
-        lexicon,
-    ).select("_seed", *[F.get(c, F.lit(0)).alias(c) for c in form_columns("plural")])
-    rows = small_rows(firsts.filter("german_mp is not null").distinct())
-    if rows is None:
-        raise ValueError("too many seeds for a translator that holds them in memory")
-    return {r["_seed"]: tuple(r.values())[1:] for r in rows}
+def completions(
+    asked: DataFrame,
+    keys: list[str],
+    make_translator: Callable,
+    model_id: str,
+    policy: CallPolicy | None,
+    extra: tuple[str, ...] = (),
+    log: str | None = None,
+) -> DataFrame:
+    """``keys, completion`` for all prompts, stored; with a ``log`` no call is ever repeated."""
+    if log is None:
+        done = translate(asked, "prompt", make_translator, model_id, policy=policy, extra=extra)
+        answer = F.col("translation")
+    else:
+        done = ask_once(asked, ["prompt", *extra], make_translator, model_id, log, policy=policy)
+        answer = clean_completion(F.col("completion"))
+    return write_out(done.select(*keys, answer.alias("completion")), "completions")
 
 
 def translate_prompts(
@@ -60,12 +63,12 @@ def translate_prompts(
     target: str = "English",
     template_id: str | None = None,
     policy: CallPolicy | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Prompts table plus one column of completions; rows without text stay null."""
     asked = build_prompts(has_text(prompts, target), target, template_id)
     asked = as_model_input(asked, model_id).select("id", "prompt")
-    done = translate(asked, "prompt", make_translator, model_id, policy=policy)
-    done = write_out(done.select("id", F.col("translation").alias("completion")), "completions")
+    done = completions(asked, ["id"], make_translator, model_id, policy, log=log)
     return add_model_column(prompts, done, model_id)
 
 
@@ -75,12 +78,10 @@ def translate_samples(
     model_id: str,
     template_id: str | None = None,
     policy: CallPolicy | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Sample records plus ``translation``, in the order of ``selected``."""
     asked = build_prompts(explode_selected(samples), "text", template_id)
     asked = as_model_input(asked, model_id)
-    done = translate(asked, "prompt", make_translator, model_id, policy=policy, extra=("seed", "text"))
-    done = write_out(
-        done.select("seed", "pos", F.col("translation").alias("completion")), "completions"
-    )
+    done = completions(asked, ["seed", "pos"], make_translator, model_id, policy, ("seed", "text"), log)
     return regroup_completions(samples, done)

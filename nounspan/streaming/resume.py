@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nounspan.streaming.portions import PortionTable
+
 
 def pending_terms(terms: DataFrame, done: DataFrame) -> DataFrame:
     """Terms without a record in the output."""
@@ -16,12 +18,7 @@ def pending_terms(terms: DataFrame, done: DataFrame) -> DataFrame:
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """Output of earlier runs, or None before the first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return None
-        raise
+    return PortionTable(spark, path).read()
 
 
 def append_pending(
@@ -32,13 +29,14 @@ def append_pending(
 ) -> None:
     """Compute records for pending terms and append them, a slice of the terms after the other.
 
-    Every slice is a job of its own that reads the corpus once; a failure
-    leaves the slices before it in the output, and the next run starts there.
-    Whether one slice is stored in full or not at all depends on the committer
-    of the store.
+    Every slice is a job of its own that reads the corpus once, and is stored
+    in full or not at all: a failure leaves the slices before it in the output,
+    nothing of its own, and the next run starts there.
     """
-    done = stored(terms.sparkSession, path)
+    table = PortionTable(terms.sparkSession, path)
+    done = table.read()
     todo = terms if done is None else pending_terms(terms, done)
+    run = uuid.uuid4().hex
     for k in range(slices):
         mine = todo if slices == 1 else todo.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
-        make_records(mine).write.mode("append").parquet(path)
+        table.write(make_records(mine), f"{len(table.portions()):06d}-{run}-{k}")

@@ -3,12 +3,11 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from nounspan.operators.evaluation import verdict_by_forms
 from nounspan.operators.inference import (
     CallPolicy,
     _Caller,
-    indicator_judge,
     judge,
-    lexicon_translator,
     route_for_judging,
     translate,
     with_pos,
@@ -117,24 +116,11 @@ def test_only_rows_to_keep_are_judged(spark):
     assert got == {1: ("Masculine", None), 2: ("N/A", None), 3: ("N/A", None)}
 
 
-def test_indicator_judge_order():
-    def row(gi=0, fp=0, gn=0, mp=0):
-        return {
-            "gender_inclusive_count": gi,
-            "german_fp_count": fp,
-            "gender_neutral_count": gn,
-            "german_mp_count": mp,
-        }
-
-    rows = [row(1, 1, 1, 1), row(0, 1, 1, 1), row(0, 0, 1, 1), row(0, 0, 0, 1), row()]
-    assert indicator_judge()()(rows) == ["Gender-Inclusive", "Feminine", "Gender-Neutral", "Masculine", "None"]
-
-
-def test_lexicon_translator_falls_back_to_masculine():
-    forms = {"tutors": ("Die Betreuer", "Die Betreuerinnen", None, "die Betreuer*innen")}
-    rows = [{"seed": "tutors", "text": "The Tutors came"}, {"seed": "x", "text": "Y x"}]
-    assert lexicon_translator("FP", forms)()(rows) == ["the die betreuerinnen came", "y x"]
-    assert lexicon_translator("GN", forms)()(rows[:1]) == ["the die betreuer came"]
+def test_verdict_order(spark):
+    columns = "gender_inclusive_count int, german_fp_count int, gender_neutral_count int, german_mp_count int"
+    rows = [(1, 1, 1, 1), (0, 1, 1, 1), (0, 0, 1, 1), (0, 0, 0, 1), (0, 0, 0, 0)]
+    got = spark.createDataFrame(rows, columns).coalesce(1).select(verdict_by_forms().alias("v")).collect()
+    assert [r["v"] for r in got] == ["Gender-Inclusive", "Feminine", "Gender-Neutral", "Masculine", "None"]
 
 
 def test_tagger_sees_token_and_text(spark):

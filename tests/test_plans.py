@@ -4,12 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from nounspan.catalog.base import lexicon, terms
+from nounspan.operators.evaluation import translate_by_lexicon
 from nounspan.operators.samples import explode_pairs
 from nounspan.plans import evaluation, mining, translation
 from nounspan.session import scratch_dir, small_rows, small_side, widen
 from nounspan.sources.readers import read_csv, read_samples
 from nounspan.sources.writers import export_samples, write_table
 from nounspan.streaming.resume import append_pending
+from nounspan.streaming.resume import stored as read_portions
 
 LEXICON = (
     "ID,German_MP,German_FP,Gender-Neutral,Gender-Inclusive,English\n"
@@ -32,13 +34,13 @@ def test_from_corpus_to_report(spark, tmp_path):
     out = str(tmp_path / "samples")
     for _ in range(2):  # the second run finds nothing to do
         mining.run_mining(spark, lex, "europarl", corpus, out, n_samples=2, mode="all")
-    records = {r["term"]: r for r in spark.read.parquet(out).collect()}
+    records = {r["term"]: r for r in read_portions(spark, out).collect()}
     assert set(records) == {"team leaders", "tutors", "ghosts"}
     assert records["tutors"]["total_matches"] == 3 and len(records["tutors"]["selected"]) == 2
     assert records["ghosts"]["selected"] is None and records["ghosts"]["total_selected"] == 0
 
     exported = str(tmp_path / "object")
-    export_samples(spark.read.parquet(out), exported)
+    export_samples(read_portions(spark, out), exported)
     prepared = str(tmp_path / "passages")
     mining.run_preparation(spark, [exported, exported], prepared)
     passages = read_csv(spark, prepared, "\t")
@@ -70,7 +72,7 @@ def test_slice_of_terms_and_tagger(spark, tmp_path):
 
     out = str(tmp_path / "slice")
     mining.run_mining(spark, lex, "europarl", corpus, out, slice_of_terms=(1, 3), make_tagger=tag)
-    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("tutors", 0, 0, None)]
+    assert [tuple(r) for r in read_portions(spark, out).collect()] == [("tutors", 0, 0, None)]
 
 
 def test_distinct_passages(spark):
@@ -104,11 +106,20 @@ def test_prompts_table(spark):
     assert [r["Llama-x"] for r in got.collect()] == ["a\n\nTranslate this to German?", None]
 
 
-def test_style_forms(spark):
-    seeds = terms(spark).select(F.col("term").alias("seed_noun"))
-    forms = translation.style_forms(seeds, lexicon(spark))
-    assert forms["esndha reedes"] == forms["reedes"] == ("heit", "einheit", "enlich", "enkeit")
-    assert forms["thhaes"] == ("ver", "einver", None, "schver")
+def test_translation_by_lexicon(spark):
+    rows = [("reedes", "The Reedes came"), ("thhaes", "thhaes"), ("nosuchseed", "A nosuchseed"), (None, "X"), ("", "Y"), ("reedes", None)]
+    df = spark.createDataFrame(rows, "seed string, text string")
+
+    def told(style):
+        done = translate_by_lexicon(df, "text", "seed", lexicon(spark), style)
+        return {(r["seed"], r["text"]): r["translation"] for r in done.collect()}
+
+    feminine, neutral = told("FP"), told("GN")
+    assert feminine == {
+        rows[0]: "the einheit came", rows[1]: "einver", rows[2]: "a nosuchseed", rows[3]: "x", rows[4]: "y", rows[5]: None
+    }
+    # A blank form falls back to the masculine one.
+    assert neutral[rows[0]] == "the enlich came" and neutral[rows[1]] == "ver"
 
 
 def test_small_sides_are_proven(spark, plan):
@@ -140,7 +151,7 @@ def test_failed_slice_keeps_the_slices_before(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         append_pending(terms, path, records, slices=3)
-    kept = spark.read.parquet(path).count()
+    kept = read_portions(spark, path).count()
     assert 0 < kept < 20
     append_pending(terms, path, lambda todo: todo, slices=3)
-    assert sorted(r["term"] for r in spark.read.parquet(path).collect()) == sorted(f"t{i}" for i in range(20))
+    assert sorted(r["term"] for r in read_portions(spark, path).collect()) == sorted(f"t{i}" for i in range(20))

@@ -1,6 +1,7 @@
 """Sizes on both sides of a plan switch give the same rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from nounspan.operators import concordance as c
 from nounspan.operators import sampling
@@ -27,10 +28,33 @@ def test_filter_at_any_number_of_terms(spark, lines, terms, monkeypatch):
 
 
 def test_both_concordance_paths_on_lines(lines, terms):
-    some = lines.filter("doc_id is not null")
-    near = sorted(map(tuple, c.concordance(some, terms).collect()))
-    far = sorted(map(tuple, c.concordance(some, terms, max_terms=1).collect()))
-    assert near == far and len(near) == 4
+    near = sorted(map(str, c.concordance(lines, terms).collect()))
+    far = sorted(map(str, c.concordance(lines, terms, max_terms=1).collect()))
+    assert near == far and len(near) == 5
+
+
+def test_both_sentence_paths_on_lines(lines, terms, monkeypatch):
+    more = lines.unionByName(lines.select("doc_id", F.lit("nothing here. But a cat.").alias("text")).limit(1))
+    near = sorted(map(str, c.sentences_with_terms(more, terms).collect()))
+    monkeypatch.setattr(c.first_tokens, "__defaults__", (1,))
+    far = sorted(map(str, c.sentences_with_terms(more, terms).collect()))
+    assert near == far and len(near) == 6 and not any("nothing" in row for row in far)
+
+
+def test_only_tokens_that_pass_the_filter_are_shuffled(spark, tmp_path):
+    """Of 20,000 tokens the 30 that start a term reach the join, and hardly any others."""
+    text = " ".join(f"w{i}" for i in range(20_000))
+    corpus = spark.createDataFrame([(1, f"{text}. " + "cat. " * 30)], "doc_id long, text string")
+    terms = spark.createDataFrame([("cat", ["cat"]), ("dog", ["dog"])], "term string, term_tokens array<string>")
+    keyed = terms.select("term", "term_tokens", F.get("term_tokens", F.lit(0)).alias("_first"))
+    words = c.sentence_table(c.with_text_key(corpus), "_text").select(F.explode(c.tokens(F.col("sentence"))).alias("_word"))
+    passed = words.filter(c.first_token_filter(keyed).may_hold("_word")).count()
+    assert 30 <= passed <= 40
+    joined = c.hits_by_shuffle(corpus, keyed)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    # The filter stands below the join with the terms, on the side of the corpus.
+    assert "getbit" in plan.split("Generate posexplode")[0].split("Join Inner, (_word")[-1]
+    assert joined.count() == 30
 
 
 @pytest.mark.parametrize("n", [5, 60])
