@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nounspan.session import scratch_path
+from nounspan.sources.storage import delete
 
 # The white space that the contracts of this package name.
 SPACES = "[\\x20\\x09-\\x0D]"
@@ -33,12 +36,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete the checkpoints that are made inside when the block ends.
+
+    What is needed after that must have been written on from them.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a slim intermediate result, reliably.
 
     The files go to the folder that the cluster names in
-    ``spark.checkpoint.dir`` and are removed when nothing refers to them any
-    more.  Only a local session without that setting gets a folder of its own.
+    ``spark.checkpoint.dir``.  Inside ``intermediates`` they are deleted at its
+    end; elsewhere Spark removes them when nothing refers to them any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.  Only a local
+    session without a named folder gets one of its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -47,7 +69,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="nounspan-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _open:
+        _open[-1].append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
 class Scratch:
@@ -66,8 +91,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(self.spark, self.path)
 
     def __enter__(self) -> Scratch:
         return self

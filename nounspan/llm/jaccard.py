@@ -9,8 +9,9 @@ of all tokens, share at least ``l``.
 1. Equal sets are one node.  With every node a group of its own, a first matrix
    finds the nodes whose prefix overlaps the union of all others enough to have
    any link at all; the rest are settled.
-2. The others are grouped around typical leaders by minwise hashes; members
-   that link to their leader are one component with it.
+2. The others are grouped around typical leaders by minwise hashes.  A group is
+   opened in pieces of bounded size, with its leader in each, and what links
+   there is contracted to components.
 3. A matrix over these groups gives the queries that overlap other components
    enough, and for each the groups worth opening.  Queries that reach the bound
    by tokens of very many groups alone are bounded once more on their whole
@@ -31,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.llm.common import checkpointed, id_key, release_memory
+from nounspan.llm.common import checkpointed, id_key, intermediates, release_memory
 from nounspan.llm.components import components
+from nounspan.session import write_out
 
 WORDS = 5
 PERCENT = 75
@@ -130,8 +132,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(node_of(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())],
-            ["id", "node", "n"],
+            [batch.column("id"), batch.column("mark"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())],
+            ["id", "mark", "node", "n"],
         )
         release_memory()
 
@@ -314,20 +316,49 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u8")
 
 
+class Forest:
+    """Components of a few names, as far as the links seen so far join them."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def top(self, name):
+        up = self.up
+        while name in up:
+            if up[name] in up:
+                up[name] = up[up[name]]
+            name = up[name]
+        return name
+
+    def join(self, a, b) -> None:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
 def _open_own(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a group's leader to the members of one piece of the group."""
+    """A spanning forest of the links in one piece of a group, its leader included.
+
+    Two members that others connect already are not compared, so that a piece
+    has fewer links than members.  The leader comes first: it links to most.
+    """
     lead = next(i for i, flag in enumerate(group["leads"]) if flag)
-    head, tokens = group["node"].iloc[lead], _tokens(group["tokens"].iloc[lead])
-    out = [
-        (head, node)
-        for k, (node, blob) in enumerate(zip(group["node"], group["tokens"]))
-        if k != lead and linked(tokens, _tokens(blob))
-    ]
+    order = [lead, *(i for i in range(len(group)) if i != lead)]
+    nodes = [group["node"].iloc[i] for i in order]
+    sets = [_tokens(group["tokens"].iloc[i]) for i in order]
+    part = np.arange(len(nodes))
+    out = []
+    for i, tokens in enumerate(sets):
+        for k in np.flatnonzero(part[i + 1 :] != part[i]) + i + 1:
+            if part[k] != part[i] and linked(tokens, sets[k]):
+                part[part == part[k]] = part[i]
+                out.append((nodes[i], nodes[k]))
+    release_memory()
     return pd.DataFrame(out, columns=["a", "b"])
 
 
 def _own_links(sets: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Links of leaders.  A group is opened in pieces, with its leader in each."""
+    """Links inside the pieces of groups; the leader of a group is in each of its pieces."""
     sized = leaders.groupBy("leader").agg(F.count("*").alias("size")).filter("size > 1")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     members = leaders.join(sized.select("leader", pieces.alias("pieces")), "leader")
@@ -377,23 +408,31 @@ def _rows(whole: bool):
 def _opened(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     """Open a piece of a group for the queries that its token union may hold.
 
-    Of several members of one component one link is enough.  A pair may be tried
-    from both sides: where one of the two is not a query itself, only the other asks.
+    Only links that join components not joined before are kept, a spanning
+    forest: fewer than there are components here, whatever the size of a group.
     """
     sets = [_tokens(t) for t in members["tokens"]]
     if not sets or queries.empty:
         return pd.DataFrame([], columns=["a", "b"])
     union = np.unique(np.concatenate(sets))
-    others = list(zip(members["node"], members["component"], sets))
-    out = []
+    others: dict = {}
+    for node, component, kept in zip(members["node"], members["component"], sets):
+        others.setdefault(component, []).append((node, kept))
+    forest, out = Forest(), []
     for node, own, blob in zip(queries["node"], queries["component"], queries["tokens"]):
-        tokens, known = _tokens(blob), {own}
-        if overlap(tokens, union) < needed(len(tokens)):
+        tokens = _tokens(blob)
+        away = [c for c in others if forest.top(c) != forest.top(own)]
+        if not away or overlap(tokens, union) < needed(len(tokens)):
             continue
-        for other, component, kept in others:
-            if component not in known and linked(tokens, kept):
-                known.add(component)
-                out.append((node, other))
+        for component in away:
+            if forest.top(component) == forest.top(own):
+                continue
+            for other, kept in others[component]:
+                if linked(tokens, kept):
+                    forest.join(own, component)
+                    out.append((node, other))
+                    break
+    release_memory()
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -479,6 +518,23 @@ def _small(rows: DataFrame, size: int) -> DataFrame:
     return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
+def _less_own(wanted: DataFrame, at: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The groups to open, less what the largest component of a group would ask of its own group.
+
+    Its only partners there are the members of other components, and a link is
+    bounded the same from both of its ends: they ask.  Only a heavy query may
+    fail to, so a group with one of those outside its largest component keeps
+    all its queries.
+    """
+    sized = at.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = sized.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("main"))
+    main = main.select("grp", F.col("main.component").alias("main"))
+    silent = at.join(heavy, "label").join(main, "grp").filter("component <> main").select("grp").distinct()
+    spared = main.join(silent, "grp", "left_anti")
+    own = at.join(spared, "grp").filter("component = main").select("label", F.col("grp").alias("other"))
+    return wanted.join(own, ["label", "other"], "left_anti")
+
+
 def _cross_links(sets: DataFrame, groups: DataFrame, leaders: DataFrame) -> DataFrame:
     """Links between different components."""
     slim = groups.join(leaders, "node").select(
@@ -500,7 +556,7 @@ def _cross_links(sets: DataFrame, groups: DataFrame, leaders: DataFrame) -> Data
     found = wanted[0]
     for more in wanted[1:]:
         found = found.unionByName(more)
-    wanted = checkpointed(found.distinct())
+    wanted = checkpointed(_less_own(found.distinct(), at, heavy))
     # A group is opened in pieces of bounded size, each for a bounded number of queries.
     members = open_.select("label", F.col("grp").alias("other")).distinct()
     lanes = wanted.groupBy("other").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("lanes"))
@@ -531,19 +587,12 @@ def _cross_links(sets: DataFrame, groups: DataFrame, leaders: DataFrame) -> Data
 # ---------------------------------------------------------------- the operator
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, n_shingles, component_id`` for every row.
-
-    Two texts link when their sets of word shingles have a Jaccard similarity
-    of at least 0.75; a component is named by its smallest id.  A text of fewer
-    words than a shingle is one shingle; null and blank texts have none, link
-    with nothing and are components of their own.  Rows without an id link
-    like others, but name a component only if all of it has none (null).
-    Repeated rows are one node.  An empty table gives no rows.
-    """
+def _decided(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, mark, n, component_id`` of every row; ``mark`` tells the texts of one id apart."""
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    docs = checkpointed(source.mapInArrow(_documents, f"id {kind}, node binary, n long"))
+    marked = source.withColumn("mark", F.xxhash64("text"))
+    docs = checkpointed(marked.mapInArrow(_documents, f"id {kind}, mark long, node binary, n long"))
     nodes = checkpointed(
         docs.filter("n > 0")
         .groupBy("node")
@@ -563,11 +612,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     at = docs.filter("n > 0").join(known, "node")
     least = at.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked_ = at.join(least, "component").select("id", "n", "component_id")
-    blank = docs.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked_.unionByName(blank).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
-    )
+    linked_ = at.join(least, "component").select("id", "mark", "n", "component_id")
+    blank = docs.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"))
+    return linked_.unionByName(blank)
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id>, n_shingles, component_id`` for every row.
+
+    Two texts link when their sets of word shingles have a Jaccard similarity
+    of at least 0.75; a component is named by its smallest id.  A text of fewer
+    words than a shingle is one shingle; null and blank texts have none, link
+    with nothing and are components of their own.  Rows without an id link
+    like others, but name a component only if all of it has none (null).
+    Repeated rows are one node.  An empty table gives no rows.
+    """
+    with intermediates(df.sparkSession):
+        found = write_out(_decided(df, id_col, text_col), "components")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _label(node: str):
@@ -600,13 +662,27 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without those that link to a row with a smaller id.
 
-    One document of each component stays: the one that names it.  Rows without
-    an id all stay, for nothing tells them apart.
+    One document of each component stays: the one that names it.  It is decided
+    for each row, by its id and text: of two texts under one id, one may stay
+    and the other go, and if both name their common component, the text of the
+    smaller hash stays.  Repeated rows of the same id and text stay or go
+    together.  Rows without an id all stay.  Blank and null texts stay.
     """
-    found = checkpointed(jaccard_components(df, id_col, text_col))
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_key(id_col).alias("key"))
-    if gone.count() * 16 <= BROADCAST_BYTES:
+    with intermediates(df.sparkSession):
+        found = write_out(_decided(df, id_col, text_col), "components")
+    # Of several texts under the id that names their component, one stands for it.
+    named = found.filter((F.col("id") == F.col("component_id")) & (F.col("n") > 0))
+    first = named.groupBy("component_id").agg(F.min("mark").alias("least"), F.max("mark").alias("most"))
+    first = first.filter("least <> most").drop("most")
+    rest = named.join(first, "component_id").filter("mark <> least")
+    gone = (
+        found.filter(F.col("id") != F.col("component_id")).select("id", "mark")
+        .unionByName(rest.select("id", "mark"))
+        .select(id_key("id").alias("key"), "mark")
+        .distinct()
+    )
+    if gone.count() * 24 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    whole = df.select(row, id_key(id_col).alias("key"))
-    return whole.join(gone, "key", "left_anti").select("row.*")
+    whole = df.select(row, id_key(id_col).alias("key"), F.xxhash64(F.col(text_col)).alias("mark"))
+    return whole.join(gone, ["key", "mark"], "left_anti").select("row.*")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nounspan.functions.bloom import BloomFilter
 from nounspan.llm.common import checkpointed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -173,11 +174,24 @@ def _listed(df: DataFrame, name: str) -> list | None:
     return df.collect() if size <= LISTED_BYTES else None
 
 
+def distinct_evidence(texts: DataFrame) -> DataFrame:
+    """``text``, each once: copies of a document are no independent evidence.
+
+    Digests are counted first; only texts whose digest may be repeated move, to
+    meet their copies.
+    """
+    marked = texts.select("text", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"))
+    repeated = marked.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1")
+    maybe = BloomFilter(repeated, ["one", "two"]).may_hold("one", "two")
+    met = marked.filter(maybe).groupBy("one", "two").agg(F.first("text").alias("text"))
+    return marked.filter(~maybe).select("text").unionByName(met.select("text"))
+
+
 def disclosing_terms(texts: DataFrame) -> DataFrame:
     """``term, strength`` of the terms that disclose an entity enough.
 
-    A pair counts if it occurs in LEAST_DOCS documents or more: one document is
-    no evidence.  Both may stand anywhere in them.  A term that discloses
+    ``texts`` are distinct.  A pair counts if it occurs in LEAST_DOCS of them or
+    more: one document is no evidence.  Both may stand anywhere in them.  A term that discloses
     several entities has the largest strength.
     """
     counted = texts.mapInArrow(_each, COUNTED).groupBy("entity", "term").agg(F.sum("docs").alias("docs"))
@@ -223,13 +237,13 @@ def disclosing_terms(texts: DataFrame) -> DataFrame:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strength", pa.float64())])
 _PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 MARKED = (
-    "row long, spans array<struct<kind:string,start:long,end:long,strength:double>>, "
+    "row long, text string, spans array<struct<kind:string,start:long,end:long,strength:double>>, "
     "words array<struct<term:string,start:long,end:long>>"
 )
 
 
 def _marked(kind, strength: dict[str, float] | None):
-    """Spans of each text; without a list of the terms also the places of all its words."""
+    """The text with its spans; without a list of the terms also with the places of all its words."""
 
     def marked(text: str) -> tuple[list[tuple], list[tuple]]:
         spans = base_spans(text)
@@ -252,34 +266,28 @@ def _marked(kind, strength: dict[str, float] | None):
                 [
                     batch.column("key").cast(to_arrow_type(kind)),
                     batch.column("row"),
+                    batch.column("text"),
                     pa.array(spans, pa.list_(_SPAN)),
                     pa.array(words, pa.list_(_PLACE)),
                 ],
-                ["key", "row", "spans", "words"],
+                ["key", "row", "text", "spans", "words"],
             )
 
     return run
 
 
-def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, spans`` for every row: the protected entities, then disclosing words.
-
-    Spans are structs ``kind, start, end, strength`` in code points, the end
-    exclusive; kind ``term`` marks a word that discloses an entity, at all its
-    places in all documents, also in those that do not hold the entity.  Null
-    text counts as empty; repeated rows are documents like others.  No rows,
-    no result.
-    """
+def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key, text, spans`` of every row."""
     spark_type = df.schema[id_col].dataType
     rows = df.select(
         F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
     )
     schema = f"key {spark_type.simpleString()}, {MARKED}"
-    terms = disclosing_terms(df.select(F.col(text_col).alias("text")))
+    terms = disclosing_terms(distinct_evidence(df.select(F.col(text_col).alias("text"))))
     listed = _listed(terms, "term")
     if listed is not None:
         strength = {r["term"]: r["strength"] for r in listed}
-        return rows.mapInArrow(_marked(spark_type, strength), schema).select(F.col("key").alias(id_col), "spans")
+        return rows.mapInArrow(_marked(spark_type, strength), schema).select("key", "text", "spans")
     # A long list meets the words by a shuffle.
     marked = checkpointed(rows.mapInArrow(_marked(spark_type, None), schema))
     flagged = (
@@ -295,16 +303,25 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["strength"].alias("strength")
         ),
     )
-    return (
-        marked.select("key", "row", "spans")
-        .join(flagged, "row", "left")
-        .select(
-            F.col("key").alias(id_col),
-            F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", more)).alias("spans"),
-        )
+    return marked.join(flagged, "row", "left").select(
+        "key",
+        "text",
+        F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", more)).alias("spans"),
     )
 
 
+def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id>, spans`` for every row: the protected entities, then disclosing words.
+
+    Spans are structs ``kind, start, end, strength`` in code points, the end
+    exclusive; kind ``term`` marks a word that discloses an entity, at all its
+    places in all documents, also in those that do not hold the entity.  Null
+    text counts as empty; repeated rows are documents like others, but equal
+    texts are one piece of evidence.  No rows, no result.
+    """
+    return _found(df, id_col, text_col).select(F.col("key").alias(id_col), "spans")
+
+
 def sanitised(text: str, spans: list[dict]) -> str:
     """The text with entities replaced by their kind and terms removed or generalised."""
     out, end = [], 0
@@ -324,9 +341,8 @@ def sanitised(text: str, spans: list[dict]) -> str:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, sanitised`` for every row of unique ids; null text stays null."""
-    spans = find_personal_data(df, id_col, text_col)
+    """``<id>, sanitised`` for every row, whatever its id; null text stays null."""
     clean = F.udf(lambda text, found: None if text is None else sanitised(text, [s.asDict() for s in found]), "string", useArrow=True)
-    return df.select(id_col, text_col).join(spans, id_col).select(
-        id_col, clean(F.col(text_col), F.col("spans")).alias("sanitised")
+    return _found(df, id_col, text_col).select(
+        F.col("key").alias(id_col), clean(F.col("text"), F.col("spans")).alias("sanitised")
     )

@@ -1,10 +1,11 @@
 """Uniform shuffle into shards of exact sizes.
 
-Rows fall into blocks by a hash of their id.  How many rows of each block go
-to each shard is drawn exactly: a communication matrix whose rows follow the
-multivariate hypergeometric law of a uniform permutation.  Each block permutes
-its rows and deals them out by its row of the matrix; the rows are exchanged,
-and each shard is permuted again.
+The rows of the input's own partitions are dealt to shards.  How many rows of
+each partition go to each shard is drawn exactly: a communication matrix whose
+rows follow the multivariate hypergeometric law of a uniform permutation.
+Each partition permutes its rows locally and deals them out by its row of the
+matrix; one exchange brings them to their shards, and each shard is permuted
+again.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.llm.common import text_of
-from nounspan.operators.ids import with_rid
+from nounspan.llm.common import shuffle_width, text_of
+from nounspan.session import write_out
 
-# The matrix has at most MOST_BLOCKS rows, whatever the input.
-BLOCK_ROWS = 4096
+# Partitions that share a row of the matrix, if there are more of them than rows.
 MOST_BLOCKS = 4096
+ROUNDS = 6
+# Bits of a mark, by which a shard is permuted.
+MARK_BITS = 62
+_PART = 33
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -62,51 +67,98 @@ def communication_matrix(block_sizes: list[int], shard_sizes: list[int], seed: i
     return matrix
 
 
-def shuffle_into_shards(
-    df: DataFrame, n_shards: int, id_col: str = "doc_id", seed: int = 42
-) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _key(*parts: int) -> np.uint64:
+    """A hash of small numbers."""
+    key = np.zeros(1, np.uint64)
+    for part in parts:
+        key = _mixed(key + np.uint64(part % 2**64) + np.uint64(0x9E3779B97F4A7C15))
+    return key[0]
+
+
+def permuted(places: np.ndarray, n: int, key: np.uint64) -> np.ndarray:
+    """Places 0 to ``n - 1`` under a pseudo-random permutation, each on its own.
+
+    A Feistel network on the next even number of bits; what falls outside goes
+    round again.
+    """
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for k in range(ROUNDS):
+            left, right = right, left ^ (_mixed(right + key + np.uint64(k * 0x632BE59BD9B4E019 % 2**64)) & mask)
+        return (left << half) | right
+
+    out = once(places.astype(np.uint64))
+    while (outside := out >= np.uint64(n)).any():
+        out[outside] = once(out[outside])
+    return out
+
+
+def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 42) -> DataFrame:
     """Every row with its ``shard`` and its gapless place ``slot`` in the shard.
 
     The input columns come back in one struct ``row``.  Shard sizes differ by
     at most one; each row is as likely to land in one place as in any other.
-    The draw depends on the seed and the ids, not on partitions.  Repeated
-    rows and rows without an id are rows like others: their place follows the
-    rest of their content.  An empty table gives no rows.
+    The rows are stored once with their partition and their place in it, from
+    which all draws follow, so a task that is run again deals out the same
+    rows.  Repeated rows, empty and null ones are rows like others, and the
+    place of a row has nothing to do with its content.  An empty table gives no
+    rows.
     """
-    spark = df.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    # Ids that are missing or repeated are told apart by the whole row.
-    mark = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct(*df.columns))), 256)
-    total = df.count()
-    blocks = max(1, min(MOST_BLOCKS, -(-total // BLOCK_ROWS)))
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), "mark"), F.lit(blocks)).cast("int")
-    marked = df.select(row, F.col(id_col).alias(id_col), mark.alias("mark")).select(
-        "row", "mark", block.alias("block")
-    )
-    counts = dict(marked.groupBy("block").count().collect())
+    stored = write_out(df.select(row, F.monotonically_increasing_id().alias("at")), "to-shard")
+    # One number for each partition of the input.
+    sizes = dict(stored.groupBy(F.shiftright("at", _PART).cast("int")).count().collect())
+    total, blocks = sum(sizes.values()), max(1, min(MOST_BLOCKS, len(sizes)))
+    offsets = np.zeros(max(sizes, default=0) + 1, np.int64)
+    block_sizes = [0] * blocks
+    for part, size in sorted(sizes.items()):
+        offsets[part] = block_sizes[part % blocks]
+        block_sizes[part % blocks] += size
     shard_sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shard_sizes, seed)
-    # At most MOST_BLOCKS rows of n_shards numbers.
-    ends = F.broadcast(
-        spark.createDataFrame(
-            [(b, list(accumulate(cells))) for b, cells in enumerate(matrix)],
-            "block int, ends array<long>",
-        )
-    )
-    first = Window.partitionBy("block").orderBy("mark")
-    dealt = (
-        marked.withColumn("place", F.row_number().over(first) - 1)
-        .join(ends, "block")
-        .select(
-            "row",
-            F.size(F.filter("ends", lambda end: end <= F.col("place"))).alias("shard"),
-            F.sha2(F.concat(F.lit("again|"), F.col("mark")), 256).alias("mark"),
-        )
+    matrix = communication_matrix(block_sizes, shard_sizes, seed)
+    ends = [np.array(list(accumulate(cells)), np.uint64) for cells in matrix]
+
+    @F.pandas_udf("shard int, mark long")
+    def dealt(at: pd.Series) -> pd.DataFrame:
+        number = at.to_numpy()
+        part = number >> _PART
+        place = offsets[part] + (number & ((1 << _PART) - 1))
+        shard = np.zeros(len(number), np.int32)
+        for block in np.unique(part % blocks):
+            mine = part % blocks == block
+            moved = permuted(place[mine], block_sizes[block], _key(seed, 1, int(block)))
+            shard[mine] = np.searchsorted(ends[block], moved, side="right")
+        mark = _mixed(number.astype(np.uint64) ^ _key(seed, 2)) >> np.uint64(64 - MARK_BITS)
+        return pd.DataFrame({"shard": shard, "mark": mark.astype(np.int64)})
+
+    # Each shard is sorted in ranges of the mark, so that no task holds a whole one.
+    ranges = -(-shuffle_width(df.sparkSession) // n_shards)
+    low = MARK_BITS // 2
+    part = F.col("d.shard") * ranges + F.shiftright(F.shiftright("d.mark", low) * ranges, MARK_BITS - low).cast("int")
+    counts = dict(stored.select(dealt("at").alias("d")).groupBy(part).count().collect())
+    starts = [
+        start
+        for s in range(n_shards)
+        for start in [0, *accumulate(counts.get(s * ranges + r, 0) for r in range(ranges))][:-1]
+    ]
+    placed = (
+        stored.select("row", "at", dealt("at").alias("d"))
+        .select("row", "at", "d.shard", "d.mark", part.alias("part"))
+        .repartitionById(n_shards * ranges, F.col("part"))
+        .sortWithinPartitions("part", "mark", "at")
     )
-    starts = [0, *accumulate(shard_sizes)]
-    start = F.get(F.array(*[F.lit(s) for s in starts]), F.col("shard"))
-    placed = with_rid(dealt, ["shard", "mark"], name="place")
-    return placed.select("row", "shard", (F.col("place") - start).cast("long").alias("slot"))
+    start = F.get(F.array(*[F.lit(s) for s in starts]), F.col("part"))
+    seq = F.monotonically_increasing_id().bitwiseAND(F.lit(2**_PART - 1))
+    return placed.select("row", "shard", (start + seq).cast("long").alias("slot"))
 
 
 def described(df: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from nounspan.session import scratch_path
 LEAST_REVISIT = 1000
 FILE_BYTES = 8 * 1024 * 1024
 SHARD_ROWS = 2048
+READ_BYTES = 64 * 1024
 MOST_SHARDS = 65536
 DATE = "2025-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,11 +117,12 @@ def _writer(folder: str, file_bytes: int):
         files, told = _Files(folder, file_bytes), (None, None)
         for batch in batches:
             for row in batch.to_pylist():
+                which = row["key"], row["digest"]
                 if row["kind"] == 0:
-                    # What was decided about the record, just before the record itself.
-                    told = (row["key"], row["refers_to"])
+                    # What was decided about the records of this id and payload, just before them.
+                    told = (which, row["refers_to"])
                     continue
-                refers_to = told[1] if told[0] == row["key"] else None
+                refers_to = told[1] if told[0] == which else None
                 files.add(row["shard"], record(row["page_id"], row["url"], row["payload"], refers_to))
         files.close()
         columns = list(zip(*files.done)) or [[]] * 5
@@ -133,13 +135,13 @@ def _writer(folder: str, file_bytes: int):
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """``key, refers_to`` of the revisit records: pages are grouped by SHA-256 and size.
+    """``key, digest, refers_to`` of the revisit records: pages are grouped by SHA-256 and size.
 
     The largest id of a group is reduced before the shuffle; groups of one
     never meet again.
     """
-    large = pages.filter(F.octet_length("payload") >= LEAST_REVISIT).select(
-        "key", "page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")
+    large = pages.filter("digest IS NOT NULL").select(
+        "key", "page_id", "digest", F.octet_length("payload").alias("n")
     )
     best = (
         large.groupBy("digest", "n")
@@ -167,8 +169,9 @@ def write_warc(
     Null html is an empty payload, a null url leaves out the target.  Rows
     without an id come first.  Of equal payloads of at least 1000 bytes the one
     with the largest id is the response; repeated rows of that id are all
-    responses.  Rows of one id with different payloads are not told apart in
-    the files.  An empty table writes an empty manifest.
+    responses.  Rows of one id, or without one, are decided each by their
+    payload; their records have one name.  An empty table writes an empty
+    manifest.
     """
     spark = df.sparkSession
     pages = df.select(
@@ -176,7 +179,7 @@ def write_warc(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
-    )
+    ).withColumn("digest", F.when(F.octet_length("payload") >= LEAST_REVISIT, F.sha2("payload", 256)))
     ranks = with_rid(pages.select("key"), [F.col("key")], name="at")
     total = ranks.count()
     rows = max(SHARD_ROWS, -(-total // MOST_SHARDS))
@@ -188,11 +191,12 @@ def write_warc(
     def shard_of(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: bisect_right(borders, k)).astype("int64")
 
-    whole = pages.select("key", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "page_id", "url", "payload")
-    told = decisions(pages).groupBy("key").agg(F.max("refers_to").alias("refers_to")).select(
+    whole = pages.select("key", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "digest", "page_id", "url", "payload")
+    told = decisions(pages).groupBy("key", "digest").agg(F.max("refers_to").alias("refers_to")).select(
         "key",
         F.lit(0).alias("kind"),
         "refers_to",
+        "digest",
         F.lit(None).cast("long").alias("page_id"),
         F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("binary").alias("payload"),
@@ -201,7 +205,8 @@ def write_warc(
     placed = whole.unionByName(told).withColumn("shard", shard_of("key"))
     system, path = _system(folder)
     system.create_dir(path, recursive=True)
-    parts = placed.repartition("shard").sortWithinPartitions("shard", "key", "kind", "url")
+    # A task for each shard, whatever the session's shuffle partitions.
+    parts = placed.repartitionById(len(borders) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "key", "digest", "kind", "url")
     manifest = f"{folder.rstrip('/')}/manifest"
     parts.mapInArrow(_writer(folder, file_bytes), MANIFEST.replace("path", "name")).withColumnRenamed(
         "name", "path"
@@ -217,11 +222,15 @@ RECORDS = (
 
 def records_of(content: bytes) -> Iterator[dict]:
     """Records of one file, member by member; digests are computed anew."""
-    rest = content
-    while rest:
-        member = zlib.decompressobj(31)
-        data = member.decompress(rest) + member.flush()
-        rest = member.unused_data
+    view, at = memoryview(content), 0
+    while at < len(view):
+        # Given in pieces, or what is left of the file would be copied after every member.
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            piece = view[at : at + READ_BYTES]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        data = b"".join(parts)
         head, _, tail = data.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = tail[: int(fields["Content-Length"])]
