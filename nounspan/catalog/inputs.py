@@ -137,6 +137,32 @@ def s7(spark, sf):
     return readers.read_translations(spark, path)
 
 
+@query(
+    "s7_read_translations_large",
+    f"""WITH {CTE_SENT} SELECT doc_id::VARCHAR AS doc_id, source AS seed_noun,
+    'line' || chr(10) || '"' || sentence || '"' || chr(10) AS translation FROM sent""",
+)
+def s7_large(spark, sf):
+    # One file, every other cell of which holds quotes and line breaks, read by several tasks.
+    path = scratch_path(spark, "translations")
+    cell = F.concat(F.lit('line\n"'), F.col("translation"), F.lit('"\n')).alias("translation")
+    rows = translations(spark, sf).select("doc_id", F.col("model").alias("seed"), cell)
+    writers.write_table(rows.coalesce(1), path, "csv")
+    return readers.read_translations(spark, path, large=True)
+
+
+@query(
+    "s8_read_prompts_large",
+    f"""WITH {CTE_TURNS} SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS id,
+    conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, english AS "English" FROM turns""",
+)
+def s8_large(spark, sf):
+    path = scratch_path(spark, "prompts")
+    rows = turns(spark, sf).select("conv_id", "turn", F.col("english").alias("English"))
+    writers.write_table(rows.orderBy("conv_id", "turn"), path, "csv")
+    return readers.read_prompts(spark, path, large=True)
+
+
 @query(
     "s8_read_prompts",
     f"""WITH {CTE_TURNS} SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS id,

@@ -49,8 +49,9 @@ from nounspan.functions.text import (
     strip_article,
     tokens,
 )
+from nounspan.operators import abbreviations
 from nounspan.operators.annotations import valid_annotations
-from nounspan.operators.concordance import concordance, sentence_passages
+from nounspan.operators.concordance import concordance, sentence_passages, sentence_table
 from nounspan.operators.inference import route_for_judging
 from nounspan.operators.lexicon import pluralise_lexicon
 from nounspan.operators.samples import has_text, limit_tokens, non_empty
@@ -146,6 +147,25 @@ def p11_pages(spark, sf):
     return pages.select("id", repair_text(F.col("text")).alias("fixed"))
 
 
+# What the bytes 80 to 9F are read as, where that is not a control character.
+_HIGH = [(chr(b), bytes([b]).decode("cp1252", errors="ignore")) for b in range(0x80, 0xA0)]
+
+
+def _misread(text):
+    """A text as it looks after its UTF-8 bytes were read as Windows-1252."""
+    pairs = [(c, read) for c, read in _HIGH if read]
+    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.translate(latin, "".join(c for c, _ in pairs), "".join(read for _, read in pairs))
+
+
+@query("p11_repair_damaged", "SELECT doc_id, text AS read_once, text AS read_twice FROM documents")
+def p11_damaged(spark, sf):
+    # What was misread once and twice comes back as it was.
+    docs = documents(spark, sf)
+    once = _misread(F.col("text"))
+    return docs.select("doc_id", repair_text(once).alias("read_once"), repair_text(_misread(once)).alias("read_twice"))
+
+
 def _template_sql(template_id: str) -> str:
     head, tail = TEMPLATES[template_id]
     tail = "' || chr(10) || '".join(tail.replace("'", "''").split("\n"))
@@ -293,6 +313,45 @@ def f1(spark, sf):
     return sentences(spark, sf)
 
 
+CTE_ABBREVIATIONS = (
+    f"piece AS (SELECT unnest(string_split_regex(text, '{abbreviations.SPACES}')) AS piece FROM documents), "
+    f"found AS (SELECT lower(regexp_extract(piece, {sql_str(abbreviations.WORD)}, 1)) AS word, "
+    f"(regexp_extract(piece, {sql_str(abbreviations.WORD)}, 2) <> '')::BIGINT AS stop FROM piece), "
+    "met AS (SELECT * FROM found WHERE word <> ''), "
+    "sums AS (SELECT sum(stop) AS stops, count(*) AS words FROM met), "
+    "counted AS (SELECT word, sum(stop)::BIGINT AS n_stop, (count(*) - sum(stop))::BIGINT AS n_plain, "
+    "length(replace(word, '.', '')) AS letters FROM met GROUP BY word "
+    f"HAVING sum(stop) >= {abbreviations.LEAST}), "
+    "scored AS (SELECT word, n_stop, n_plain, 2 * ((n_stop * ln(0.99) + n_plain * ln(1 - 0.99::DOUBLE)) "
+    "- (n_stop * ln(stops / words) + n_plain * ln(1 - stops / words))) * exp(-letters) "
+    "* (length(word) - letters + 1) * pow(letters::DOUBLE, -n_plain) AS score FROM counted, sums)"
+)
+
+
+@query(
+    "f1_abbreviation_scores",
+    f"WITH {CTE_ABBREVIATIONS} SELECT word, n_stop, n_plain, round(score, 6) + 0.0 AS score FROM scored",
+)
+def f1_scores(spark, sf):
+    scores = abbreviations.abbreviation_scores(documents(spark, sf))
+    return scores.select("word", "n_stop", "n_plain", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(
+    "f1_split_with_abbreviations",
+    rf"""WITH {CTE_ABBREVIATIONS}, listed AS (SELECT coalesce('(^|[^\p{{L}}.])(' || string_agg(replace(word, '.', '\.'), '|')
+    || ')\.([ \t\r\n])', '[^\s\S]') AS stop FROM scored WHERE score >= {abbreviations.THRESHOLD}),
+    held AS (SELECT doc_id, regexp_replace(regexp_replace(text, stop, '\1\2.' || chr(2) || '\3', 'gi'),
+    stop, '\1\2.' || chr(2) || '\3', 'gi') AS t FROM documents, listed),
+    cut AS (SELECT doc_id, {sql_sentences('t')} AS s FROM held)
+    SELECT doc_id, unnest(range(len(s)))::INTEGER AS sent_pos,
+    replace(unnest(s), '.' || chr(2), '.') AS sentence FROM cut""",
+)
+def f1_learned(spark, sf):
+    docs = documents(spark, sf)
+    return sentence_table(docs, abbreviations=abbreviations.learned_abbreviations(docs))
+
+
 @query(
     "f2_tokens",
     f"""SELECT word, count(*) AS n FROM (SELECT unnest({sql_tokens('text')}) AS word

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nounspan.catalog.base import CTE_LABELLED, labelled, query, table
 from nounspan.catalog.concordance import hits
-from nounspan.functions.text import token_count
+from nounspan.functions.text import line_count, token_count
 from nounspan.operators.relevance import (
     attach_scores,
     fit_relevance,
@@ -18,6 +18,7 @@ from nounspan.operators.relevance import (
     score_passages,
     value_counts,
 )
+from nounspan.operators.ridge import ridge_grid
 from nounspan.plans.relevance import make_splits, score_unseen, train
 from nounspan.session import scratch_path, write_out
 
@@ -68,6 +69,38 @@ def a8(spark, sf):
     return mse(rows).select(F.round("mse", 8).alias("mse"))
 
 
+# Penalties of the small model.
+PENALTIES = (0.0, 0.05, 0.5)
+
+
+@query(
+    "m1_ridge_grid",
+    f"""WITH {CTE_LABELLED}, r AS (SELECT doc_id, {LABEL_SQL} AS y, len(string_split(source, ' ')) / 1000.0::DOUBLE AS a,
+    len(string_split(source, chr(10))) / 10.0::DOUBLE AS b FROM labelled WHERE comment IS NOT NULL),
+    t AS (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 1))::INT < 12 AS train FROM r),
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(y) AS sy,
+    corr(a, b) AS ab, corr(a, y) AS ya, corr(b, y) AS yb FROM t WHERE train),
+    g AS (SELECT *, unnest({list(PENALTIES)}::DOUBLE[]) AS penalty FROM m), h AS (SELECT *, 1 + penalty / sy AS d FROM g),
+    w AS (SELECT *, (ya * d - ab * yb) / (d * d - ab * ab) * sy / sa AS wa,
+    (yb * d - ab * ya) / (d * d - ab * ab) * sy / sb AS wb FROM h),
+    k AS (SELECT penalty, wa, wb, my - wa * ma - wb * mb AS w0 FROM w)
+    SELECT penalty, round(w0, 7) AS intercept, round(wa, 7) AS words, round(wb, 7) AS lines,
+    round(avg(pow(y - w0 - wa * a - wb * b, 2)), 7) AS mse FROM t, k WHERE NOT train GROUP BY penalty, w0, wa, wb""",
+)
+def m1_grid(spark, sf):
+    # Two features, three penalties, one pass: the closed form is the oracle.
+    rows = map_labels(labelled_only(labelled(spark, sf)))
+    digit = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), 16, 10).cast("int")
+    table = rows.select(
+        "label",
+        F.array(token_count(F.col("source")) / 1000.0, line_count(F.col("source")) / 10.0).alias("x"),
+        F.when(digit < 12, "train").otherwise("val").alias("split"),
+    )
+    found = ridge_grid(table, "x", "label", "split", PENALTIES)
+    out = [(float(p), *(round(float(v), 7) + 0.0 for v in (*w, error))) for p, (error, w) in found.items()]
+    return spark.createDataFrame(out, "penalty double, intercept double, words double, lines double, mse double")
+
+
 # Where this application stored the splits of a table and the model fitted on them.
 _fits: dict[tuple[str, str], tuple] = {}
 

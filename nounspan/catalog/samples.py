@@ -29,9 +29,11 @@ from nounspan.operators.samples import (
     funnel,
     merge_sharded,
     non_empty_seeds,
+    prepare_counted,
     prepare_passages,
     regroup_completions,
 )
+from nounspan.sources.bucketed import write_bucketed
 from nounspan.sources.writers import add_model_column, add_model_columns
 from nounspan.session import scratch_path, write_out
 from nounspan.streaming.portions import PortionTable
@@ -134,6 +136,15 @@ def j6(spark, sf):
     return join_completions(asked, completions(spark, sf))
 
 
+@query(
+    "j6_join_completions_bucketed", f"WITH {CTE_PROMPTS} SELECT id, english, answer AS completion FROM pr"
+)
+def j6_bucketed(spark, sf):
+    # Both tables are stored in the same buckets of the id, as runs that come back to them do.
+    asked = write_bucketed(prompts(spark, sf).select("id", "english"), "id", buckets=8)
+    return join_completions(asked, write_bucketed(completions(spark, sf), "id", buckets=8))
+
+
 @query(
     "k4_add_model_column", f'WITH {CTE_PROMPTS} SELECT id, english, answer AS "org--model-1" FROM pr'
 )
@@ -171,6 +182,20 @@ def j7(spark, sf):
     )
 
 
+@query(
+    "j7_regroup_completions_bucketed",
+    f"""WITH {CTE_SAMPLES} SELECT term, total_selected,
+    coalesce(array_to_string(list_transform(selected, lambda t: 'DE: ' || t), ' || '), '') AS translation FROM smp""",
+)
+def j7_bucketed(spark, sf):
+    samples = document_samples(spark, sf)
+    done = explode_selected(samples).select("seed", "pos", F.concat(F.lit("DE: "), "text").alias("completion"))
+    grouped = regroup_completions(
+        write_bucketed(samples, "term", buckets=8), write_bucketed(done, "seed", buckets=8)
+    )
+    return grouped.select("term", "total_selected", F.array_join("translation", " || ").alias("translation"))
+
+
 @query(
     "j8_exclude_seen",
     f"""WITH {CTE_FLAT}, seen AS (SELECT string_split(regexp_replace(text,
@@ -273,6 +298,20 @@ def a6(spark, sf):
     )
 
 
+@query(
+    "a6_observed_preparation",
+    f"""WITH {CTE_FLAT}, p AS (SELECT count(*) AS passages,
+    count(*) FILTER (len(string_split(text, ' ')) <= 20) AS passages_kept FROM flat)
+    SELECT count(*) AS seeds, count(*) FILTER (total_selected <> 0) AS seeds_with_passages,
+    any_value(passages) AS passages, any_value(passages_kept) AS passages_kept FROM smp, p""",
+)
+def a6_observed(spark, sf):
+    # Counted by the job that stores the passages.
+    _, counts = prepare_counted(document_samples(spark, sf), max_tokens=20)
+    names = ["seeds", "seeds_with_passages", "passages", "passages_kept"]
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query(
     "a6_funnel_labels",
     f"""WITH {CTE_LABELLED} SELECT count(*) AS total, count(comment) AS commented,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +15,8 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"([.!?])[ \t\r\n]+"
 SENTENCE_MARK = "\u0001"
+# Stands after the full stop of an abbreviation while sentences are cut.
+NO_END = "\u0002"
 # White space as Python's str.strip understands it.
 SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -36,9 +40,20 @@ def between_tokens(text: Column) -> Column:
     return F.split(F.lower(text), TOKEN)
 
 
-def split_sentences(text: Column) -> Column:
-    """Sentences as an array: cut after . ! ? where white space follows."""
-    return F.split(F.regexp_replace(text, SENTENCE_END, "$1" + SENTENCE_MARK), SENTENCE_MARK)
+def split_sentences(text: Column, abbreviations: Sequence[str] = ()) -> Column:
+    """Sentences as an array: cut after . ! ? where white space follows.
+
+    The full stop of an abbreviation ends no sentence.  ``abbreviations`` are
+    lower-cased words without their last full stop.
+    """
+    if abbreviations:
+        listed = "|".join(re.escape(a) for a in abbreviations)
+        stop = rf"(?iu)(?<![\p{{L}}.])({listed})\.(?=[ \t\r\n])"
+        text = F.regexp_replace(text, stop, "$1." + NO_END)
+    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$1" + SENTENCE_MARK), SENTENCE_MARK)
+    if not abbreviations:
+        return cut
+    return F.transform(cut, lambda s: F.replace(s, F.lit("." + NO_END), F.lit(".")))
 
 
 def strip_article(term: Column) -> Column:
@@ -87,16 +102,19 @@ def ngram_at(words: Column, at: Column, length: Column) -> Column:
     return F.slice(words, at + 1, length)
 
 
+def _seen(byte: int) -> str:
+    """What a byte looks like in Windows-1252; unassigned ones are control characters."""
+    return bytes([byte]).decode("cp1252", errors="ignore") or chr(byte)
+
+
 def _misread(ch: str) -> str:
     """What a UTF-8 character looks like after being read as Windows-1252."""
-    return "".join(
-        bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in ch.encode("utf-8")
-    )
+    return "".join(map(_seen, ch.encode("utf-8")))
 
 
-# Characters whose misread form is repaired: the Latin-1 letters and signs, and
-# the common punctuation beyond them.  Longer misread forms come first.
-REPAIRABLE = "–—‘’‚“”„•…€™" + "".join(map(chr, range(0xA1, 0x100)))
+# Characters whose misread form is repaired: all that a byte from 80 on can look like, so
+# that a text misread again can be read back.  Longer misread forms come first.
+REPAIRABLE = sorted(map(_seen, range(0x80, 0x100)), key=lambda ch: -len(ch.encode()))
 MOJIBAKE = [(_misread(ch), ch) for ch in REPAIRABLE]
 
 # Basic entities, in the order in which they are replaced.
@@ -127,22 +145,52 @@ CURLY = "‘’‚‛“”„‟"
 STRAIGHT = "''''\"\"\"\""
 LINE_BREAKS = r"\r\n|[\r\x{85}\x{2028}\x{2029}]"
 CONTROLS = r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{feff}]"
-MISREAD_LEAD = r"[\x{c2}\x{c3}]|\x{e2}[\x{20ac}\x{201a}\x{201e}]"
+# The first characters of misread forms.
+MISREAD_LEAD = r"[\x{c2}\x{c3}\x{c5}\x{c6}\x{cb}]|\x{e2}[\x{20ac}\x{201a}\x{201e}]"
+# A misread form as a whole: its lead, and what a continuation byte looks like.
+MISREAD = f"(?:{MISREAD_LEAD})[" + "".join(f"\\x{{{ord(_seen(b)):x}}}" for b in range(0x80, 0xC0)) + "]"
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def misread_count(text: Column) -> Column:
+    """What a reading costs: sequences that look like misread UTF-8."""
+    return F.regexp_count(text, F.lit(MISREAD))
+
+
+def reread(text: Column) -> Column:
+    """Misread characters replaced, again and again as long as that leaves fewer of them.
+
+    A text that was misread twice needs two rounds.  Every round but the last
+    removes one at least, so there are no more rounds than misread characters.
+    """
+    start = F.struct(text.alias("text"), misread_count(text).alias("cost"), F.lit(True).alias("falls"))
+
+    def again(state: Column, _: Column) -> Column:
+        read = _replace_all(state["text"], MOJIBAKE)
+        better = state["falls"] & (misread_count(read) < state["cost"])
+        return F.struct(
+            F.when(better, read).otherwise(state["text"]).alias("text"),
+            F.when(better, misread_count(read)).otherwise(state["cost"]).alias("cost"),
+            better.alias("falls"),
+        )
+
+    rounds = F.sequence(F.lit(1), F.greatest(misread_count(text), F.lit(1)))
+    return F.aggregate(rounds, start, again)["text"]
+
+
 def repair_text(text: Column) -> Column:
     """Repair the usual damage: misread UTF-8, entities, quotes, line breaks.
 
     A chosen subset of what a general text fixer does, in this order: misread
-    characters, entities (only in text without a literal ``<``, so that markup
-    stays as it is), ligatures, curly quotes, line breaks, control characters.
-    The chains of replacements run only on rows that hold a lead character.
+    characters (however often they were misread), entities (only in text
+    without a literal ``<``, so that markup stays as it is), ligatures, curly
+    quotes, line breaks, control characters.  The chains of replacements run
+    only on rows that hold a lead character.
     """
-    text = F.when(text.rlike(MISREAD_LEAD), _replace_all(text, MOJIBAKE)).otherwise(text)
+    text = F.when(text.rlike(MISREAD), reread(text)).otherwise(text)
     text = F.when(
         F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("<")), _replace_all(text, ENTITIES)
     ).otherwise(text)

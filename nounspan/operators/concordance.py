@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +98,11 @@ def only_if_held(sentences: Column, wanted: list[str]) -> Column:
     return F.when(held, sentences)
 
 
-def sentence_table(corpus: DataFrame, *keep: str, only: list[str] | None = None) -> DataFrame:
+def sentence_table(
+    corpus: DataFrame, *keep: str, only: list[str] | None = None, abbreviations: Sequence[str] = ()
+) -> DataFrame:
     """One row per sentence: ``doc_id, sent_pos, sentence`` and the columns to keep."""
-    parts = split_sentences(F.col("text"))
+    parts = split_sentences(F.col("text"), abbreviations)
     if only is not None:
         parts = only_if_held(parts, only)
     # The outer explode keeps the optimizer from splitting a text twice.
@@ -119,13 +123,15 @@ def sentence_passages(sentences: DataFrame, before: int = 2, after: int = 1) ->
     )
 
 
-def hits_by_broadcast(corpus: DataFrame, keyed: DataFrame, wanted: list[str] | None) -> DataFrame:
+def hits_by_broadcast(
+    corpus: DataFrame, keyed: DataFrame, wanted: list[str] | None, abbreviations: Sequence[str] = ()
+) -> DataFrame:
     """Tokens that start a term, with the sentences around them.
 
     The sentence array of a document travels by reference within one stage;
     nothing is copied for tokens that are no hit.
     """
-    sentences = split_sentences(F.col("text"))
+    sentences = split_sentences(F.col("text"), abbreviations)
     if wanted is not None:
         sentences = only_if_held(sentences, wanted)
     # The outer explodes keep the optimizer from deriving a filter that would
@@ -145,7 +151,7 @@ def hits_by_broadcast(corpus: DataFrame, keyed: DataFrame, wanted: list[str] | N
     return words.join(keyed, F.col("_word") == F.col("_first"))
 
 
-def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame) -> DataFrame:
+def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame, abbreviations: Sequence[str] = ()) -> DataFrame:
     """The same for a term list that is too large to broadcast.
 
     Only places and tokens are shuffled to the terms, and only those tokens
@@ -153,7 +159,7 @@ def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame) -> DataFrame:
     afterwards by document and a hash of the text.  AQE splits frequent tokens.
     """
     keyed_texts = with_text_key(corpus)
-    words = sentence_table(keyed_texts, "_text").select(
+    words = sentence_table(keyed_texts, "_text", abbreviations=abbreviations).select(
         "doc_id", "_text", "sent_pos", tokens(F.col("sentence")).alias("_words")
     )
     words = words.select(
@@ -161,7 +167,7 @@ def hits_by_shuffle(corpus: DataFrame, keyed: DataFrame) -> DataFrame:
     ).filter(first_token_filter(keyed).may_hold("_word"))
     found = words.join(keyed, F.col("_word") == F.col("_first"))
     texts = keyed_texts.dropDuplicates(["doc_id", "_text"]).select(
-        "doc_id", "_text", split_sentences(F.col("text")).alias("_sents")
+        "doc_id", "_text", split_sentences(F.col("text"), abbreviations).alias("_sents")
     )
     met = found.alias("l").join(texts.alias("r"), same_place())
     return met.select("l.*", "r._sents").withColumn("_words", tokens(F.get("_sents", F.col("sent_pos"))))
@@ -177,6 +183,7 @@ def concordance(
     prefilter: bool = True,
     with_sentences: bool = False,
     max_terms: int = MAX_SMALL_ROWS,
+    abbreviations: Sequence[str] = (),
 ) -> DataFrame:
     """One row per occurrence of a term, with its passage.
 
@@ -188,18 +195,19 @@ def concordance(
     sentences, tokens and a hash join in one stage without a shuffle.  A phrase
     joins on its first token and is then compared in full, with what stands
     between its tokens.  A longer term list
-    is joined by a shuffle of bare tokens.
+    is joined by a shuffle of bare tokens.  After ``abbreviations`` no sentence
+    ends.
     """
     keyed = pick_mode(terms, mode).select(
         "term", "term_tokens", F.get("term_tokens", F.lit(0)).alias("_first")
     )
     content = small_table(keyed, max_terms)
     if content is None:
-        hits = hits_by_shuffle(corpus, keyed)
+        hits = hits_by_shuffle(corpus, keyed, abbreviations)
     else:
         wanted = sorted(set(content["_first"].to_pylist())) if prefilter else None
         keyed = F.broadcast(terms.sparkSession.createDataFrame(content, keyed.schema))
-        hits = hits_by_broadcast(corpus, keyed, wanted)
+        hits = hits_by_broadcast(corpus, keyed, wanted, abbreviations)
     if mode != "token":
         whole = ngram_at(F.col("_words"), F.col("token_pos"), F.size("term_tokens"))
         # As written: the same tokens, and the same characters between them.

@@ -6,12 +6,13 @@ from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from nounspan.functions.text import NON_WORD
+from nounspan.operators.ridge import ridge_grid
 from nounspan.session import small_side
 
 # What the annotators' letters are worth.
@@ -54,9 +55,10 @@ def exclude_seen(df: DataFrame, seen: DataFrame, text: str = "sentence") -> Data
     return df.join(small_side(known), digest(text) == F.col("_seen"), "left_anti")
 
 
-def attach_scores(matches: DataFrame, score: Column) -> DataFrame:
-    """Add ``score`` in the row it belongs to; below zero counts as zero."""
-    return matches.withColumn("score", F.greatest(score.cast("double"), F.lit(0.0)))
+def attach_scores(matches: DataFrame, score: Column, most: float | None = None) -> DataFrame:
+    """Add ``score`` in the row it belongs to; below zero counts as zero, above ``most`` as that."""
+    bounded = F.greatest(score.cast("double"), F.lit(0.0))
+    return matches.withColumn("score", bounded if most is None else F.least(bounded, F.lit(most)))
 
 
 def fit_relevance(
@@ -68,9 +70,10 @@ def fit_relevance(
 ) -> tuple[PipelineModel, dict[float, float]]:
     """Fit text -> label for several penalties; keep the one with the least validation error.
 
-    Returns the model and the validation error per penalty.  Up to 4096 hashed
-    features the normal equations are summed in one pass over the data; with
-    more, Spark turns to an iterative solver with a pass per step.
+    Returns the model and the validation error per penalty.  One pass over both
+    sets gives the errors of the whole grid, and one more fits the model of the
+    chosen penalty.  Up to 4096 hashed features it sums the normal equations;
+    with more, Spark turns to an iterative solver with a pass per step.
     """
     words = RegexTokenizer(
         inputCol=source, outputCol="_words", pattern=NON_WORD, gaps=True, toLowercase=True
@@ -79,26 +82,20 @@ def fit_relevance(
     weights = IDF(inputCol="_counts", outputCol="_features")
     slim = train.select(source, "label").na.drop()
     text_model = Pipeline(stages=[words, counts, weights]).fit(slim)
-    level = StorageLevel.MEMORY_AND_DISK
-    fit_on = text_model.transform(slim).select("_features", "label").persist(level)
-    check_on = text_model.transform(val.select(source, "label").na.drop()).persist(level)
-    errors, best = {}, None
-    try:
-        for penalty in grid:
-            model = LinearRegression(
-                featuresCol="_features",
-                labelCol="label",
-                predictionCol="prediction",
-                regParam=penalty,
-                maxIter=30,
-            ).fit(fit_on)
-            errors[penalty] = mse(model.transform(check_on)).first()["mse"]
-            if best is None or errors[penalty] < best[0]:
-                best = (errors[penalty], model)
-    finally:
-        fit_on.unpersist()
-        check_on.unpersist()
-    return PipelineModel([*text_model.stages, best[1]]), errors
+    named = lambda df, split: df.select(source, "label").na.drop().withColumn("split", F.lit(split))
+    both = text_model.transform(named(train, "train").unionByName(named(val, "val")))
+    tried = ridge_grid(
+        both.select("label", "split", vector_to_array("_features").alias("x")), "x", "label", "split", grid
+    )
+    errors = {penalty: error for penalty, (error, _) in tried.items()}
+    best = LinearRegression(
+        featuresCol="_features",
+        labelCol="label",
+        predictionCol="prediction",
+        regParam=min(errors, key=errors.get),
+        maxIter=30,
+    ).fit(text_model.transform(slim).select("_features", "label"))
+    return PipelineModel([*text_model.stages, best]), errors
 
 
 def save_relevance(model: PipelineModel, path: str) -> None:
@@ -111,7 +108,7 @@ def load_relevance(path: str) -> PipelineModel:
 
 
 def score_passages(df: DataFrame, model: PipelineModel, text: str = "source") -> DataFrame:
-    """Add ``score`` by the fitted model; negative predictions are raised to zero."""
+    """Add ``score`` by the fitted model, as a fraction: predictions are bounded by zero and one."""
     scored = model.transform(df.withColumn("source", F.coalesce(F.col(text), F.lit(""))))
     kept = [F.col(f"`{c}`") for c in df.columns]
-    return attach_scores(scored, F.col("prediction")).select(*kept, "score")
+    return attach_scores(scored, F.col("prediction"), 1.0).select(*kept, "score")

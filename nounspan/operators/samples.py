@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from nounspan.functions.text import repair_text, token_count
 from nounspan.operators.ids import with_rid
+from nounspan.operators.observed import Observed, funnel_counts
+from nounspan.session import write_out
 
 
 def has_text(df: DataFrame, column: str) -> DataFrame:
@@ -82,11 +84,28 @@ def flatten_translations(samples: DataFrame) -> DataFrame:
 def prepare_passages(samples: DataFrame, max_tokens: int = 256) -> DataFrame:
     """Passages up to the limit, repaired after counting, with dense ids."""
     flat = explode_selected(non_empty_seeds(samples))
-    kept = limit_tokens(flat, "text", max_tokens)
+    return numbered_passages(limit_tokens(flat, "text", max_tokens))
+
+
+def numbered_passages(kept: DataFrame) -> DataFrame:
     numbered = with_rid(kept, ["seed", "pos"])
     return numbered.select("rid", "seed", "token_count", repair_text(F.col("text")).alias("text"))
 
 
+def prepare_counted(samples: DataFrame, max_tokens: int = 256) -> tuple[DataFrame, dict[str, int]]:
+    """The same passages, and how many seeds and passages there were before and after each filter.
+
+    The passages are stored once before they are numbered; the counts are taken
+    by that job.
+    """
+    seeds = Observed(samples, seeds=F.count(F.lit(1)), seeds_with_passages=F.count_if(F.col("total_selected") != 0))
+    flat = explode_selected(non_empty_seeds(seeds.df))
+    short = token_count(F.col("text")) <= max_tokens
+    passages = Observed(flat, passages=F.count(F.lit(1)), passages_kept=F.count_if(short))
+    kept = write_out(limit_tokens(passages.df, "text", max_tokens), "passages")
+    return numbered_passages(kept), seeds.get() | passages.get()
+
+
 def regroup_completions(
     samples: DataFrame, completions: DataFrame, text: str = "completion"
 ) -> DataFrame:
@@ -109,8 +128,5 @@ def funnel(df: DataFrame, stages: dict[str, Column], seed: str | None = None) ->
 
     A row counts for a stage if it passed that stage and all before it.
     """
-    passed, counts = F.lit(True), [F.count(F.lit(1)).alias("total")]
-    for name, predicate in stages.items():
-        passed = passed & F.coalesce(predicate, F.lit(False))
-        counts.append(F.count_if(passed).alias(name))
+    counts = [c.alias(name) for name, c in funnel_counts(stages).items()]
     return df.groupBy(seed).agg(*counts) if seed else df.agg(*counts)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nounspan.operators.evaluation import form_hits, form_report
 from nounspan.operators.inference import CallPolicy, judge
+from nounspan.operators.observed import Observed
 from nounspan.session import write_out
 from nounspan.sources.readers import read_annotations, read_lexicon, read_translations
 from nounspan.sources.writers import write_table
@@ -49,7 +51,14 @@ def run_judging(
     output_path: str,
     make_judge: Callable,
     policy: CallPolicy | None = None,
-) -> None:
-    """Judge the rows to keep of an annotated table."""
+) -> dict[str, int]:
+    """Judge the rows to keep of an annotated table; returns rows, judged ones and failures."""
     judged = judge(read_annotations(spark, annotations_path), make_judge, policy=policy)
-    write_table(judged, output_path, "csv")
+    seen = Observed(
+        judged,
+        rows=F.count(F.lit(1)),
+        judged=F.count_if(F.col("to_keep") & F.col("error").isNull()),
+        failed=F.count(F.col("error")),
+    )
+    write_table(seen.df, output_path, "csv")
+    return seen.get()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from nounspan.operators.concordance import concordance, filter_pos, own_sentence
 from nounspan.operators.inference import with_pos
 from nounspan.operators.lexicon import distinct_terms, seed_terms, term_range
 from nounspan.operators.relevance import score_passages
-from nounspan.operators.samples import merge_samples, prepare_passages
+from nounspan.operators.samples import merge_samples, prepare_counted
 from nounspan.operators.sampling import (
     nest_samples,
     sample_per_key,
@@ -37,10 +37,16 @@ def find_matches(
     tags: tuple[str, ...] = ("NOUN", "PROPN"),
     scorer: PipelineModel | None = None,
     distinct: bool = False,
+    abbreviations: Sequence[str] = (),
 ) -> DataFrame:
     """Matches of all terms in one pass, of the wanted parts of speech, with scores if there is a scorer."""
     matches = concordance(
-        corpus, terms, context_before=context_before, mode=mode, with_sentences=make_tagger is not None
+        corpus,
+        terms,
+        context_before=context_before,
+        mode=mode,
+        with_sentences=make_tagger is not None,
+        abbreviations=abbreviations,
     )
     if pos_lexicon is not None:
         matches = filter_pos(matches, pos_lexicon, tags)
@@ -106,22 +112,28 @@ def run_mining(
     remove_article: bool = True,
     commits: int = 1,
     **options,
-) -> None:
+) -> int:
     """Mine a stored corpus; a second run only adds terms that are still missing.
 
-    The terms are stored in ``commits`` portions, each with a pass over the corpus.
+    The terms are stored in ``commits`` portions, each with a pass over the
+    corpus.  Returns the number of terms that were added.
     """
     lexicon = read_lexicon(spark, lexicon_path)
     if slice_of_terms:
         lexicon = term_range(lexicon, *slice_of_terms)
     terms = distinct_terms(seed_terms(lexicon, remove_article))
     corpus = load_corpus(spark, corpus_name, corpus_path)
-    append_pending(terms, output_path, lambda todo: mine(corpus, todo, **options), commits)
+    return append_pending(terms, output_path, lambda todo: mine(corpus, todo, **options), commits)
 
 
 def run_preparation(
     spark: SparkSession, sample_paths: list[str], output_path: str, max_tokens: int = 256
-) -> None:
-    """Merge sample sets, later ones win, and write the clean passage table."""
+) -> dict[str, int]:
+    """Merge sample sets, later ones win, and write the clean passage table.
+
+    Returns the seeds and passages before and after each filter.
+    """
     merged = merge_samples(*[read_samples(spark, p) for p in sample_paths])
-    write_table(prepare_passages(merged, max_tokens), output_path, "csv", sep="\t")
+    passages, counts = prepare_counted(merged, max_tokens)
+    write_table(passages, output_path, "csv", sep="\t")
+    return counts

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nounspan.functions.prompts import fill_template, wants_chat
 from nounspan.functions.text import as_chat, clean_completion, token_count
 from nounspan.operators.calls import ask_once
 from nounspan.operators.inference import CallPolicy, translate
-from nounspan.operators.samples import explode_selected, has_text, regroup_completions
+from nounspan.operators.samples import explode_selected, flatten_translations, has_text, regroup_completions
 from nounspan.session import write_out
-from nounspan.sources.writers import add_model_column
+from nounspan.sources.readers import read_prompts, read_samples
+from nounspan.sources.writers import add_model_column, export_samples, model_tag_text, write_table
 
 
 def build_prompts(
@@ -85,3 +86,32 @@ def translate_samples(
     asked = as_model_input(asked, model_id)
     done = completions(asked, ["seed", "pos"], make_translator, model_id, policy, ("seed", "text"), log)
     return regroup_completions(samples, done)
+
+
+def run_flatten(spark: SparkSession, samples_path: str, output_path: str) -> None:
+    """Translated sample sets as a flat table ``rid, seed, source, translation``."""
+    write_table(flatten_translations(read_samples(spark, samples_path)), output_path, "csv")
+
+
+def run_prompt_translation(
+    spark: SparkSession,
+    prompts_path: str,
+    output_folder: str,
+    make_translator: Callable,
+    model_id: str,
+    target: str = "English",
+    suffix: str = "",
+    **options,
+) -> str:
+    """Translate a table of prompts and write it with the model's column; returns its path."""
+    told = translate_prompts(read_prompts(spark, prompts_path), make_translator, model_id, target, **options)
+    path = f"{output_folder.rstrip('/')}/translations_{model_tag_text(model_id)}{suffix}"
+    write_table(told.withColumnRenamed("id", "ID"), path, "csv")
+    return path
+
+
+def run_sample_translation(
+    spark: SparkSession, samples_path: str, output_path: str, make_translator: Callable, model_id: str, **options
+) -> None:
+    """Translate sample sets and write them with their translations, one record for each term."""
+    export_samples(translate_samples(read_samples(spark, samples_path), make_translator, model_id, **options), output_path)

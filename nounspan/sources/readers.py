@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from nounspan.functions.text import strip
 from nounspan.operators.ids import with_rid
 from nounspan.sources import schemas
+from nounspan.sources.quoted import PLACE, read_large_csv
 
 # Corpora by name, each with the style of its files.
 CORPORA = {"europarl": "lines", "wikipedia": "documents"}
@@ -16,19 +17,23 @@ TRUE_WORDS = ("true", "1", "1.0", "y", "yes")
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None
+    spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None, large: bool = False
 ) -> DataFrame:
     """Delimited file with a header row, all columns as strings, blanks as null.
 
     Quoted cells may hold separators, doubled quotes and line breaks, so one
-    file is one task; write large tables as many part files or as Parquet.
-    The header is taken from the first line, so column order is free.
+    file is one task, unless it is ``large``: then it is split at true ends of
+    records, which costs a shuffle of its lines.  The header is taken from the
+    first line, so column order is free.
     """
     header = (
         spark.read.text(path).limit(1).select(F.regexp_replace("value", '"', "")).first()
     )
     names = header[0].strip("﻿\r").split(sep) if header else []
     schema = T.StructType([T.StructField(n or "_row", T.StringType()) for n in names])
+    if large:
+        df = read_large_csv(spark, path, schema, sep)
+        return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
     df = (
         spark.read.schema(schema)
         .option("sep", sep)
@@ -126,9 +131,9 @@ def read_samples(spark: SparkSession, path: str, indent: int | None = 4) -> Data
     return parsed.select(F.explode(one).alias("term", "r")).select("term", "r.*")
 
 
-def read_annotations(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+def read_annotations(spark: SparkSession, path: str, sep: str = "\t", large: bool = False) -> DataFrame:
     """Annotated table keyed by ``ID``; ``to_keep`` becomes a boolean, blank is false."""
-    df = read_csv(spark, path, sep)
+    df = read_csv(spark, path, sep, large=large)
     keep = F.lower(F.trim("to_keep")).isin(*TRUE_WORDS)
     rest = [c for c in df.columns if c not in ("ID", "to_keep")]
     return df.select(
@@ -138,9 +143,9 @@ def read_annotations(spark: SparkSession, path: str, sep: str = "\t") -> DataFra
     )
 
 
-def read_translations(spark: SparkSession, path: str) -> DataFrame:
+def read_translations(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """Translations keyed by ``seed_noun`` (``seed`` is accepted), blanks as ``""``."""
-    df = read_csv(spark, path).na.fill("")
+    df = read_csv(spark, path, large=large).na.fill("")
     if "seed" in df.columns and "seed_noun" not in df.columns:
         df = df.withColumnRenamed("seed", "seed_noun")
     return df.withColumn("rid", F.col("rid").cast("long")) if "rid" in df.columns else df
@@ -162,12 +167,17 @@ def in_file_order(df: DataFrame, name: str) -> DataFrame:
     return with_rid(placed, order, name).drop(*order)
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+def read_prompts(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """Prompts table with a dense ``id`` from 0 in file order."""
+    if large:
+        rows = read_large_csv(spark, path, read_csv(spark, path).schema, place=True)
+        return with_rid(rows, PLACE, "id").drop(*PLACE)
     return in_file_order(read_csv(spark, path), "id")
 
 
-def read_labelled(spark: SparkSession, path: str, columns: tuple = ("source", "label")) -> DataFrame:
+def read_labelled(
+    spark: SparkSession, path: str, columns: tuple = ("source", "label"), large: bool = False
+) -> DataFrame:
     """Labelled or exclusion table, cut to the needed columns."""
-    df = read_csv(spark, path, columns=list(columns))
+    df = read_csv(spark, path, columns=list(columns), large=large)
     return df.withColumn("label", F.col("label").cast("double")) if "label" in columns else df

@@ -12,9 +12,9 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from nounspan.operators.observed import Observed
 from nounspan.sources import storage
 
 
@@ -63,16 +63,3 @@ class PortionTable:
         for folder in lost:
             storage.delete(self.spark, f"{self.path}/{folder}")
         return lost
-
-
-class Observed:
-    """A table whose rows are counted by the job that uses it anyway."""
-
-    def __init__(self, df: DataFrame):
-        from pyspark.sql import Observation
-
-        self._seen = Observation()
-        self.df = df.observe(self._seen, F.count(F.lit(1)).alias("rows"))
-
-    def rows(self) -> int:
-        return self._seen.get["rows"]

@@ -26,17 +26,19 @@ def append_pending(
     path: str,
     make_records: Callable[[DataFrame], DataFrame],
     slices: int = 1,
-) -> None:
+) -> int:
     """Compute records for pending terms and append them, a slice of the terms after the other.
 
     Every slice is a job of its own that reads the corpus once, and is stored
     in full or not at all: a failure leaves the slices before it in the output,
-    nothing of its own, and the next run starts there.
+    nothing of its own, and the next run starts there.  Returns the number of
+    records added.
     """
     table = PortionTable(terms.sparkSession, path)
     done = table.read()
     todo = terms if done is None else pending_terms(terms, done)
-    run = uuid.uuid4().hex
+    run, added = uuid.uuid4().hex, 0
     for k in range(slices):
         mine = todo if slices == 1 else todo.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
-        table.write(make_records(mine), f"{len(table.portions()):06d}-{run}-{k}")
+        added += table.write(make_records(mine), f"{len(table.portions()):06d}-{run}-{k}")
+    return added
