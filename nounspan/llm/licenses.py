@@ -1,11 +1,13 @@
 """License scan through a positional index of rare tokens.
 
-Every template is a run of words.  An index holds, for the rarest words of each
-template by corpus-wide document frequency, the template and the word's place in it.
-A file looks up the indexed words that it holds; each hit gives a place where
-the template would start, and the other words are checked at their relative
-places.  A template is found if the matching words carry enough of its weight
-and its key phrase stands there in full.
+Every template is a run of words with a key phrase that must stand in it.  An
+index holds all places of the key phrases' words.  Of the licence words that a
+file holds, those of the highest inverse document frequency are looked up
+first, until every template whose key words the file has is reached by two of
+them.  A posting and a place in the file give a place where the template would
+start; the starts of both words are intersected, so that only runs in which the
+words stand at their relative positions are left.  There the key phrase is
+compared, and the other words add up to a share of the template's weight.
 """
 
 from __future__ import annotations
@@ -36,9 +38,81 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
     ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
     ("cc0", "creative commons zero cc0 1 0 universal", "cc0 1 0"),
+    # Whole notices.
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+        "permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "to deal in the software without restriction",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "for any purpose with or without fee is hereby granted",
+    ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "the following conditions are met 1 redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the "
+        "above copyright notice this list of conditions and the following disclaimer in the documentation and or "
+        "other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    (
+        "bsd-3-clause",
+        "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission",
+        "endorse or promote products derived from this software without specific prior written permission",
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+        "with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless "
+        "required by applicable law or agreed to in writing software distributed under the license is distributed on "
+        "an as is basis without warranties or conditions of any kind either express or implied",
+        "you may not use this file except in compliance with the license",
+    ),
+    (
+        "gpl-3.0-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation either version 3 of the license or at your "
+        "option any later version",
+        "either version 3 of the license or at your option any later version",
+    ),
+    (
+        "gpl-2.0-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation either version 2 of the license or at your "
+        "option any later version",
+        "either version 2 of the license or at your option any later version",
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was "
+        "not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+        "subject to the terms of the mozilla public license v 2 0",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
+        "use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
+        "free and unencumbered software released into the public domain",
+    ),
+    (
+        "cc-by-4.0",
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "creative commons attribution 4 0 international license",
+    ),
 ]
 BASE = 4
-RARE = 3
+# Words of a template that are looked up and intersected.
+LOOKED_UP = 2
 LEAST_SHARE = 0.8
 
 # Words: letters, digits and every byte of a character beyond ASCII; A-Z in lower case.
@@ -82,46 +156,71 @@ def word_weights(df: DataFrame, text_col: str = "text", templates=TEMPLATES) ->
 
 
 class Index:
-    """Postings of rare words: word -> [(template, place)]."""
+    """Postings of the key phrases' words: word -> template -> places in the template."""
 
     def __init__(self, weights: dict[bytes, float], templates=TEMPLATES):
-        self.templates = []
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.templates, self.keys = [], []
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
         for number, (label, template, phrase) in enumerate(templates):
             words, key = [w.encode() for w in template.split()], [w.encode() for w in phrase.split()]
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             shares = [weights[w] for w in words]
-            whole = template == phrase
-            self.templates.append((label, words, shares, sum(shares), at, key, whole, number < BASE))
-            # Any occurrence holds its key phrase, so its rarest words are enough.
-            rarest = sorted(range(at, at + len(key)), key=lambda i: (-shares[i], i))[: 1 if whole else RARE]
-            for place in rarest:
-                self.postings.setdefault(words[place], []).append((number, place))
-        self.rare = frozenset(self.postings)
+            self.templates.append((label, words, shares, sum(shares), at, key, template == phrase, number < BASE))
+            self.keys.append(frozenset(key))
+            for place in range(at, at + len(key)):
+                self.postings.setdefault(words[place], {}).setdefault(number, []).append(place)
+        # Rarest first; words of equal frequency in their own order.
+        self.rank = {w: i for i, w in enumerate(sorted(self.postings, key=lambda w: (-weights[w], w)))}
+        self.known = frozenset(self.rank)
+
+    def looked_up(self, held: frozenset[bytes] | set[bytes]) -> dict[int, list[bytes]]:
+        """The words by which each template that may stand in a file is looked for.
+
+        The file's licence words are taken in order of rarity until every such
+        template has been met LOOKED_UP times, or by all words of its key.
+        """
+        open_ = {
+            number: min(LOOKED_UP, len(key)) for number, key in enumerate(self.keys) if key <= held
+        }
+        met: dict[int, list[bytes]] = {number: [] for number in open_}
+        for word in sorted(held, key=self.rank.__getitem__):
+            if not open_:
+                break
+            for number in self.postings[word].keys() & open_.keys():
+                met[number].append(word)
+                if len(met[number]) == open_[number]:
+                    del open_[number]
+        return met
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """Found templates with their start and the share of their weight that matches."""
-        present = self.rare.intersection(words)
-        if not present:
+        met = self.looked_up(self.known.intersection(words))
+        if not met:
             return []
-        starts = set()
+        wanted = {word for chosen in met.values() for word in chosen}
+        places: dict[bytes, list[int]] = {}
         for place, word in enumerate(words):
-            if word in present:
-                starts.update((number, place - offset) for number, offset in self.postings[word])
+            if word in wanted:
+                places.setdefault(word, []).append(place)
         found = []
-        for number, start in sorted(starts):
+        for number, chosen in sorted(met.items()):
+            starts = None
+            for word in chosen:
+                mine = {p - offset for offset in self.postings[word][number] for p in places[word]}
+                starts = mine if starts is None else starts & mine
             _, template, shares, total, at, key, whole, _ = self.templates[number]
-            lead = start + at
-            if lead < 0 or words[lead : lead + len(key)] != key:
-                continue
-            share = 1.0
-            if not whole:
-                share = sum(
-                    s for i, (w, s) in enumerate(zip(template, shares))
-                    if 0 <= start + i < len(words) and words[start + i] == w
-                ) / total
-            if share >= LEAST_SHARE or whole:
-                found.append((number, start, min(1.0, share)))
+            for start in sorted(starts):
+                lead = start + at
+                if lead < 0 or words[lead : lead + len(key)] != key:
+                    continue
+                share = 1.0
+                if not whole:
+                    share = sum(
+                        s for i, (w, s) in enumerate(zip(template, shares))
+                        if 0 <= start + i < len(words) and words[start + i] == w
+                    ) / total
+                if share >= LEAST_SHARE or whole:
+                    found.append((number, start, min(1.0, share)))
         return found
 
 
