@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -53,6 +53,22 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Checkpoint of what ``make`` returns; those that it made on the way are deleted.
+
+    Spark deletes the shuffle files of a step when the driver's garbage
+    collector finds that nothing refers to them.  It is asked to look now, for a
+    long chain of steps would fill the disks before it does by itself.
+    """
+    with intermediates(spark):
+        out = checkpointed(make())
+        kept = _open[-1].pop()
+    if _open:
+        _open[-1].append(kept)
+    spark._jvm.System.gc()
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a slim intermediate result, reliably.
 

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.llm.common import checkpointed, id_key, intermediates, release_memory
-from nounspan.llm.components import components
+from nounspan.llm.common import checkpointed, id_key, intermediates, release_memory, settled
+from nounspan.llm.components import Forest, components
 from nounspan.session import write_out
 
 WORDS = 5
@@ -316,26 +316,6 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u8")
 
 
-class Forest:
-    """Components of a few names, as far as the links seen so far join them."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def top(self, name):
-        up = self.up
-        while name in up:
-            if up[name] in up:
-                up[name] = up[up[name]]
-            name = up[name]
-        return name
-
-    def join(self, a, b) -> None:
-        a, b = self.top(a), self.top(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def _open_own(group: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links in one piece of a group, its leader included.
 
@@ -589,23 +569,25 @@ def _cross_links(sets: DataFrame, groups: DataFrame, leaders: DataFrame) -> Data
 
 def _decided(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, mark, n, component_id`` of every row; ``mark`` tells the texts of one id apart."""
+    spark = df.sparkSession
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     marked = source.withColumn("mark", F.xxhash64("text"))
     docs = checkpointed(marked.mapInArrow(_documents, f"id {kind}, mark long, node binary, n long"))
-    nodes = checkpointed(
-        docs.filter("n > 0")
+    nodes = settled(
+        spark,
+        lambda: docs.filter("n > 0")
         .groupBy("node")
         .agg(F.min(id_key("id")).alias("key"), F.first("n").alias("n"))
-        .withColumn("label", _label("node"))
+        .withColumn("label", _label("node")),
     )
-    able = checkpointed(_candidates(source, nodes))
-    sets = _fetch(source, able)
-    leaders = checkpointed(_leaders(sets))
-    own = checkpointed(_own_links(sets, leaders))
-    groups = checkpointed(_grouped(sets, own))
-    links = own.unionByName(_cross_links(sets, groups, leaders))
-    merged = _grouped(sets, checkpointed(links))
+    able = settled(spark, lambda: _candidates(source, nodes))
+    sets = settled(spark, lambda: _fetch(source, able))
+    leaders = settled(spark, lambda: _leaders(sets))
+    own = settled(spark, lambda: _own_links(sets, leaders))
+    groups = settled(spark, lambda: _grouped(sets, own))
+    links = settled(spark, lambda: own.unionByName(_cross_links(sets, groups, leaders)))
+    merged = settled(spark, lambda: _grouped(sets, links))
     # The smallest id of each component, by way of its nodes.
     known = nodes.join(merged, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
@@ -649,7 +631,7 @@ def _fetch(source: DataFrame, able: DataFrame) -> DataFrame:
         _fetched, "node binary, label long, tokens binary, minwise array<long>"
     )
     # Only where ids repeat can a node come twice.
-    return checkpointed(sets if texts.select("key").count() == n else sets.dropDuplicates(["node"]))
+    return sets if texts.select("key").count() == n else sets.dropDuplicates(["node"])
 
 
 def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
