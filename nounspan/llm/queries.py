@@ -33,8 +33,7 @@ def default_vocabulary() -> str:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL beside this query grades by word pieces.
-    return fingerprints.compared(table(spark, sf_dir, "documents"), even=False)
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,16 +163,6 @@ QUERIES = {
 # ---------------------------------------------------------------- SQL
 
 
-def _sql_pieces(text: str) -> str:
-    step = f"CASE WHEN len(w) <= {fingerprints.SHORT_LINE} THEN {fingerprints.SHORT_PIECE_WORDS} ELSE {fingerprints.PIECE_WORDS} END"
-    words = f"list_transform(string_split({text}, chr(10)), lambda l: string_split(l, ' '))"
-    runs = (
-        f"list_transform(range(1, len(w) + 1, {step}), "
-        f"lambda i: array_to_string(list_slice(w, i, i + ({step}) - 1), ' '))"
-    )
-    return f"list_distinct(flatten(list_transform({words}, lambda w: {runs})))"
-
-
 def _sql_root(leaves: str) -> str:
     marked = f"array_to_string(list_transform({leaves}, lambda h: regexp_replace(h, '([08])$', '\\1|')), '')"
     parts = f"list_filter(string_split({marked}, '|'), lambda p: p <> '')"
@@ -189,12 +178,9 @@ def _sql_parts(leaves: str) -> str:
     return f"len(list_filter(string_split({marked}, '|'), lambda p: p <> ''))"
 
 
-def _sql_near(a: str, b: str, ra: str, rb: str) -> str:
-    return (
-        f"CASE WHEN {ra} = {rb} THEN 1.0::DOUBLE ELSE "
-        f"2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
-    )
-
+_SQL_NEXT = "unit" + "".join(
+    f" || coalesce(lead(unit, {i}) OVER w, '')" for i in range(1, fingerprints.PIECE_POINTS)
+)
 
 OP1 = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS r, "
@@ -202,15 +188,35 @@ OP1 = (
     "e AS (SELECT d.doc_id, d.t, n.t AS nt, length(d.t)::BIGINT AS n_chars, "
     "left(d.t, (length(d.t) - length(d.t) // 4)::BIGINT) || left(n.t, (length(d.t) // 4)::BIGINT) AS et "
     "FROM d JOIN d AS n ON n.r = d.r % d.c + 1), "
-    f"l AS (SELECT *, {_sql_leaves('t')} AS lv, {_sql_leaves('et')} AS el, {_sql_leaves('nt')} AS nl, "
-    f"{_sql_pieces('t')} AS p, {_sql_pieces('et')} AS ep, {_sql_pieces('nt')} AS np FROM e), "
+    "texts AS (SELECT doc_id, 'own' AS which, t FROM e UNION ALL SELECT doc_id, 'new', et FROM e "
+    "UNION ALL SELECT doc_id, 'next', nt FROM e), "
+    f"units AS (SELECT doc_id, which, false AS short, regexp_extract_all(t, '{fingerprints.PLACE}') AS u FROM texts "
+    "UNION ALL SELECT doc_id, which, true, regexp_extract_all(t, '(?s).') FROM texts "
+    f"WHERE length(t) < {fingerprints.SHORT_TEXT}), "
+    "unit AS (SELECT doc_id, which, short, unnest(u) AS unit, unnest(range(len(u))) AS i FROM units), "
+    f"pieces AS (SELECT doc_id, which, short, left({_SQL_NEXT}, {fingerprints.PIECE_POINTS}) AS piece FROM unit "
+    "WINDOW w AS (PARTITION BY doc_id, which, short ORDER BY i)), "
+    f"pairs AS (SELECT a.doc_id, b.which, greatest(length(a.t), length(b.t)) < {fingerprints.SHORT_TEXT} AS short, "
+    f"CASE WHEN greatest(length(a.t), length(b.t)) < {fingerprints.SHORT_TEXT} "
+    f"THEN 1 + least(length(a.t), length(b.t)) // {fingerprints.PIECE_POINTS} ELSE {fingerprints.PIECE_POINTS} END AS k "
+    "FROM texts AS a JOIN texts AS b ON a.doc_id = b.doc_id AND a.which = 'own' AND b.which <> 'own'), "
+    "cut AS MATERIALIZED (SELECT q.doc_id, q.which, p.which = 'own' AS mine, left(piece, k::BIGINT) AS piece, count(*) AS c "
+    "FROM pairs AS q JOIN pieces AS p ON p.doc_id = q.doc_id AND p.short = q.short AND p.which IN ('own', q.which) "
+    "WHERE length(piece) >= k GROUP BY ALL), "
+    "together AS (SELECT a.doc_id, a.which, sum(least(a.c, b.c)) AS n FROM cut AS a JOIN cut AS b "
+    "ON a.doc_id = b.doc_id AND a.which = b.which AND a.piece = b.piece AND a.mine AND NOT b.mine GROUP BY ALL), "
+    "near AS (SELECT c.doc_id, c.which, 2.0::DOUBLE * coalesce(any_value(n), 0) / sum(c) AS likeness "
+    "FROM cut AS c LEFT JOIN together AS b ON b.doc_id = c.doc_id AND b.which = c.which GROUP BY ALL), "
+    f"l AS (SELECT *, {_sql_leaves('t')} AS lv, {_sql_leaves('et')} AS el, {_sql_leaves('nt')} AS nl FROM e), "
     f"f AS (SELECT *, {_sql_root('lv')} AS ro, {_sql_root('el')} AS re, {_sql_root('nl')} AS rn FROM l), "
     "g AS (SELECT *, list_position(list_transform(range(1, greatest(len(lv), len(el)) + 1), "
     "lambda i: lv[i] IS NOT DISTINCT FROM el[i]), false) AS fp FROM f) "
-    "SELECT doc_id, n_chars, sha256(et) AS edited_sha256, ro AS fingerprint, re AS edited_fingerprint, "
-    f"{_sql_near('p', 'ep', 'ro', 're')} AS near_edited, {_sql_near('p', 'np', 'ro', 'rn')} AS near_next, "
+    "SELECT g.doc_id, n_chars, sha256(et) AS edited_sha256, ro AS fingerprint, re AS edited_fingerprint, "
+    "CASE WHEN ro = re THEN 1.0::DOUBLE ELSE x.likeness END AS near_edited, "
+    "CASE WHEN ro = rn THEN 1.0::DOUBLE ELSE y.likeness END AS near_next, "
     f"{_sql_parts('lv')}::BIGINT AS n_sections, len(lv)::BIGINT AS n_paragraphs, "
-    "CASE WHEN fp > 0 THEN (fp - 1)::BIGINT END AS first_edited_paragraph FROM g"
+    "CASE WHEN fp > 0 THEN (fp - 1)::BIGINT END AS first_edited_paragraph FROM g "
+    "LEFT JOIN near AS x ON x.doc_id = g.doc_id AND x.which = 'new' LEFT JOIN near AS y ON y.doc_id = g.doc_id AND y.which = 'next'"
 )
 
 OP2 = (

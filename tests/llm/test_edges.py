@@ -80,7 +80,10 @@ LINE = " ".join(f"word{i}" for i in range(16))
         (LINE, LINE + " more", 0.9, 0.99),
         (LINE.replace(" ", "\t"), LINE.replace(" ", "\t").replace("word8", "other"), 0.6, 0.95),
         ("".join(map(chr, range(0x4E00, 0x4E64))), "".join(map(chr, [*range(0x4E00, 0x4E4B), *range(0x5000, 0x5019)])), 0.7, 0.8),
-        ("abc", "abd", 0.0, 0.0),
+        ("abc", "abd", 0.6, 0.7),
+        ("日本語文", "日本語字", 0.75, 0.75),
+        ("ab cd ef gh ij", "ab cd ef gh kl", 0.6, 0.9),
+        ("one two " * 3000, "one two " * 2250 + "three four " * 500, 0.7, 0.85),
         ("", None, 1.0, 1.0),
     ],
 )
