@@ -12,6 +12,7 @@ only the last sequence of a task can be short.
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from nounspan.llm.common import release_memory
+
 END_ID = 1
 CACHE_WORDS = 300_000
 PIECES = (
@@ -211,7 +214,10 @@ def pack_batches(
     least_cut: int,
     pool_items: int,
 ) -> Iterator[pa.RecordBatch]:
-    """Pieces of the examples of one task.  Memory: one batch and one pool."""
+    """Pieces of the examples of one task.  Memory: one batch and one pool.
+
+    ``example`` and what it holds are let go at the end.
+    """
     names = ["start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
     packer = Packer(*limits, cut, least_cut, TaskContext.get().partitionId() << 40)
 
@@ -223,14 +229,21 @@ def pack_batches(
         )
 
     for batch in batches:
-        for row in batch.to_pylist():
+        # One row at a time: the batch is held once, as it came.
+        for values in zip(*batch.columns):
+            row = dict(zip(batch.schema.names, (v.as_py() for v in values)))
             ids, loss = example(row)
             packer.add(Item(row["key"], ids, loss))
             if len(packer.pool) >= pool_items:
                 packer.pack(keep=limits[0])
         yield written()
+        release_memory()
     packer.pack(keep=0)
     yield written()
+    # Workers live on: what this task has learned of words goes now.
+    del example
+    gc.collect()
+    release_memory()
 
 
 def _pieces(rows: DataFrame, id_col: str, example_of, limits, cut, least_cut, pool_items) -> DataFrame:
