@@ -34,7 +34,7 @@ from nounspan.operators.inference import (
     with_pos,
 )
 from nounspan.plans.translation import translate_prompts, translate_samples
-from nounspan.session import scratch_path
+from nounspan.session import scratch_path, write_out
 
 
 def _translated(style: str) -> str:
@@ -189,24 +189,29 @@ CALLERS = 4
 
 @query(
     "u6_call_policy_rate",
-    f"""WITH {CTE_PROMPTS}, k AS (SELECT * FROM pr WHERE english IS NOT NULL)
-    SELECT count(*) AS calls, 0::BIGINT AS over_quota, 0::BIGINT AS gaps FROM k""",
+    f"""WITH {CTE_PROMPTS}, k AS (SELECT count(*) AS calls FROM pr WHERE english IS NOT NULL)
+    SELECT id, {sql_strip('english')} AS translation, calls, 0::BIGINT AS over_quota, 0::BIGINT AS gaps FROM pr, k""",
 )
 def u6(spark, sf):
     # No task makes more than its share between two pauses, and it pauses only when that is spent.
     policy = CallPolicy(calls=60, parallelism=CALLERS, sleep=_no_wait)
-    asked = prompts(spark, sf).filter("english IS NOT NULL")
-    done = translate(asked, "english", _echo, "echo", 5, policy, report=True)
-    windows = done.groupBy(F.spark_partition_id().alias("task"), "pauses").agg(F.count("*").alias("calls"))
+    done = translate(prompts(spark, sf), "english", _echo, "echo", 5, policy, report=True)
+    # Stored once, with the task that made the call: the rows and their figures are of the same calls.
+    done = done.select("id", "translation", "english", "pauses", F.spark_partition_id().alias("task"))
+    done = write_out(done.withColumn("sent", F.col("english").isNotNull()).drop("english"), "translated")
+    windows = done.filter("sent").groupBy("task", "pauses").agg(F.count("*").alias("calls"))
     tasks = windows.groupBy("task").agg(
         F.sum("calls").alias("calls"),
         F.count_if(F.col("calls") > 60 // CALLERS).alias("over"),
         # Windows that are not full, the last one of the task apart.
         (F.ceil(F.sum("calls") / (60 // CALLERS)) - F.count("*")).alias("gap"),
     )
-    return tasks.agg(
-        F.sum("calls").alias("calls"), F.sum("over").alias("over_quota"), F.sum(F.abs("gap")).alias("gaps")
+    figures = tasks.agg(
+        F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
+        F.coalesce(F.sum("over"), F.lit(0)).alias("over_quota"),
+        F.coalesce(F.sum(F.abs("gap")), F.lit(0)).alias("gaps"),
     )
+    return done.select("id", "translation").crossJoin(F.broadcast(figures))
 
 
 def _marked():

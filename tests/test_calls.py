@@ -6,6 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from nounspan.catalog import QUERIES
 from nounspan.operators.calls import ask_once, logged_answers
 from nounspan.operators.inference import CallPolicy
 from nounspan.plans.translation import translate_prompts, translate_samples
@@ -108,3 +109,12 @@ def test_plans_take_a_log(spark, made, tmp_path):
     )
     done = translate_samples(samples, counting(made), "org/m", log=log)
     assert done.select(F.size("translation")).first()[0] == 3 and len(texts(made)) == 3
+
+
+def test_the_rated_query_returns_every_prompt_with_its_translation(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", None if (c, t) == (3, 0) else f" text {c} {t} ") for c in range(40) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["u6_call_policy_rate"](spark, str(tmp_path)).collect()
+    wanted = {c * 10000 + t: text and text.strip() for c, t, role, text in rows if role == "user"}
+    assert len(got) == len(wanted) and {r["id"]: r["translation"] for r in got} == wanted
+    assert {(r["calls"], r["over_quota"], r["gaps"]) for r in got} == {(79, 0, 0)}
