@@ -59,3 +59,24 @@ def test_a_missing_quote_and_an_empty_file(spark, tmp_path, small_splits):
     assert [r["ID"] for r in got] == ["1", "2"]
     (tmp_path / "b.csv").write_text("ID,text,more\n")
     assert read_csv(spark, str(tmp_path / "b.csv"), large=True).collect() == []
+
+
+def test_lines_are_cut_where_they_are_read(spark, tmp_path, small_splits, plan):
+    for k in range(2):
+        made(tmp_path / f"{k}.csv", 20 + k)
+    found = records(spark, str(tmp_path))
+    # Between the scan and the cut there is no exchange and no sort of the lines.
+    for part in plan(found).split("MapInArrow")[1:]:
+        lines = part.split("Scan text")[0].split("BroadcastExchange")[0]
+        assert "hashpartitioning" not in lines and "Sort " not in lines
+    assert plan(found).count("MapInArrow") == 2
+
+
+def test_a_record_over_many_blocks(spark, tmp_path, small_splits):
+    long = "\n".join(f"line {i} of a cell" for i in range(600))
+    rows = [["ID", "text", "more"], ["1", "x", "y"], ["2", long, "y"], ["3", "x", long + "\n"], ["4", "a", "b"]]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    assert rows_of(read_csv(spark, str(tmp_path / "a.csv"), large=True)) == [tuple(r) for r in rows[1:]]
+    got = records(spark, str(tmp_path / "a.csv")).orderBy("block", "line").collect()
+    assert len(got) == 5 and [r["top"] for r in got] == [True] + [False] * 4
