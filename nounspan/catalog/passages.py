@@ -161,8 +161,8 @@ def _misread(text):
 @query("p11_repair_damaged", "SELECT doc_id, text AS read_once, text AS read_twice FROM documents")
 def p11_damaged(spark, sf):
     # What was misread once and twice comes back as it was.
-    docs = documents(spark, sf)
-    once = _misread(F.col("text"))
+    docs = documents(spark, sf).select("doc_id", _misread(F.col("text")).alias("once"))
+    once = F.col("once")
     return docs.select("doc_id", repair_text(once).alias("read_once"), repair_text(_misread(once)).alias("read_twice"))
 
 

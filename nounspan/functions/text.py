@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -144,17 +145,36 @@ LIGATURES = [
 CURLY = "‘’‚‛“”„‟"
 STRAIGHT = "''''\"\"\"\""
 LINE_BREAKS = r"\r\n|[\r\x{85}\x{2028}\x{2029}]"
+# All that ligatures, curly quotes, odd line breaks and control characters are made of.
+ODD = r"[\x00-\x08\x0b-\x1f\x7f\x{85}\x{2018}-\x{201f}\x{2028}\x{2029}\x{fb00}-\x{fb04}\x{feff}]"
 CONTROLS = r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{feff}]"
 # The first characters of misread forms.
 MISREAD_LEAD = r"[\x{c2}\x{c3}\x{c5}\x{c6}\x{cb}]|\x{e2}[\x{20ac}\x{201a}\x{201e}]"
 # A misread form as a whole: its lead, and what a continuation byte looks like.
 MISREAD = f"(?:{MISREAD_LEAD})[" + "".join(f"\\x{{{ord(_seen(b)):x}}}" for b in range(0x80, 0xC0)) + "]"
+# Where misread forms can stand: they are of two or three characters, none of them ASCII.
+SUSPECT = r"[^\x00-\x7f]{2,}"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def _read_back(text: Column) -> Column:
+    """All misread forms replaced in their order; those of a lead that is not there are passed over."""
+    for lead, forms in groupby(MOJIBAKE, key=lambda pair: pair[0][0]):
+        pairs = list(forms)
+        text = _once(
+            text, lambda t: F.when(F.contains(t, F.lit(lead)), _replace_all(t, pairs)).otherwise(t)
+        )
+    return text
+
+
 def misread_count(text: Column) -> Column:
     """What a reading costs: sequences that look like misread UTF-8."""
     return F.regexp_count(text, F.lit(MISREAD))
@@ -166,19 +186,30 @@ def reread(text: Column) -> Column:
     A text that was misread twice needs two rounds.  Every round but the last
     removes one at least, so there are no more rounds than misread characters.
     """
-    start = F.struct(text.alias("text"), misread_count(text).alias("cost"), F.lit(True).alias("falls"))
 
     def again(state: Column, _: Column) -> Column:
-        read = _replace_all(state["text"], MOJIBAKE)
-        better = state["falls"] & (misread_count(read) < state["cost"])
-        return F.struct(
-            F.when(better, read).otherwise(state["text"]).alias("text"),
-            F.when(better, misread_count(read)).otherwise(state["cost"]).alias("cost"),
-            better.alias("falls"),
+        kept = F.struct(state["text"].alias("text"), state["cost"].alias("cost"), F.lit(False).alias("falls"))
+        tried = _once(
+            _read_back(state["text"]),
+            lambda read: _once(
+                misread_count(read),
+                lambda cost: F.when(
+                    cost < state["cost"], F.struct(read.alias("text"), cost.alias("cost"), (cost > 0).alias("falls"))
+                ).otherwise(kept),
+            ),
         )
+        return F.when(state["falls"], tried).otherwise(state)
+
+    def read(marks: Column, cost: Column) -> Column:
+        start = F.struct(marks.alias("text"), cost.alias("cost"), F.lit(True).alias("falls"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(cost, F.lit(1))), start, again)["text"]
 
-    rounds = F.sequence(F.lit(1), F.greatest(misread_count(text), F.lit(1)))
-    return F.aggregate(rounds, start, again)["text"]
+    # Neither forms nor what stands for them hold an ASCII character, so only the runs of others
+    # are read, all at once, with a line break between them; the rest is put back around them.
+    marks = F.array_join(F.regexp_extract_all(text, F.lit(SUSPECT), F.lit(0)), "\n")
+    fixed = _once(marks, lambda m: _once(misread_count(m), lambda cost: read(m, cost)))
+    runs = F.concat(F.split(fixed, "\n"), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, SUSPECT), runs, lambda plain, run: F.concat(plain, run)), "")
 
 
 def repair_text(text: Column) -> Column:
@@ -190,10 +221,17 @@ def repair_text(text: Column) -> Column:
     quotes, line breaks, control characters.  The chains of replacements run
     only on rows that hold a lead character.
     """
-    text = F.when(text.rlike(MISREAD), reread(text)).otherwise(text)
-    text = F.when(
-        F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("<")), _replace_all(text, ENTITIES)
-    ).otherwise(text)
+    text = _once(text, lambda t: F.when(t.rlike(MISREAD), reread(t)).otherwise(t))
+    text = _once(
+        text,
+        lambda t: F.when(
+            F.contains(t, F.lit("&")) & ~F.contains(t, F.lit("<")), _replace_all(t, ENTITIES)
+        ).otherwise(t),
+    )
+    return _once(text, lambda t: F.when(t.rlike(ODD), _plain(t)).otherwise(t))
+
+
+def _plain(text: Column) -> Column:
     text = _replace_all(text, LIGATURES)
     text = F.translate(text, CURLY, STRAIGHT)
     text = F.regexp_replace(text, LINE_BREAKS, "\n")

@@ -133,3 +133,11 @@ def test_chat(spark):
     assert wants_chat("org/Mixtral-8x7B") and wants_chat("Llama-2") and not wants_chat("opus")
     (chat,) = values(spark, ["x"], X.as_chat)
     assert [m.asDict() for m in chat] == [{"role": "user", "content": "x"}]
+
+
+def test_a_misread_text_is_read_once_for_each_round(spark, plan):
+    mixed = "Ã¤ ÃƒÂ¤ â‚¬\nÃ \u4e2d\u6587 ÃŸ Ãƒ"
+    assert values(spark, [mixed, "\u4e2d\u6587", None], X.reread) == ["ä ä €\nÃ \u4e2d\u6587 ß Ã", "\u4e2d\u6587", None]
+    df = spark.createDataFrame([(mixed,)], "t string")
+    # The chain does not stand in the plan for each use of what it reads.
+    assert plan(df.select(X.reread(F.col("t")))).count("replace(") <= 2 * len(X.MOJIBAKE)
