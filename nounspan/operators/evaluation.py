@@ -41,7 +41,7 @@ def match_lexicon(
     move.  In a larger one the distinct seeds are looked up by its suffixes,
     and only the rows that they hit go back to the seeds.
     """
-    wanted = F.lower("seed_noun") if exact else F.col("seed_noun")
+    wanted, many = F.lower("seed_noun") if exact else F.col("seed_noun"), False
     if exact:
         noun = F.regexp_replace(F.lower(strip_article(F.col("english"))), r"[; ]+\z", "")
         index = lexicon.groupBy(noun.alias("piece")).agg(F.min("row_no").alias("row_no"))
@@ -52,8 +52,11 @@ def match_lexicon(
         at = small_side(substring_index(lexicon))
     else:
         phrases = write_out(distinct_phrases(lexicon), "phrases")
+        # No more phrases than rows: many phrases prove that the forms are not small.
+        many = phrases.count() > MAX_SMALL_ROWS
         pieces = seeds.select(wanted.alias("piece")).filter("piece IS NOT NULL").distinct()
-        at = small_side(first_rows(write_out(pieces, "pieces"), phrases))
+        # Stored: a table that proves too large for a broadcast is not computed again for the shuffle.
+        at = small_side(write_out(first_rows(write_out(pieces, "pieces"), phrases), "first-rows"))
     at = at.withColumnRenamed("row_no", "lexicon_row")
     forms = form_lists(lexicon, number).select(
         F.col("row_no").alias("lexicon_row"),
@@ -62,7 +65,7 @@ def match_lexicon(
     return (
         seeds.join(at, wanted == F.col("piece"), "left")
         .drop("piece")
-        .join(small_side(forms), "lexicon_row", "left")
+        .join(forms if many else small_side(forms), "lexicon_row", "left")
         .select(*[F.col(f"`{c}`") for c in seeds.columns], "lexicon_row", *form_columns(number))
     )
 

@@ -13,6 +13,8 @@ from nounspan.session import write_out
 
 # Characters by which a suffix is found; longer seeds are checked in the phrase.
 SUFFIX_KEY = 6
+# The same where pieces are looked up: of long keys few suffixes share one, however many there are.
+LOOKUP_KEY = 8
 
 
 def seed_terms(lexicon: DataFrame, remove_article: bool = True) -> DataFrame:
@@ -93,19 +95,22 @@ def suffix_table(phrases: DataFrame, key_length: int = SUFFIX_KEY) -> DataFrame:
     )
 
 
-def first_rows(pieces: DataFrame, phrases: DataFrame, key_length: int = SUFFIX_KEY) -> DataFrame:
+def first_rows(pieces: DataFrame, phrases: DataFrame, key_length: int = LOOKUP_KEY) -> DataFrame:
     """``piece, row_no``: first row whose phrase contains the piece; others drop out.
 
     ``pieces`` are distinct.  A piece shorter than the key is a prefix of keys.
-    A longer one is looked up by the rarest of its own keys, wherever in the
-    piece that stands, and compared with the phrase there; a piece with a key
-    that no suffix has is in no phrase and goes before that.
+    A longer one is cut into keys, one after the other, looked up by the rarest
+    of them, wherever in the piece that stands, and compared with the phrase
+    there; a piece with a key that no suffix has is in no phrase and goes before.
     """
     suffixes = write_out(suffix_table(phrases, key_length), "suffixes")
+    known = write_out(
+        suffixes.groupBy("key").agg(F.count("*").alias("count"), F.min("row_no").alias("row_no")), "suffix-keys"
+    )
     size = F.length("piece")
     lengths = F.sequence(F.lit(1), F.least(F.length("key"), F.lit(key_length - 1)))
     prefixes = (
-        suffixes.select("row_no", "key", F.explode(lengths).alias("_n"))
+        known.select("row_no", "key", F.explode(lengths).alias("_n"))
         .groupBy(F.substring("key", F.lit(1), F.col("_n")).alias("piece"))
         .agg(F.min("row_no").alias("row_no"))
     )
@@ -115,8 +120,9 @@ def first_rows(pieces: DataFrame, phrases: DataFrame, key_length: int = SUFFIX_K
         prefixes.unionByName(everywhere.filter("row_no IS NOT NULL")), "piece"
     )
 
-    counts = write_out(suffixes.filter(F.length("key") == key_length).groupBy("key").count(), "suffix-keys")
-    starts = F.sequence(F.lit(1), size - key_length + 1)
+    counts = known.filter(F.length("key") == key_length).select("key", "count")
+    last = size - key_length + 1
+    starts = F.array_union(F.sequence(F.lit(1), last, F.lit(key_length)), F.array(last))
     keys = (
         pieces.filter(size >= key_length)
         .select("piece", F.explode(starts).alias("_from"))
@@ -125,9 +131,11 @@ def first_rows(pieces: DataFrame, phrases: DataFrame, key_length: int = SUFFIX_K
     rarest = (
         keys.join(counts, "key", "left")
         .groupBy("piece")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "_from", "key")).alias("r"))
-        .filter("r.n > 0")
-        .select("piece", "r._from", "r.key")
+        # Count and place in one number: places are below 2^31.
+        .agg(F.min(F.shiftleft(F.coalesce("count", F.lit(0)).cast("long"), 31) + F.col("_from")).alias("_r"))
+        .select("piece", F.shiftright("_r", 31).alias("n"), F.col("_r").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("_from"))
+        .filter("n > 0")
+        .select("piece", "_from", F.substring("piece", F.col("_from"), F.lit(key_length)).alias("key"))
     )
     begins = F.col("at") - F.col("_from") + 1
     found = (

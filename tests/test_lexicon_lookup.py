@@ -58,3 +58,18 @@ def test_both_sides_of_the_switch(spark, phrases, monkeypatch):
     monkeypatch.setattr(evaluation.few_pieces, "__defaults__", (0,))
     far = sorted(map(str, evaluation.match_lexicon(seeds, lex).collect()))
     assert near == far and len(near) == 8
+
+
+def test_the_lookup_of_a_large_lexicon_runs_once(spark, phrases, monkeypatch):
+    columns = "row_no long, english string, german_mp string, german_fp string, gender_neutral string, gender_inclusive string"
+    lex = spark.createDataFrame([(n, p, "m", "f", "", "i") for n, p in phrases], columns)
+    seeds = spark.createDataFrame([("a",), ("long phrase",), ("zz",)], "seed_noun string")
+    monkeypatch.setattr(evaluation.few_pieces, "__defaults__", (0,))
+    stored, asked = [], []
+    kept, probe = evaluation.write_out, evaluation.small_side
+    monkeypatch.setattr(evaluation, "write_out", lambda df, label: (stored.append(label), kept(df, label))[1])
+    monkeypatch.setattr(evaluation, "small_side", lambda df: (asked.append(df.inputFiles()), probe(df))[1])
+    monkeypatch.setattr(evaluation, "MAX_SMALL_ROWS", 5)
+    evaluation.match_lexicon(seeds, lex).collect()
+    # What is probed for a broadcast is a stored table, and the forms of many phrases are not probed.
+    assert "first-rows" in stored and len(asked) == 1 and all("first-rows" in f for f in asked[0])
