@@ -169,12 +169,11 @@ def u5_log(spark, sf):
     asked = sentences(spark, sf)
     log = scratch_path(spark, "call-log")
     ask_once(asked, ["sentence"], _marked_once, "echo", log, batch_size=64)
-    done = ask_once(asked, ["sentence"], _marked_once, "echo", log, batch_size=64)
-    served = logged_answers(spark, log).join(
-        done.groupBy("completion").agg(F.count("*").alias("rows_served")), "completion"
-    )
-    calls = served.groupBy("completion", "rows_served").agg(F.sum("attempts").alias("calls"))
-    return done.join(calls, "completion").select(
+    done = ask_once(asked, ["sentence"], _marked_once, "echo", log, batch_size=64, digest="digest")
+    # Rows, answers and counts all stand by the digest of the call, so texts are shuffled once.
+    served = done.groupBy("digest").agg(F.count("*").alias("rows_served"))
+    calls = logged_answers(spark, log, short=True).groupBy("digest").agg(F.sum("attempts").alias("calls"))
+    return done.drop("attempts").join(served, "digest").join(calls, "digest").select(
         "doc_id", "sent_pos", clean_completion(F.col("completion")).alias("translation"), "calls", "rows_served"
     )
 

@@ -38,10 +38,17 @@ def call_digest(model_id: str, columns: list[str]) -> Column:
     return F.when(whole, sent)
 
 
-def logged_answers(spark: SparkSession, log: str) -> DataFrame:
-    """``digest, completion, attempts`` of all committed batches, one row for each digest."""
+def short_digest(digest: Column) -> Column:
+    """The first 128 bits of a digest as bytes: what rows and answers meet by, a quarter of its size."""
+    return F.substring(F.unhex(digest), 1, 16)
+
+
+def logged_answers(spark: SparkSession, log: str, short: bool = False) -> DataFrame:
+    """``digest, completion, attempts`` of all committed batches, one row for each digest, which may be ``short``."""
     storage.make_folder(spark, log)
     rows = spark.read.schema(LOG).parquet(log)
+    if short:
+        rows = rows.withColumn("digest", short_digest(F.col("digest")))
     # Two tasks may have answered one input at the same time; the same answer holds for all rows.
     return rows.groupBy("digest").agg(F.min(F.struct("attempts", "completion")).alias("a")).select(
         "digest", "a.completion", "a.attempts"
@@ -118,28 +125,39 @@ def ask_once(
     batch_size: int = 16,
     policy: CallPolicy | None = None,
     commit_rows: int = COMMIT_ROWS,
+    digest: str | None = None,
 ) -> DataFrame:
     """Add ``completion, error, attempts``: every distinct input is sent once, ever.
 
     ``columns`` are sent to the model, one as a list of values, several as a
     list of dicts; a row with a null among them is not sent and gets nulls.
     Failed calls carry their error and are tried again by the next run.  The
-    calls are made when this function is called.
+    calls are made when this function is called; the rows then read the log as
+    it is.  ``digest`` names a column for the short digest of a row's call, by
+    which the rows stand together.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("digest", call_digest(model_id, columns))
-    asked = (
-        keyed.filter("digest IS NOT NULL")
-        .groupBy("digest")
-        .agg(*[F.first(c).alias(c) for c in columns])
-    )
-    pending = asked.join(logged_answers(spark, log).select("digest"), "digest", "left_anti")
+    keyed = df.withColumn("_call", short_digest(call_digest(model_id, columns)))
+    asked = keyed.filter("_call IS NOT NULL")
+    if storage.exists(spark, log):
+        # Digests alone tell what is missing; inputs are shuffled only for that.
+        committed = spark.read.schema(LOG).parquet(log).select(short_digest(F.col("digest")).alias("_call"))
+        missing = asked.select("_call").distinct().join(committed, "_call", "left_anti")
+        missing = write_out(missing, "missing-calls")
+        asked = asked.filter("false") if missing.isEmpty() else asked.join(missing, "_call", "left_semi")
+    storage.make_folder(spark, log)
+    inputs = asked.groupBy("_call").agg(*[F.first(c).alias(c) for c in columns])
+    pending = inputs.select(call_digest(model_id, columns).alias("digest"), *columns)
     failed = write_out(call_pending(pending, columns, make_model, log, batch_size, policy, commit_rows), "failed-calls")
-    answers = logged_answers(spark, log).select("digest", "completion", "attempts", F.lit(None).cast("string").alias("error"))
-    # What failed here may have been answered by another run meanwhile.
-    errors = failed.join(answers.select("digest"), "digest", "left_anti")
-    errors = errors.select("digest", F.lit(None).cast("string").alias("completion"), F.col("tried").alias("attempts"), "error")
-    known = write_out(answers.unionByName(errors), "answers")
-    return keyed.join(known, "digest", "left").select(
-        *[F.col(f"`{c}`") for c in df.columns], "completion", "error", "attempts"
+    answers = logged_answers(spark, log, short=True).withColumnRenamed("digest", "_call")
+    known = answers.withColumn("error", F.lit(None).cast("string"))
+    if not failed.isEmpty():
+        # What failed here may have been answered by another run meanwhile.
+        errors = failed.withColumn("_call", short_digest(F.col("digest"))).join(answers.select("_call"), "_call", "left_anti")
+        known = known.unionByName(
+            errors.select("_call", F.lit(None).cast("string").alias("completion"), F.col("tried").alias("attempts"), "error")
+        )
+    return keyed.join(known, "_call", "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], "completion", "error", "attempts",
+        *([F.col("_call").alias(digest)] if digest else []),
     )

@@ -7,9 +7,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from nounspan.catalog import QUERIES
+from nounspan.operators import calls
 from nounspan.operators.calls import ask_once, logged_answers
 from nounspan.operators.inference import CallPolicy
 from nounspan.plans.translation import translate_prompts, translate_samples
+from nounspan.session import write_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -118,3 +120,15 @@ def test_the_rated_query_returns_every_prompt_with_its_translation(spark, tmp_pa
     wanted = {c * 10000 + t: text and text.strip() for c, t, role, text in rows if role == "user"}
     assert len(got) == len(wanted) and {r["id"]: r["translation"] for r in got} == wanted
     assert {(r["calls"], r["over_quota"], r["gaps"]) for r in got} == {(79, 0, 0)}
+
+
+def test_answers_are_read_from_the_log_and_not_stored_again(spark, asked, made, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(calls, "write_out", lambda df, label: (stored.append((label, df.columns)), write_out(df, label))[1])
+    log = str(tmp_path / "log")
+    ask_once(asked, ["text"], counting(made), "m", log)
+    done = ask_once(asked, ["text"], counting(made), "m", log, digest="call").collect()
+    # The second run looks for digests only.
+    assert stored == [("failed-calls", ["digest", "error", "tried"]), ("missing-calls", ["_call"]), ("failed-calls", ["digest", "error", "tried"])]
+    assert all((r["call"] is None) == (r["text"] is None) and len(r["call"] or b"x" * 16) == 16 for r in done)
+    assert len(done) == 400 and len({r["call"] for r in done}) == len({r["text"] for r in done})
