@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 # Matrices that one task adds up in a round of the tree.
 FAN_IN = 32
+# Rows that a task turns into one matrix.
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -64,19 +66,6 @@ def products(df: DataFrame, features: str, label: str, by: str) -> dict[str, Pro
         F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), F.col(by).alias("g")
     )
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            whole = np.column_stack([np.ones(batch.num_rows), flat, batch.column("y").to_numpy()])
-            groups = np.array(batch.column("g").to_pylist())
-            for g in np.unique(groups):
-                mine = whole[groups == g]
-                sums[g] = sums.get(g, 0.0) + mine.T @ mine
-        yield _sent(sums)
-
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
@@ -84,7 +73,7 @@ def products(df: DataFrame, features: str, label: str, by: str) -> dict[str, Pro
                 sums[g] = sums.get(g, 0.0) + np.frombuffer(blob)
         yield _sent(sums)
 
-    tree = rows.mapInArrow(summed, "g string, sums binary")
+    tree = rows.mapInArrow(_summed, "g string, sums binary")
     tasks = df.rdd.getNumPartitions()
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
@@ -95,6 +84,21 @@ def products(df: DataFrame, features: str, label: str, by: str) -> dict[str, Pro
     return {g: Products(s.reshape(int(len(s) ** 0.5), -1)) for g, s in total.items()}
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each group; of a batch only ``ROWS`` rows at a time are copied."""
+    sums: dict = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            flat = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+            whole = np.column_stack([np.ones(part.num_rows), flat, part.column("y").to_numpy()])
+            groups = np.array(part.column("g").to_pylist())
+            for g in np.unique(groups):
+                mine = whole[groups == g]
+                sums[g] = sums.get(g, 0.0) + mine.T @ mine
+    yield _sent(sums)
+
+
 def _sent(sums: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([str(g) for g in sums], pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],

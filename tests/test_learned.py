@@ -119,3 +119,26 @@ def test_no_rows_to_fit_on(spark):
         ridge_grid(df, "x", "y", "s", [0.1])
     same = spark.createDataFrame([([1.0], 1.0, s) for s in ("train", "train", "val")], df.schema)
     assert ridge_grid(same, "x", "y", "s", [0.1])[0.1][0] == pytest.approx(0.0)
+
+
+def test_products_copy_a_few_rows_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from nounspan.operators import ridge
+
+    n, width = 10_000, 128
+    x = np.random.default_rng(1).random((n, width))
+    lists = pa.ListArray.from_arrays(pa.array(range(0, n * width + 1, width), pa.int32()), pa.array(x.reshape(-1)))
+    batch = pa.RecordBatch.from_arrays([lists, pa.array(x[:, 0]), pa.array(["train", "val"] * (n // 2))], ["x", "y", "g"])
+    tracemalloc.start()
+    (sent,) = ridge._summed(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The whole batch is 10 MB.
+    assert peak < 5_000_000
+    whole = np.column_stack([np.ones(n), x, x[:, 0]])[::2]
+    sums = dict(zip(sent.column("g").to_pylist(), sent.column("sums").to_pylist()))
+    assert np.allclose(np.frombuffer(sums["train"]).reshape(width + 2, -1), whole.T @ whole)
