@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +97,10 @@ def exact_dedup(
     )
     if heavy:
         # At most PARTS rows for each shuffle partition.
-        hot = F.broadcast(spark.createDataFrame(heavy, "digest string, pieces int"))
+        # As Arrow: a list of rows would pass through Python workers of its own.
+        digests, numbers = zip(*heavy)
+        known = pa.table({"digest": pa.array(digests, pa.string()), "pieces": pa.array(numbers, pa.int32())})
+        hot = F.broadcast(spark.createDataFrame(known, "digest string, pieces int"))
         keyed = keyed.join(hot, "digest", "left").withColumn(
             "piece",
             F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(0),

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nounspan.llm.common import checkpointed, id_key, intermediates, release_memory, settled
+from nounspan.llm.common import checkpointed, id_key, intermediates, pieces, release_memory, settled
 from nounspan.llm.components import Forest, components
 from nounspan.session import write_out
 
@@ -139,7 +139,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole, "text")):
         nodes, blobs, hashes = [], [], []
         for text in batch.column("text").cast(pa.binary()):
             tokens = shingles(text.as_py())
@@ -163,14 +163,14 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(buckets: int):
-    """Matrix entries of one batch, packed by token bucket.
+    """Matrix entries of one piece of a batch, packed by token bucket.
 
-    A token of several nodes of the batch is shared whatever other tasks hold:
+    A token of several nodes of the piece is shared whatever others hold:
     its nodes are counted here, and one entry without a node goes out.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text")):
             found = {}
             for text in batch.column("text").cast(pa.binary()):
                 tokens = shingles(text.as_py())
@@ -249,10 +249,11 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     if len(tokens):
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
+        del order
         edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         # Another batch may hold the same node; only a different one counts.
-        low, high = np.minimum.reduceat(owner, edge), np.maximum.reduceat(owner, edge)
-        hit = (low != high) | np.isin(tokens[edge], many)
+        other = np.concatenate(([False], (owner[1:] != owner[:-1]) & (tokens[1:] == tokens[:-1])))
+        hit = np.logical_or.reduceat(other, edge) | np.isin(tokens[edge], many)
         hit = np.repeat(hit, np.diff(np.append(edge, len(tokens))))
         # A node that came in several batches has each token once.
         pairs = np.unique(np.stack((owner[hit], tokens[hit])), axis=1) if hit.any() else np.zeros((2, 0), "<u8")
@@ -367,7 +368,7 @@ def _rows(whole: bool):
     """One row for each token of a set, or of its prefix."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole_ in batches for piece in pieces(whole_, "tokens")):
             blobs = [_tokens(t) for t in batch.column("tokens").to_pylist()]
             lists = blobs if whole else [t[: prefix_length(len(t))] for t in blobs]
             sizes = [len(t) for t in lists]

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ def letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space if it is none."""
     global _letters
     if _letters is None:
-        low = np.full(0x110000, SPACE, dtype=np.int64)
+        low = np.full(0x110000, SPACE, dtype=np.uint32)
         for code in range(0x110000):
             char = chr(code)
             if char.isalpha():
@@ -44,7 +43,7 @@ def letters() -> np.ndarray:
 
 def grams_of(text: str) -> np.ndarray:
     """All n-grams of one to three letters; none spans a space between letters."""
-    codes = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    codes = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")].astype(np.int64)
     codes = np.concatenate(([SPACE], codes, [SPACE]))
     gap = codes == SPACE
     # Runs of spaces become one.
@@ -80,8 +79,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            grams = grams_of(text or "")
+        # One text at a time: the batch is held once, as it came.
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            grams = grams_of(text.as_py() or "")
             by_lang.setdefault(lang, []).append(grams)
             held += len(grams)
             if held >= HELD_GRAMS:
@@ -144,15 +144,20 @@ class Ranks:
 def language_of(text: Column, profiles: dict[str, np.ndarray], size: int = PROFILE) -> Column:
     """Struct ``lang_pred, score`` of a whole text; see ``predict``."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = Ranks(profiles, size) if profiles else None
         for texts in batches:
-            rows = []
-            for value in texts:
+            langs, scores = [], []
+            # One text at a time: the batch is held once, as it came.
+            for value in (text.as_py() for text in texts):
                 grams = grams_of(value) if value and ranks else ()
-                rows.append(ranks.nearest(grams) if len(grams) else ("und", 0.0))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+                lang, score = ranks.nearest(grams) if len(grams) else ("und", 0.0)
+                langs.append(lang)
+                scores.append(score)
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.StructArray.from_arrays(found, ["lang_pred", "score"])
+            del texts, found, langs, scores
             release_memory()
 
     return nearest(text)

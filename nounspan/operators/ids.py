@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,14 @@ def with_rid(df: DataFrame, order_by: list, name: str = "rid") -> DataFrame:
     )
     counts = sorted(placed.groupBy("_rid_part").count().collect())
     starts = [0, *accumulate(r["count"] for r in counts)]
-    offsets = spark.createDataFrame(
-        [(r["_rid_part"], start) for r, start in zip(counts, starts)], "_rid_part int, _start long"
+    # As Arrow: a list of rows would pass through Python workers of its own.
+    known = pa.table(
+        {
+            "_rid_part": pa.array([r["_rid_part"] for r in counts], pa.int32()),
+            "_start": pa.array(starts[:-1], pa.int64()),
+        }
     )
+    offsets = spark.createDataFrame(known, "_rid_part int, _start long")
     return placed.join(F.broadcast(offsets), "_rid_part").select(
         (F.col("_start") + F.col("_rid_at")).alias(name), *[F.col(f"`{c}`") for c in df.columns]
     )
