@@ -13,8 +13,11 @@ only the last sequence of a task can be short.
 from __future__ import annotations
 
 import gc
+import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,12 +45,31 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class WordIds(dict):
-    """Token ids (little-endian unsigned 32-bit bytes) of stretches without spaces.
+def _word_pattern() -> re.Pattern:
+    """The vocabulary's cut into words, for lower-cased text of ``WordIds.plain``."""
+    kinds = {chr(c): unicodedata.category(chr(c))[0] for c in range(0x180)}
+    letters = "".join(c for c, kind in kinds.items() if kind == "L")
+    numbers = "".join(c for c, kind in kinds.items() if kind == "N")
+    spaces = "\\x09-\\x0D\\x20\\x85\\xA0"
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+WORDS = _word_pattern()
+# Beyond composed Latin letters and common punctuation, a letter with two of lower case, or a special token.
+OTHER = re.compile(r"[^\x00-\u012F\u0131-\u017F\u2010-\u2027]|<\|")
+# Holds what vocabularies cut in different ways.
+PROBE = "It's We'LL x''d don't 12.5% a_b-c... ÀÉ½ß\x1fy\x85z\xa0“q” #!\n"
+
 
-    The vocabulary's tokens never cross white space, so a text's ids are the
-    ids of its stretches one after another.  Stretches are kept up to a bound;
-    a plain word with punctuation after it is put together from its parts.
+class WordIds(dict):
+    """Token ids (little-endian unsigned 32-bit bytes) of words, kept up to a bound.
+
+    The vocabulary lower-cases a text and cuts it into words that never cross
+    white space; a text's ids are the ids of its words one after another.  Plain
+    text is cut here, so that a word is looked up without its case and the
+    punctuation around it.  Other texts are looked up by their stretches between
+    spaces; those that are not plain, and all of a vocabulary that cuts
+    differently, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -57,41 +79,51 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.cuts = False
+        self.cuts = self.of_stretch(PROBE) == self.of_plain(PROBE)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        """Ids of a word that ``WORDS`` has cut."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        body = word.rstrip(",.;:!?|*&%$#")
-        if body and len(body) < len(word) and self.plain(body):
-            ids = self[body] + self[word[len(body):]]
-        elif self.plain(word):
-            lower = word.lower()
-            ids = self[lower] if lower != word else self.model_ids(word)
-        else:
-            ids = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = ids
+        spelt = word
+        if not (word.isascii() and word.isalnum()):
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = self.packed([token.id for token in self.model.tokenize(spelt)])
         return ids
 
     @staticmethod
-    def plain(word: str) -> bool:
-        """Composed Latin letters only: the vocabulary's normaliser just lower-cases them."""
-        return (
-            word.isalpha()
-            and max(word) < "ɐ"
-            and "İ" not in word
-            and unicodedata.is_normalized("NFC", word)
-        )
-
-    def model_ids(self, word: str) -> bytes:
-        spelt = word.encode().decode("latin-1").translate(self.letters)
-        return self.packed([token.id for token in self.model.tokenize(spelt)])
+    def plain(text: str) -> bool:
+        """The vocabulary's normaliser just lower-cases it, and ``WORDS`` cuts it."""
+        return "<|" not in text if text.isascii() else not OTHER.search(text)
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def of_plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
+
+    def of_stretch(self, stretch: str) -> bytes:
+        ids = self.get(stretch)
+        if ids is None:
+            if self.cuts and self.plain(stretch):
+                ids = self.of_plain(stretch)
+            else:
+                ids = self.packed(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[stretch] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.cuts and self.plain(text):
+            return self.of_plain(text)
+        return b"".join(map(self.of_stretch, text.replace("\n", " ").split(" ")))
 
 
 # ---------------------------------------------------------------- packing
